@@ -7,25 +7,72 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataseek.llm import bpe, token_count
+from strataseek.llm import bpe, pii, quality_rules, sharding, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 CONTEXT_TOKENS = 4096
+SHARDS = 8
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.annotate(read_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(read_table(spark, sf_dir, "pages"), rules)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read_table(spark, sf_dir, "documents"), PIECE_BPE, CONTEXT_TOKENS)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"), SHARDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_pii, op5_url_filters, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    url = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return {
+        "op5_url_filters": f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+parsed AS (
+  SELECT row_number() OVER () AS n, page_id,
+         translate(coalesce(regexp_extract(url, {url}, 1), ''), {upper}) AS host,
+         coalesce(regexp_extract(url, {url}, 2), '') AS path
+  FROM pages),
+fits AS (
+  SELECT n, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY n ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC) AS place
+  FROM parsed JOIN rules ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM parsed LEFT JOIN fits ON parsed.n = fits.n AND place = 1""",
+    }
