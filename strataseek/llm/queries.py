@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataseek.llm import bpe, pii, quality_rules, sharding, token_count, toxicity, url_rules
+from strataseek.llm import bpe, decontaminate, pii, quality_rules, sharding, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(read_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_pii, op5_url_filters, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_pii, op5_url_filters, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
