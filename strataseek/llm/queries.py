@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataseek.llm import bpe, decontaminate, pii, quality_rules, sharding, token_count, toxicity, url_rules
+from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_rules, sharding, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,8 +57,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_pii, op5_url_filters, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_pii, op5_url_filters, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
