@@ -87,6 +87,13 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` begins with it."""
+    while any(c.startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """A batch's texts, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataseek.llm.common import map_batches, texts, written
+from strataseek.llm.common import map_batches, texts, unused, written
 from strataseek.llm.components import components
 
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -283,8 +283,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each component: the one with the smallest id. Rows without words all stay, and so do rows of components without any id."""
     found = join(df, id_col, text_col)
-    first = found.where((F.col("n_shingles") > 0) & (F.col(id_col) == F.col("component_id"))).select(F.col("row").alias("_row")).distinct()
-    keyed = df.withColumn("_row", row_key(id_col, text_col))
-    one = keyed.join(first, "_row").dropDuplicates(["_row"])
+    key = unused(df, "_row")
+    first = found.where((F.col("n_shingles") > 0) & (F.col(id_col) == F.col("component_id"))).select(F.col("row").alias(key)).distinct()
+    keyed = df.withColumn(key, row_key(id_col, text_col))
+    one = keyed.join(first, key).dropDuplicates([key])
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return one.select(*df.columns).unionByName(df.where(~words | F.col(id_col).isNull()))

@@ -15,8 +15,8 @@ of bins; nothing that grows with the rows reaches the driver.
 Slots number a shard's rows without gaps: each input split numbers its own rows and
 the splits' counts are summed up.
 
-A null text has no bytes (its size is 1), length 0 and checksum 0; a null language
-sorts as the empty one. Equal rows get slots of their own. An empty table gives an empty result.
+A null text has no bytes (its size is 1), length 0 and checksum 0; a null or
+missing language sorts as the empty one. Equal rows get slots of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def compact(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars, size = F.char_length(text), F.octet_length(text)
     crc = F.crc32(text.cast("binary"))
-    lang = F.rpad(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), 3, "\0")
+    lang = F.rpad(F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in df.columns else F.lit(""), 3, "\0")
     coordinate = {
         "length": F.least(chars, F.lit(SCALE - 1)),
         "language": F.conv(F.substring(F.hex(F.encode(lang, "utf-8")), 1, 6), 16, 10).cast("long"),
