@@ -77,7 +77,8 @@ def write_xlsx(rows: DataFrame, path: str, sheet: str = "Sheet1") -> None:
 
 def write_merged(blocks: DataFrame, path: str) -> None:
     """Blocks (relative_path, block) as text, part files in order of path."""
-    blocks.orderBy("relative_path").select("block").write.mode("overwrite").option("lineSep", "").text(path)
+    lines = blocks.orderBy("relative_path").select(F.regexp_replace("block", "\n\\z", ""))  # the writer ends each row with a line feed
+    lines.write.mode("overwrite").text(path)
 
 
 def write_paths(files: DataFrame, path: str, kind: str = "txt") -> None:
