@@ -35,7 +35,7 @@ _ODD = bytes(c for c in range(33, 127) if c not in LETTERS + PROSE)
 _odd_end = re.compile(rb"[^\x80-\xffA-Za-z0-9.,;:!?'\"()\x09-\x0D\x20-](?=[\x20\x09-\x0D]|\Z)").findall
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_marks", "n_capitals", "n_letters", "n_odd_ends", "n_odd_chars")
+MORE = ("n_lines", "n_marks", "n_capitals", "n_letters", "n_odd_ends", "n_odd_chars", "n_distinct")
 
 #: Starting share of right votes on clean texts and on junk, weight of that belief in votes,
 #: starting share of clean texts, rounds of the estimation.
@@ -64,6 +64,7 @@ def measure(text: str) -> tuple[int, ...]:
         count(LETTERS),
         len(_odd_end(data)),
         count(_ODD),
+        len(set(words)),
     )
 
 
@@ -103,8 +104,9 @@ def votes(prefix: str = "") -> dict[str, Column]:
         "symbols": rule(10 * c["n_symbols"] > words, 100 * c["n_symbols"] <= 2 * words),
         "endings": rule(100 * c["n_odd_ends"] > 15 * words, 100 * c["n_odd_ends"] <= 3 * words),
         "characters": rule(100 * c["n_odd_chars"] > 4 * c["word_chars"], 100 * c["n_odd_chars"] <= c["word_chars"]),
-        "lines": rule(100 * c["n_dup_lines"] > 30 * lines, 100 * c["n_dup_lines"] <= 5 * lines),
-        "repeats": rule(100 * c["n_repeat_words"] > 30 * words, 100 * c["n_repeat_words"] <= 10 * words),
+        "lines": rule((c["n_dup_lines"] > 2) & (100 * c["n_dup_lines"] > 30 * lines), 100 * c["n_dup_lines"] <= 5 * lines),
+        "repeats": rule((c["n_repeat_words"] >= 20) & (100 * c["n_repeat_words"] > 30 * words), 100 * c["n_repeat_words"] <= 10 * words),
+        "distinct": rule(F.pow(c["n_distinct"], F.lit(5)) < F.pow(words, F.lit(3)), F.pow(c["n_distinct"], F.lit(10)) >= F.pow(words, F.lit(7))),
         "word_size": rule((c["word_chars"] > 14 * words) | (c["word_chars"] < 2 * words), (c["word_chars"] <= 10 * words) & (c["word_chars"] >= 3 * words)),
         "marks": rule(5 * c["n_marks"] > words, 50 * c["n_marks"] <= words),
         "capitals": rule(2 * c["n_capitals"] > c["n_letters"], 4 * c["n_capitals"] <= c["n_letters"]),
@@ -145,7 +147,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[A
 
 
 def votes_order() -> list[str]:
-    return ["length", "symbols", "endings", "characters", "lines", "repeats", "word_size", "marks", "capitals"]
+    return ["length", "symbols", "endings", "characters", "lines", "repeats", "distinct", "word_size", "marks", "capitals"]
 
 
 def fit(measured: DataFrame, prefix: str = "") -> tuple[float, dict[str, Accuracy]]:

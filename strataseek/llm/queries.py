@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_rules, sharding, token_count, toxicity, url_rules
+from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_classifier, quality_rules, sharding, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(read_table(spark, sf_dir, "pages"), rules)
@@ -62,7 +66,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_pii, op5_url_filters, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding, op10_ngram_jaccard_join)}
+    found = (
+        op1_quality_rules,
+        op2_decontamination,
+        op3_pii,
+        op4_quality_classifier,
+        op5_url_filters,
+        op6_token_counts,
+        op7_toxicity,
+        op8_byte_bpe,
+        op9_sharding,
+        op10_ngram_jaccard_join,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
