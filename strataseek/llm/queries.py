@@ -86,6 +86,18 @@ def oracle_sql() -> dict[str, str]:
     url = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
     upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return {
+        "op10_ngram_jaccard_join": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {upper}), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda g: g <> '')
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS root FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.root = l.x)
+SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(root) AS component_id FROM reach JOIN sets USING (doc_id) GROUP BY doc_id""",
         "op5_url_filters": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 parsed AS (
