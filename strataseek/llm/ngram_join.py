@@ -44,8 +44,8 @@ PERCENT = 90
 GRAM = 3
 #: Rows of a block of rows, and columns of a block of columns, of the product.
 ROWS, COLUMNS = 256, 4096
-#: Rows whose keys may be sent to every task instead of shuffling the texts.
-SMALL = 500_000
+#: Rows of four numbers that may be sent to every task (some 100 MB) in place of a shuffle of the texts.
+SMALL = 2_000_000
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _32 = np.uint64(32)
@@ -199,7 +199,8 @@ def agreeing(table: DataFrame) -> DataFrame:
     """``node, root``: classes (by the low half of their digest) that agree in a block, in groups."""
     held = table.select(F.explode("keys").alias("key"), F.col("low").alias("node"))
     ends = held.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    star = held.join(ends.select("key", "first"), "key").where(F.col("node") != F.col("first"))
+    met = written(ends.select("key", "first"), "met")  # read back, so that the join shuffles either side and a hot key's partition can be split
+    star = held.join(met, "key").where(F.col("node") != F.col("first")).select("node", "first").distinct()
     return components(star.select(F.col("node").alias("u"), F.col("first").alias("v")))
 
 
@@ -237,7 +238,7 @@ def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFr
     # one row of each class stands for it; its n-grams are computed again from its text
     wanted = table.groupBy("high", "low").agg(F.min("row").alias("row")).join(groups.withColumnRenamed("node", "low"), "low").join(large, "root")
     wanted = written(wanted.select("row", "low", "root", F.ceil(F.col("members") / ROWS).cast("int").alias("blocks")), "wanted")
-    if wanted.count() <= SMALL:  # three numbers a row
+    if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
     found = df.select(F.col(text_col), row_key(id_col, text_col).alias("row")).join(wanted, "row")
 
