@@ -14,7 +14,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -94,6 +95,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows of smallest 64-bit hash ``key``.
+
+    Of a larger table only hashes below a bound are ranked, some twice as many rows as wanted, so that
+    not every task sends as many as are wanted in all.
+    """
+    n = df.count()
+    if n > 4 * rows:
+        df = df.where(key < F.lit(-(1 << 63) + (1 << 64) * 2 * rows // n))
+    return df.orderBy(key, *df.columns[:1]).limit(rows)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """A batch's texts, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataseek.llm import quality_rules as rules
-from strataseek.llm.common import Memo, map_batches, texts, written
+from strataseek.llm.common import Memo, hash_sample, map_batches, texts, written
 
 BITS = 18
 #: Rows that the scorer is fitted on, at most.
@@ -119,7 +119,7 @@ def train(table: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, Scorer
     """The table with its weak labels (``weak``), and the scorer fitted on a bounded sample of them."""
     clean, accuracy = rules.fit(table)
     labelled = table.withColumn("weak", rules.posterior(clean, accuracy))
-    sample = labelled.select("key", "id", "ids", "values", "weak").orderBy("key", "id").limit(max_rows).collect()
+    sample = hash_sample(labelled.select("id", "key", "ids", "values", "weak"), F.col("key"), max_rows).collect()
     return labelled, fit([r["ids"] for r in sample], [r["values"] for r in sample], [r["weak"] for r in sample])
 
 

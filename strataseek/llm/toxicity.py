@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataseek.llm.common import Memo, map_batches, texts
+from strataseek.llm.common import Memo, hash_sample, map_batches, texts
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 8_000
@@ -130,7 +130,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_
     """Fit on a bounded sample of the labelled documents that are not held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)  # bounded, so it may be broadcast
+    sample = hash_sample(known, F.xxhash64(id_col), max_rows)  # bounded, so it may be broadcast
     joined = documents.select(id_col, text_col).join(F.broadcast(sample), id_col)
 
     def make() -> Callable:
