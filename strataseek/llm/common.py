@@ -64,12 +64,14 @@ def map_batches(
     make: Callable[[], Callable[[pa.RecordBatch], list | None]],
     fields: list[tuple[str, T.DataType]],
     keep: Iterable[str],
+    rows: int = 1 << 30,
 ) -> DataFrame:
     """Append columns computed from whole Arrow batches.
 
     ``make()`` runs once a task and returns ``fn(batch) -> columns`` (one list or
     Arrow array per entry of ``fields``). ``keep`` names the input columns that
     stay; an input column whose name is also in ``fields`` gives way to the new one.
+    Batches of more than ``rows`` rows are handed over in slices.
     """
     names = {n for n, _ in fields}
     kept = [c for c in keep if c not in names]
@@ -78,9 +80,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, (_, t) in zip(fn(batch), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + made, names=kept + [n for n, _ in arrow])

@@ -1,16 +1,18 @@
 """N-gram Jaccard join (operator 10).
 
-A document's row of the incidence matrix is its set of hashed word 3-grams; two
-documents link if their sets' Jaccard similarity is at least 0.9. The matrix product
-(document by n-gram, times its transpose) is never formed whole:
+A document's row of the incidence matrix is its set of hashed word n-grams (``gram``
+words, 3 unless named); two documents link if their sets' Jaccard similarity is at
+least ``percent`` hundredths (90 unless named). The matrix product (document by n-gram,
+times its transpose) is never formed whole:
 
 1. Equal rows are one class (128-bit digest of the set), so copies cost nothing more.
 2. Columns are cut into blocks by hash. Rows of sizes a and b that link differ in at
-   most (a + b) / 19 columns, so with one block more than that, some block is
-   identical. Rows that agree in no block are discarded unseen. The number
-   of blocks depends on the size, so rows are sorted into levels of size; a row also
-   enters the next level when a partner may be there. A block of fewer than two
-   n-grams says little and is cut again by a second hash.
+   most d = (a + b) (100 - percent) / (100 + percent) columns, so all but d blocks are
+   identical, and of any order of the blocks that both share, the first d + 1 hold an
+   identical one: a row's keys are its d + 1 blocks of most n-grams. Rows that agree in
+   none are discarded unseen. The number of blocks depends on the size, so rows are
+   sorted into levels of size; a row also enters those above in which a partner may be.
+   A block of fewer than two n-grams says little and is cut again by a second hash.
 3. Rows that agree in a block form groups (components of such agreement). In a group
    the product is accumulated over blocks of columns; after each, pairs whose overlap
    can't reach the bound any more are discarded. Groups larger than ``ROWS`` are cut
@@ -18,8 +20,8 @@ documents link if their sets' Jaccard similarity is at least 0.9. The matrix pro
    and only in groups that are not yet one component.
 4. Links leave a task as a forest, never as all pairs; components follow from them.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with one or two words has that
-sequence as its one n-gram; an empty or null text has none and links with nothing
+Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with words, but fewer than ``gram``,
+has that sequence as its one n-gram; an empty or null text has none and links with nothing
 (its component is itself). Rows with a null id take part, but name no component; a
 component without any id has a null one. Repeated rows get equal results, each its own.
 """
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,13 @@ from pyspark.sql import types as T
 from strataseek.llm.common import map_batches, texts, unused, written
 from strataseek.llm.components import components
 
-#: Similarity as a fraction: 100 * intersection >= PERCENT * union.
+#: Where a caller names none: similarity (100 * intersection >= PERCENT * union) and words of an n-gram.
 PERCENT = 90
 GRAM = 3
 #: Rows of a block of rows, and columns of a block of columns, of the product.
 ROWS, COLUMNS = 256, 4096
+#: Rows whose n-grams a task holds at once where it computes them.
+HELD = 1024
 #: Rows of four numbers that may be sent to every task (some 100 MB) in place of a shuffle of the texts.
 SMALL = 2_000_000
 
@@ -51,20 +56,18 @@ _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 _32 = np.uint64(32)
 
 
-def _levels() -> list[int]:
-    """Smallest sizes of the levels; sets below nine n-grams link only when equal."""
-    out = [9]
+@cache
+def _levels(percent: int) -> list[int]:
+    """Smallest sizes of the levels; sets below the first link only when equal."""
+    out = [-(-percent // max(1, 100 - percent))]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+        out.append(2 * out[-1])
     return out
 
 
-LEVELS = _levels()
-
-
-def differing(total: int) -> int:
+def differing(total: int, percent: int = PERCENT) -> int:
     """Columns in which two linked rows of ``total`` n-grams together may differ."""
-    return (100 - PERCENT) * total // (100 + PERCENT)
+    return (100 - percent) * total // (100 + percent)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,15 +76,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, gram: int = GRAM) -> np.ndarray:
     """Distinct hashed n-grams of a text, ascending."""
     words = text.encode().lower().split()
     n = len(words)
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    if n < GRAM:
-        return mixed(np.array([sum((int(c) * int(_K[i]) for i, c in enumerate(codes)), n) & 0xFFFFFFFFFFFFFFFF], np.uint64)) if n else codes
-    m = n - GRAM + 1
-    return np.unique(mixed(codes[:m] * _K[0] + codes[1 : m + 1] * _K[1] + codes[2:] * _K[2]))
+    if not n:
+        return codes
+    m = max(1, n - gram + 1)
+    out = np.full(m, n if n < gram else 0, np.uint64)
+    for i in range(min(n, gram)):
+        out = out * _K[0] + codes[i : i + m]
+    return np.unique(mixed(out))
 
 
 def _blocks(row: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,29 +97,39 @@ def _blocks(row: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(edges), np.diff(sums)
 
 
-def agreement_keys(row: np.ndarray) -> np.ndarray:
+def agreement_keys(row: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of which two rows that link, and aren't equal, share at least one."""
-    n = len(row)
-    if n < LEVELS[0]:
+    n, levels = len(row), _levels(percent)
+    if n < levels[0]:
         return np.empty(0, np.uint64)
-    own = bisect_right(LEVELS, n) - 1
+    most = 100 * n // percent  # n-grams of a partner
+    again = np.sort(mixed(row ^ _K[2]))
     out = []
-    for level in (own, own + 1):
-        if level > own and 100 * n < PERCENT * LEVELS[level]:
-            continue
-        parts = differing(2 * (LEVELS[level + 1] - 1)) + 1
-        count, total = _blocks(row, parts)
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 40)
+    level = bisect_right(levels, n) - 1
+    while levels[level] <= most:
+        top = levels[level + 1] - 1
+        differ = differing(2 * top, percent)
+        parts = max(8, differ + 1 + differ // 4)
+        differ = differing(n + min(top, most), percent)
+
+        def first(row: np.ndarray, parts: int = parts, differ: int = differ, level: int = level) -> tuple:
+            """Number, place and hash of the blocks that come first: those of most n-grams."""
+            count, total = _blocks(row, parts)
+            at = np.argsort(-count, kind="stable")[: differ + 1]
+            return count[at], at.astype(np.uint64) + np.uint64(level << 40), total[at]
+
+        count, place, total = first(row)
         keys = mixed(total * _K[0] + place * _K[1] + count.astype(np.uint64))
         out.append(keys[count >= 2])
-        for weak in keys[count < 2]:
-            again = np.sort(mixed(row ^ _K[2]))
-            count2, total2 = _blocks(again, parts)
-            out.append(mixed(weak + mixed(total2 * _K[1] + place * _K[2] + count2.astype(np.uint64))))
+        weak = keys[count < 2]
+        if len(weak):
+            count, place, total = first(again)
+            out.append(mixed(weak[:, None] + mixed(total * _K[1] + place * _K[2] + count.astype(np.uint64))).ravel())
+        level += 1
     return np.concatenate(out)
 
 
-def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] | None = None) -> list[tuple[int, int]]:
+def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A forest of the links among ``rows``: pairs of positions, in blocks of columns.
 
     With ``split``, only links between rows before and from that position count; rows of equal label are joined already.
@@ -126,8 +142,8 @@ def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] |
     owner, column = owner[shared], column[shared]
     names = np.cumsum(seen > 1) - 1
     column = names[column]
-    able = 100 * np.bincount(owner, minlength=k) >= PERCENT * sizes  # else no overlap can be large enough
-    alive = able[:, None] & able[None, :] & (100 * sizes[:, None] >= PERCENT * sizes[None, :]) & (100 * sizes[None, :] >= PERCENT * sizes[:, None])
+    able = 100 * np.bincount(owner, minlength=k) >= percent * sizes  # else no overlap can be large enough
+    alive = able[:, None] & able[None, :] & (100 * sizes[:, None] >= percent * sizes[None, :]) & (100 * sizes[None, :] >= percent * sizes[:, None])
     alive &= np.tri(k, k, -1, dtype=bool).T
     if split is not None:
         alive[:split, :split] = alive[split:, split:] = False
@@ -148,9 +164,9 @@ def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] |
         overlap += block @ block.T
         left = left - np.bincount(owner[at:end], minlength=k)
         reach = overlap + np.minimum(left[:, None], left[None, :])
-        alive &= (100 + PERCENT) * reach >= PERCENT * both
+        alive &= (100 + percent) * reach >= percent * both
         at = end
-    alive &= (100 + PERCENT) * overlap.astype(np.int64) >= PERCENT * both
+    alive &= (100 + percent) * overlap.astype(np.int64) >= percent * both
     root = list(range(k))
 
     def find(i: int) -> int:
@@ -176,15 +192,15 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def incidence(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def incidence(df: DataFrame, id_col: str, text_col: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``id_col``, row, n_shingles, the digest of the set (high, low) and its agreement keys; written once."""
     fields = [("n_shingles", T.LongType()), ("high", T.LongType()), ("low", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
 
     def make():
         def fn(batch):
-            rows = [shingles(t) for t in texts(batch, text_col)]
+            rows = [shingles(t, gram) for t in texts(batch, text_col)]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in rows), np.int64).reshape(-1, 2)
-            keys = [agreement_keys(r) for r in rows]
+            keys = [agreement_keys(r, percent) for r in rows]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(keys))))
             return [[len(r) for r in rows], pa.array(digests[:, 0]), pa.array(digests[:, 1]), listed]
@@ -192,7 +208,7 @@ def incidence(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return fn
 
     keyed = df.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col).alias("row"))
-    return written(map_batches(keyed, make, fields, [id_col, "row"]), "incidence")
+    return written(map_batches(keyed, make, fields, [id_col, "row"], HELD), "incidence")
 
 
 def agreeing(table: DataFrame) -> DataFrame:
@@ -204,14 +220,14 @@ def agreeing(table: DataFrame) -> DataFrame:
     return components(star.select(F.col("node").alias("u"), F.col("first").alias("v")))
 
 
-def _products(groups: DataFrame) -> DataFrame:
+def _products(groups: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) found in each block or pair of blocks: ``groups`` has root, i, j, side, low, label, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(rows: list[tuple]) -> pa.RecordBatch:
             rows = sorted({(side, low): (side, low, label, s) for side, low, label, s in rows}.values(), key=lambda r: r[:2])
             split = sum(r[0] == 0 for r in rows)
-            pairs = linked([r[3] for r in rows], split if split < len(rows) else None, [r[2] for r in rows]) if len(rows) > 1 else []
+            pairs = linked([r[3] for r in rows], split if split < len(rows) else None, [r[2] for r in rows], percent) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([rows[p[e]][1] for p in pairs], pa.int64()) for e in (0, 1)], names=["u", "v"])
 
         at, rows = None, []
@@ -231,7 +247,7 @@ def _products(groups: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``node, root`` of the classes that link with others."""
     groups = written(agreeing(table), "groups")
     large = groups.groupBy("root").agg(F.count("*").alias("members"))
@@ -244,16 +260,16 @@ def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFr
 
     def make():
         def fn(batch):
-            rows = [shingles(t) for t in texts(batch, text_col)]
+            rows = [shingles(t, gram) for t in texts(batch, text_col)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(rows))))]
 
         return fn
 
-    sets = map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["low", "root", "blocks"])
+    sets = map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["low", "root", "blocks"], HELD)
     sets = written(sets.withColumn("i", F.pmod(F.xxhash64("low"), F.col("blocks")).cast("int")), "sets")
     alone = sets.select("root", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "low", F.col("low").alias("label"), "shingles")
-    pairs = written(_products(alone), "products")
+    pairs = written(_products(alone, percent), "products")
     joined = components(pairs)
     cut = sets.where("blocks > 1")
     if cut.isEmpty():
@@ -264,13 +280,13 @@ def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFr
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("i")))
     crossed = labelled.join(open_, "root", "left_semi").select("root", "i", other.alias("o"), "low", "label", "shingles")
     crossed = crossed.select("root", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), "low", "label", "shingles")
-    return components(written(_products(crossed).unionByName(pairs), "products"))
+    return components(written(_products(crossed, percent).unionByName(pairs), "products"))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``id_col``, n_shingles, component_id of every row (and ``row``, its key)."""
-    table = incidence(df, id_col, text_col)
-    joined = links(df, table, id_col, text_col)
+    table = incidence(df, id_col, text_col, gram, percent)
+    joined = links(df, table, id_col, text_col, gram, percent)
     classes = table.where("n_shingles > 0").groupBy("high", "low").agg(F.min(id_col).alias("least"))
     rooted = classes.join(joined.withColumnRenamed("node", "low"), "low", "left").withColumn("root", F.coalesce("root", "low"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -281,9 +297,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return full.unionByName(empty)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``df`` with one row of each component: the one with the smallest id. Rows without words all stay, and so do rows of components without any id."""
-    found = join(df, id_col, text_col)
+    found = join(df, id_col, text_col, gram, percent)
     key = unused(df, "_row")
     first = found.where((F.col("n_shingles") > 0) & (F.col(id_col) == F.col("component_id"))).select(F.col("row").alias(key)).distinct()
     keyed = df.withColumn(key, row_key(id_col, text_col))

@@ -62,7 +62,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(read_table(spark, sf_dir, "documents"), gram=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -263,6 +263,49 @@ def test_join_tables(spark, awkward):
     assert ngram_join.join(awkward.limit(0)).isEmpty() and ngram_join.keep_one(awkward.limit(0)).isEmpty()
 
 
+def brute_components(rows, gram, percent):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[d] = frozenset([tuple(w)] if 0 < len(w) < gram else [tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)])
+    out = {}
+    for d in sorted(sets):
+        reach, todo = {d} - set(out), [d]
+        while todo and d not in out:
+            a = sets[todo.pop()]
+            new = [x for x, b in sets.items() if x not in reach and a and 100 * len(a & b) >= percent * len(a | b)]
+            reach.update(new)
+            todo += new
+        out |= {x: (len(sets[x]), d) for x in reach}
+    return out
+
+
+@pytest.mark.parametrize("gram, percent", [(5, 80), (3, 90), (4, 50)])
+def test_join_settings(spark, gram, percent):
+    rows = near_copies(8, 30, 14) + [(5000 + i, t) for i, t in enumerate(["one", "One", "one two", "", None, "a b c d", "A B C D"])]
+    want = brute_components(rows, gram, percent)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(frame, gram=gram, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 95, 100])
+def test_linked_rows_share_a_key_at_any_setting(percent):
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(3000):
+        n = rng.choice([1, 2, 4, 5, 6, 8, 9, 12, 16, 31, 33, 70, 150])
+        base = [rng.getrandbits(64) for _ in range(n)]
+        d = rng.randint(1, max(1, n * (100 - percent) // 100))
+        a = sorted(base)
+        b = sorted([*rng.sample(base, n - rng.randint(0, min(n, d))), *(rng.getrandbits(64) for _ in range(rng.randint(0, d)))])
+        x, y = (set(s) for s in (a, b))
+        if x != y and x and y and 100 * len(x & y) >= percent * len(x | y):
+            keys = [set(ngram_join.agreement_keys(np.array(s, np.uint64), percent).tolist()) for s in (a, b)]
+            assert keys[0] & keys[1]
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(900, i) for i in range(1000, 1100)]

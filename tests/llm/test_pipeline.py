@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from strataseek.llm import bpe, decontaminate, pii, quality_rules, queries
-from tests.llm.test_joins import brute_join
+from tests.llm.test_joins import brute_components, brute_join
 from tests.llm.test_row_operators import brute_base
 
 
@@ -39,3 +39,9 @@ def test_stages(spark, sf, awkward):
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, awkward, sf).columns == awkward.columns, name
         assert stage(spark, docs.limit(0), sf).isEmpty(), name
+
+
+def test_near_duplicates(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {d for d, (_, c) in found.items() if d == c}
