@@ -283,26 +283,32 @@ def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str, gram: int
     return components(written(_products(crossed, percent).unionByName(pairs), "products"))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """``id_col``, n_shingles, component_id of every row (and ``row``, its key)."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, gram: int, percent: int) -> DataFrame:
+    """``id_col``, n_shingles, component_id of every row, ``row``, its key, and ``root``, which tells components without an id or of equal ids apart."""
     table = incidence(df, id_col, text_col, gram, percent)
     joined = links(df, table, id_col, text_col, gram, percent)
     classes = table.where("n_shingles > 0").groupBy("high", "low").agg(F.min(id_col).alias("least"))
     rooted = classes.join(joined.withColumnRenamed("node", "low"), "low", "left").withColumn("root", F.coalesce("root", "low"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.select("high", "low", "root").join(named, "root").select("high", "low", "component_id")
+    of_class = rooted.select("high", "low", "root").join(named, "root").select("high", "low", "root", "component_id")
     rows = table.select(id_col, "row", "n_shingles", "high", "low")
-    full = rows.where("n_shingles > 0").join(of_class, ["high", "low"]).select(id_col, "n_shingles", "component_id", "row")
-    empty = rows.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), "row")
+    full = rows.where("n_shingles > 0").join(of_class, ["high", "low"]).select(id_col, "n_shingles", "component_id", "row", "root")
+    empty = rows.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), "row", F.lit(None).cast("long").alias("root"))
     return full.unionByName(empty)
 
 
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """``id_col``, n_shingles, component_id of every row (and ``row``, its key)."""
+    return _rooted(df, id_col, text_col, gram, percent).drop("root")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """``df`` with one row of each component: the one with the smallest id. Rows without words all stay, and so do rows of components without any id."""
-    found = join(df, id_col, text_col, gram, percent)
+    """``df`` with one row of each component: the one with the smallest id, or of the smallest key where ids are equal or all null. Rows without words all stay."""
+    found = _rooted(df, id_col, text_col, gram, percent).where("n_shingles > 0")
     key = unused(df, "_row")
-    first = found.where((F.col("n_shingles") > 0) & (F.col(id_col) == F.col("component_id"))).select(F.col("row").alias(key)).distinct()
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row").alias("row")))
+    first = found.groupBy("root").agg(least.alias("least")).select(F.col("least.row").alias(key))
     keyed = df.withColumn(key, row_key(id_col, text_col))
     one = keyed.join(first, key).dropDuplicates([key])
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return one.select(*df.columns).unionByName(df.where(~words | F.col(id_col).isNull()))
+    return one.select(*df.columns).unionByName(df.where(~words))

@@ -306,6 +306,14 @@ def test_linked_rows_share_a_key_at_any_setting(percent):
             assert keys[0] & keys[1]
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """One row of each group stays, also where ids are null, or where two different texts have the smallest one."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (7, a), (None, a + " end"), (9, a + " tail"), (None, b), (None, b), (None, b + " end"), (3, c), (3, c + " end"), (3, d), (None, ""), (None, None)]
+    kept = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter({(7, "a"): 1, (None, "b"): 1, (3, "c"): 1, (3, "d"): 1, (None, ""): 2})
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(900, i) for i in range(1000, 1100)]
