@@ -46,7 +46,7 @@ _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ip = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
-_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])").finditer
+_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])").search
 _ssn = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])").finditer
 _word = re.compile(r"[^ ]+").finditer
 _digit = re.compile(r"[0-9]").search
@@ -136,6 +136,23 @@ def inner_phone(text: str, start: int, end: int) -> tuple[int, int] | None:
     return best
 
 
+def accounts(text: str) -> list[tuple[int, int]]:
+    """Account numbers: of each match the longest beginning, whole or up to a space, that passes mod 97."""
+    out, at = [], 0
+    while m := _iban(text, at):
+        start, end = m.span()
+        at = start + 1
+        while len(account := text[start:end].replace(" ", "")) >= 15:
+            if mod97(account):
+                out.append((start, end))
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+            if end < 0:
+                break
+    return out
+
+
 def find(text: str) -> list[Span]:
     """All spans of a text, by start, then kind as listed."""
     out: list[Span] = []
@@ -168,9 +185,8 @@ def find(text: str) -> list[Span]:
                 add("phone", m.start(), m.end(), 0.7)
             elif inner := inner_phone(text, m.start(), m.end()):
                 add("phone", *inner, 0.6, False)
-    for m in _iban(text):
-        if mod97(m.group().replace(" ", "")):
-            add("iban", m.start(), m.end(), 0.8, False)
+    for start, end in accounts(text):
+        add("iban", start, end, 0.8, False)
     for m in _ssn(text):
         add("ssn", m.start(), m.end(), 0.3, False)
     return sorted(out)

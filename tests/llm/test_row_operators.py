@@ -111,6 +111,14 @@ def test_added_spans():
     assert pii.redacted("a x@y.zz b", pii.find("a x@y.zz b")) == "a <EMAIL> b"
 
 
+@pytest.mark.parametrize("tail", [" BIC COBADEFFXXX", " A", " EUR 250", " 17", " GB82 WEST 1234 5698 7654 32", ""])
+def test_account_numbers_before_capitals(tail):
+    text = "IBAN DE89 3704 0044 0532 0130 00" + tail
+    found = [t for k, t in kinds(text) if k == "iban"]
+    assert found == ["DE89 3704 0044 0532 0130 00", *([tail[1:]] if "WEST" in tail else [])]
+    assert "3704" not in pii.redacted(text, pii.find(text))
+
+
 def test_long_runs_are_linear():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "+" * 100_000, "1." * 100_000, "+1" + "(" * 200_000, "AB12" * 50_000, "@" * 100_000):
         pii.find(text)
