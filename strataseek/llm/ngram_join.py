@@ -13,12 +13,15 @@ times its transpose) is never formed whole:
    none are discarded unseen. The number of blocks depends on the size, so rows are
    sorted into levels of size; a row also enters those above in which a partner may be.
    A block of fewer than two n-grams says little and is cut again by a second hash.
-3. Rows that agree in a block form groups (components of such agreement). In a group
-   the product is accumulated over blocks of columns; after each, pairs whose overlap
-   can't reach the bound any more are discarded. Groups larger than ``ROWS`` are cut
-   into blocks of rows: each block by itself first, then pairs of blocks,
-   and only in groups that are not yet one component.
-4. Links leave a task as a forest, never as all pairs; components follow from them.
+3. Rows that agree in a block form groups (components of such agreement). A group of up to
+   ``ROWS`` rows is multiplied at once: the sparse product adds up overlaps over blocks of
+   columns, and after each, pairs whose overlap can't reach the bound any more are discarded.
+   A larger group is cut into blocks of rows, each by itself; then one row of each
+   component found is dealt into new blocks, as long as that joins many. In groups that
+   still aren't one component, rows meet in the blocks of columns they agree in,
+   those outside the largest component there against all; a group's size alone costs nothing.
+4. Links leave a task as a forest, never as all pairs; components follow from them. Rows go by
+   128-bit keys and digests, classes by numbers of their own.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with words, but fewer than ``gram``,
 has that sequence as its one n-gram; an empty or null text has none and links with nothing
@@ -45,11 +48,13 @@ from strataseek.llm.components import components
 #: Where a caller names none: similarity (100 * intersection >= PERCENT * union) and words of an n-gram.
 PERCENT = 90
 GRAM = 3
-#: Rows of a block of rows, and columns of a block of columns, of the product.
-ROWS, COLUMNS = 256, 4096
+#: Rows of a block of rows, and entries (on average) of a block of columns, of the sparse product.
+ROWS, ENTRIES = 256, 1 << 15
+#: A column of up to so many entries adds its pairs one by one; denser ones go through a tile of so many columns.
+FEW, COLUMNS = 24, 4096
 #: Rows whose n-grams a task holds at once where it computes them.
 HELD = 1024
-#: Rows of four numbers that may be sent to every task (some 100 MB) in place of a shuffle of the texts.
+#: Rows of five numbers that may be sent to every task (some 100 MB) in place of a shuffle of the texts.
 SMALL = 2_000_000
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -130,43 +135,31 @@ def agreement_keys(row: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A forest of the links among ``rows``: pairs of positions, in blocks of columns.
+    """A forest of the links among ``rows``: pairs of positions, by the blocked sparse product.
 
-    With ``split``, only links between rows before and from that position count; rows of equal label are joined already.
+    A block holds the columns of one range of hashes, ``ENTRIES`` entries on average. With ``split``, only links between
+    rows before and from that position count; rows of equal label are joined already.
     """
     k = len(rows)
     sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(k), sizes)
-    _, column, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    shared = seen[column] > 1  # an n-gram of one row adds nothing to any overlap
-    owner, column = owner[shared], column[shared]
-    names = np.cumsum(seen > 1) - 1
-    column = names[column]
-    able = 100 * np.bincount(owner, minlength=k) >= percent * sizes  # else no overlap can be large enough
-    alive = able[:, None] & able[None, :] & (100 * sizes[:, None] >= percent * sizes[None, :]) & (100 * sizes[None, :] >= percent * sizes[:, None])
-    alive &= np.tri(k, k, -1, dtype=bool).T
+    alive = np.tri(k, k, -1, dtype=bool).T & (100 * sizes[:, None] >= percent * sizes[None, :]) & (100 * sizes[None, :] >= percent * sizes[:, None])
     if split is not None:
         alive[:split, :split] = alive[split:, split:] = False
     if labels is not None:
         group = np.array(labels)
         alive &= group[:, None] != group[None, :]
     both = sizes[:, None] + sizes[None, :]
-    overlap = np.zeros((k, k), np.float32)
-    left = np.bincount(owner, minlength=k)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    at = 0
-    while at < len(column) and alive.any():
-        first = column[at]
-        end = np.searchsorted(column, first + COLUMNS)
-        block = np.zeros((k, COLUMNS), np.float32)
-        block[owner[at:end], column[at:end] - first] = 1
-        overlap += block @ block.T
-        left = left - np.bincount(owner[at:end], minlength=k)
-        reach = overlap + np.minimum(left[:, None], left[None, :])
-        alive &= (100 + percent) * reach >= percent * both
-        at = end
-    alive &= (100 + percent) * overlap.astype(np.int64) >= percent * both
+    overlap = np.zeros((k, k), np.int64)
+    blocks = max(1, -(-int(sizes.sum()) // ENTRIES))
+    bounds = np.array([(b << 64) // blocks for b in range(1, blocks)], np.uint64)
+    edges = np.array([[0, *np.searchsorted(r, bounds), len(r)] for r in rows])
+    for b in range(blocks):
+        if not alive.any():
+            break
+        owner = np.repeat(np.arange(k), edges[:, b + 1] - edges[:, b])
+        overlap += _product(owner, np.concatenate([r[e[b] : e[b + 1]] for r, e in zip(rows, edges, strict=True)]), k)
+        left = sizes - edges[:, b + 1]
+        alive &= (100 + percent) * (overlap + np.minimum(left[:, None], left[None, :])) >= percent * both
     root = list(range(k))
 
     def find(i: int) -> int:
@@ -184,16 +177,47 @@ def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] |
     return out
 
 
+def _product(owner: np.ndarray, column: np.ndarray, k: int) -> np.ndarray:
+    """Overlaps (upper triangle) of ``k`` rows in one block of columns, from its entries, ordered by owner.
+
+    A column adds one to every pair of its owners: listed where it has few, by a dense tile where it has many.
+    """
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = np.flatnonzero(np.append(True, column[1:] != column[:-1])) if len(column) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(column)))
+    out = np.zeros((k, k), np.int64)
+    pairs = []
+    for n in np.unique(count[(count > 1) & (count <= FEW)]).tolist():
+        owners = owner[first[count == n][:, None] + np.arange(n)]
+        a, b = np.triu_indices(n, 1)
+        pairs.append((owners[:, a] * k + owners[:, b]).ravel())
+    if pairs:
+        out += np.bincount(np.concatenate(pairs), minlength=k * k).reshape(k, k)
+    many = np.flatnonzero(count > FEW)
+    for at in range(0, len(many), COLUMNS):
+        part = many[at : at + COLUMNS]
+        tile = np.zeros((k, len(part)), np.float32)
+        for c, m in enumerate(part.tolist()):
+            tile[owner[first[m] : first[m] + count[m]], c] = 1
+        out += np.rint(tile @ tile.T).astype(np.int64)
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+#: A row's key, of 128 bits: it finds the row again in a second reading of the table.
+KEY = ("row_high", "row_low")
+
+
+def row_key(id_col: str, text_col: str, names: tuple[str, str] = KEY) -> list[Column]:
+    return [F.xxhash64(F.lit(i), F.col(id_col), F.col(text_col)).alias(n) for i, n in enumerate(names)]
 
 
 def incidence(df: DataFrame, id_col: str, text_col: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """``id_col``, row, n_shingles, the digest of the set (high, low) and its agreement keys; written once."""
+    """``id_col``, the row's key, n_shingles, the digest of the set (high, low) and its agreement keys; written once."""
     fields = [("n_shingles", T.LongType()), ("high", T.LongType()), ("low", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
 
     def make():
@@ -207,12 +231,18 @@ def incidence(df: DataFrame, id_col: str, text_col: str, gram: int = GRAM, perce
 
         return fn
 
-    keyed = df.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col).alias("row"))
-    return written(map_batches(keyed, make, fields, [id_col, "row"], HELD), "incidence")
+    keyed = df.select(F.col(id_col), F.col(text_col), *row_key(id_col, text_col))
+    return written(map_batches(keyed, make, fields, [id_col, *KEY], HELD), "incidence")
+
+
+def classes_of(table: DataFrame, id_col: str) -> DataFrame:
+    """The classes of equal sets: digest, a number of its own (``node``), the smallest id and the key of a row that stands for it; written once."""
+    found = table.where("n_shingles > 0").groupBy("high", "low").agg(F.min(id_col).alias("least"), *(F.first(k).alias(k) for k in KEY))
+    return written(found.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def agreeing(table: DataFrame) -> DataFrame:
-    """``node, root``: classes (by the low half of their digest) that agree in a block, in groups."""
+    """``node, root``: classes that agree in a block, in groups. A class goes by the low half of its digest here; two that share it only share a group."""
     held = table.select(F.explode("keys").alias("key"), F.col("low").alias("node"))
     ends = held.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     met = written(ends.select("key", "first"), "met")  # read back, so that the join shuffles either side and a hot key's partition can be split
@@ -220,43 +250,51 @@ def agreeing(table: DataFrame) -> DataFrame:
     return components(star.select(F.col("node").alias("u"), F.col("first").alias("v")))
 
 
-def _products(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found in each block or pair of blocks: ``groups`` has root, i, j, side, low, label, shingles."""
+def _products(units: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) found in each unit of work (``unit, i, j``); its rows have side, node, label, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(rows: list[tuple]) -> pa.RecordBatch:
-            rows = sorted({(side, low): (side, low, label, s) for side, low, label, s in rows}.values(), key=lambda r: r[:2])
+            rows = sorted({(side, node): (side, node, label, s) for side, node, label, s in rows}.values(), key=lambda r: r[:2])
             split = sum(r[0] == 0 for r in rows)
             pairs = linked([r[3] for r in rows], split if split < len(rows) else None, [r[2] for r in rows], percent) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([rows[p[e]][1] for p in pairs], pa.int64()) for e in (0, 1)], names=["u", "v"])
 
         at, rows = None, []
         for b in batches:
-            columns = [b.column(b.schema.get_field_index(n)).to_pylist() for n in ("root", "i", "j", "side", "low", "label")]
+            columns = [b.column(b.schema.get_field_index(n)).to_pylist() for n in ("unit", "i", "j", "side", "node", "label")]
             sets = b.column(b.schema.get_field_index("shingles"))
-            for k, (root, i, j, side, low, label) in enumerate(zip(*columns, strict=True)):
-                if (root, i, j) != at:
+            for k, (unit, i, j, side, node, label) in enumerate(zip(*columns, strict=True)):
+                if (unit, i, j) != at:
                     if rows:
                         yield result(rows)
-                    at, rows = (root, i, j), []
-                rows.append((side, low, label, sets[k].values.to_numpy().view(np.uint64)))
+                    at, rows = (unit, i, j), []
+                rows.append((side, node, label, sets[k].values.to_numpy().view(np.uint64)))
         if rows:
             yield result(rows)
 
-    dealt = groups.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    dealt = units.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+def _block(*of: Column | str) -> Column:
+    """A row's block among as many as the last argument says."""
+    return F.pmod(F.xxhash64(*of[:-1]), of[-1]).cast("int")
+
+
+def _blocks_of(rows: Column) -> Column:
+    return F.ceil(rows / ROWS).cast("int")
+
+
+def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text_col: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``node, root`` of the classes that link with others."""
-    groups = written(agreeing(table), "groups")
-    large = groups.groupBy("root").agg(F.count("*").alias("members"))
+    groups = written(agreeing(table), "groups").select(F.col("node").alias("low"), F.col("root").alias("unit"))
+    large = groups.groupBy("unit").agg(F.count("*").alias("members"))
     # one row of each class stands for it; its n-grams are computed again from its text
-    wanted = table.groupBy("high", "low").agg(F.min("row").alias("row")).join(groups.withColumnRenamed("node", "low"), "low").join(large, "root")
-    wanted = written(wanted.select("row", "low", "root", F.ceil(F.col("members") / ROWS).cast("int").alias("blocks")), "wanted")
-    if wanted.count() <= SMALL:
-        wanted = F.broadcast(wanted)
-    found = df.select(F.col(text_col), row_key(id_col, text_col).alias("row")).join(wanted, "row")
+    wanted = classes.join(groups, "low").join(large, "unit").select(*KEY, "node", "unit", _blocks_of(F.col("members")).alias("blocks"))
+    wanted = written(wanted, "wanted")
+    found = wanted if wanted.count() > SMALL else F.broadcast(wanted)
+    found = df.select(F.col(text_col), *row_key(id_col, text_col)).join(found, list(KEY))
 
     def make():
         def fn(batch):
@@ -266,49 +304,77 @@ def links(df: DataFrame, table: DataFrame, id_col: str, text_col: str, gram: int
 
         return fn
 
-    sets = map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["low", "root", "blocks"], HELD)
-    sets = written(sets.withColumn("i", F.pmod(F.xxhash64("low"), F.col("blocks")).cast("int")), "sets")
-    alone = sets.select("root", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "low", F.col("low").alias("label"), "shingles")
-    pairs = written(_products(alone, percent), "products")
+    sets = written(map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["node", "unit", "blocks"], HELD), "sets")
+    once = [F.lit(0).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "shingles"]
+    pairs = written(_products(sets.select("unit", _block("node", F.col("blocks")).alias("i"), *once), percent), "products")
     joined = components(pairs)
-    cut = sets.where("blocks > 1")
+    cut = wanted.where("blocks > 1").drop("blocks")
     if cut.isEmpty():
         return joined
-    # pairs of blocks, in the groups that are not one component yet
-    labelled = written(cut.join(joined.select(F.col("node").alias("low"), F.col("root").alias("found")), "low", "left").withColumn("label", F.coalesce("found", "low")), "labelled")
-    open_ = labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("root")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("i")))
-    crossed = labelled.join(open_, "root", "left_semi").select("root", "i", other.alias("o"), "low", "label", "shingles")
-    crossed = crossed.select("root", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), "low", "label", "shingles")
+    # groups of several blocks: one row stands for each component found so far, and is dealt anew, as long as that joins many
+    before = None
+    for turn in range(1, 64):
+        labelled = cut.join(joined.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = written(labelled, "labelled")
+        heads = labelled.where("node = label")
+        many = heads.groupBy("unit").agg(F.count("*").alias("heads")).where("heads > 1")  # the groups that are not one component yet
+        open_ = heads.join(many, "unit").select("node", "unit", _blocks_of(F.col("heads")).alias("blocks"))
+        n = open_.count()
+        if not n:
+            return joined
+        if before is not None and 2 * n > before:
+            break
+        before = n
+        again = sets.select("node", "shingles").join(open_, "node").select("unit", _block("node", F.lit(turn), F.col("blocks")).alias("i"), *once)
+        pairs = written(_products(again, percent).unionByName(pairs), "products")
+        joined = components(pairs)
+    # what is left: rows of one block of columns, those outside its largest component against all
+    rest = labelled.join(many.select("unit"), "unit").select(*KEY, "node", "label")
+    held = table.select(*KEY, "keys").join(rest, list(KEY)).dropDuplicates(["node"])
+    held = written(held.select(F.explode("keys").alias("unit"), "node", "label"), "held")
+    tally = held.groupBy("unit", "label").agg(F.count("*").alias("n"))
+    tally = tally.groupBy("unit").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    counted = written(tally.select("unit", "major", _blocks_of(F.col("n") - F.col("most")).alias("of_few"), _blocks_of(F.col("n")).alias("of_all")), "counted")
+    met = held.join(counted, "unit")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = met.where("label <> major").select("unit", _block("node", F.lit(0), F.col("of_few")).alias("i"), each("of_all").alias("j"), F.lit(0).alias("side"), "node", "label")
+    every = met.select("unit", each("of_few").alias("i"), _block("node", F.col("of_all")).alias("j"), F.lit(1).alias("side"), "node", "label")
+    crossed = few.unionByName(every).join(sets.select("node", "shingles"), "node")
     return components(written(_products(crossed, percent).unionByName(pairs), "products"))
 
 
 def _rooted(df: DataFrame, id_col: str, text_col: str, gram: int, percent: int) -> DataFrame:
-    """``id_col``, n_shingles, component_id of every row, ``row``, its key, and ``root``, which tells components without an id or of equal ids apart."""
+    """``id_col``, n_shingles, component_id of every row, the row's key, and ``root``, which tells components without an id or of equal ids apart."""
     table = incidence(df, id_col, text_col, gram, percent)
-    joined = links(df, table, id_col, text_col, gram, percent)
-    classes = table.where("n_shingles > 0").groupBy("high", "low").agg(F.min(id_col).alias("least"))
-    rooted = classes.join(joined.withColumnRenamed("node", "low"), "low", "left").withColumn("root", F.coalesce("root", "low"))
+    classes = classes_of(table, id_col)
+    joined = links(df, table, classes, id_col, text_col, gram, percent)
+    rooted = classes.select("high", "low", "least", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.select("high", "low", "root").join(named, "root").select("high", "low", "root", "component_id")
-    rows = table.select(id_col, "row", "n_shingles", "high", "low")
-    full = rows.where("n_shingles > 0").join(of_class, ["high", "low"]).select(id_col, "n_shingles", "component_id", "row", "root")
-    empty = rows.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), "row", F.lit(None).cast("long").alias("root"))
+    rows = table.select(id_col, *KEY, "n_shingles", "high", "low")
+    full = rows.where("n_shingles > 0").join(of_class, ["high", "low"]).select(id_col, "n_shingles", "component_id", *KEY, "root")
+    empty = rows.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), *KEY, F.lit(None).cast("long").alias("root"))
     return full.unionByName(empty)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """``id_col``, n_shingles, component_id of every row (and ``row``, its key)."""
-    return _rooted(df, id_col, text_col, gram, percent).drop("root")
+    """``id_col``, n_shingles, component_id of every row."""
+    return _rooted(df, id_col, text_col, gram, percent).select(id_col, "n_shingles", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``df`` with one row of each component: the one with the smallest id, or of the smallest key where ids are equal or all null. Rows without words all stay."""
     found = _rooted(df, id_col, text_col, gram, percent).where("n_shingles > 0")
-    key = unused(df, "_row")
-    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row").alias("row")))
-    first = found.groupBy("root").agg(least.alias("least")).select(F.col("least.row").alias(key))
-    keyed = df.withColumn(key, row_key(id_col, text_col))
-    one = keyed.join(first, key).dropDuplicates([key])
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *KEY)).alias("least")
+    own = [unused(df, f"_{k}") for k in KEY]
+    first = found.groupBy("root").agg(least).select(*(F.col(f"least.{k}").alias(o) for k, o in zip(KEY, own, strict=True)))
+    times = found.groupBy(*KEY).agg(F.count("*").alias("times")).toDF(*own, unused(df, "_times"))
+    chosen = written(first.join(times, own), "chosen")
+    keyed = df.withColumns(dict(zip(own, row_key(id_col, text_col, own), strict=True)))
+    once = chosen.columns[-1]
+    one = keyed.join(chosen.where(F.col(once) == 1), own)
+    twice = chosen.where(F.col(once) > 1)
+    if not twice.isEmpty():  # rows that the table repeats whole
+        one = one.unionByName(keyed.join(twice, own).dropDuplicates(own))
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return one.select(*df.columns).unionByName(df.where(~words))

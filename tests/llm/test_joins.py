@@ -331,3 +331,56 @@ def test_components(spark):
     lone = {a for a, b in links if a == b}
     assert {x: find(x) for x in root if x not in lone or x in got} == got
     assert components.components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
+@pytest.mark.parametrize("entries, few, columns", [(1 << 15, 24, 4096), (50, 3, 2), (7, 1, 5), (1 << 15, 300, 1)])
+def test_sparse_product(monkeypatch, entries, few, columns):
+    """The forest of a unit's links against all pairs of sets, whole, split and labelled, with columns of one owner and of many."""
+    import numpy as np
+
+    for name, value in (("ENTRIES", entries), ("FEW", few), ("COLUMNS", columns)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(12)
+    for turn in range(40):
+        percent = rng.choice([50, 80, 90])
+        pool = [rng.getrandbits(64) for _ in range(60)]
+        bases = [rng.sample(pool, rng.randint(5, 30)) for _ in range(4)]
+        sets = [set(rng.choice(bases)) | {rng.getrandbits(64) for _ in range(rng.randint(0, 4))} for _ in range(rng.randint(2, 40))]
+        split = rng.choice([None, rng.randint(0, len(sets))])
+        labels = [rng.randrange(6) for _ in sets] if turn % 2 else None
+        edges = [
+            (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and (split is None or i < split <= j) and (labels is None or labels[i] != labels[j])
+        ]
+        got = ngram_join.linked([np.array(sorted(s), np.uint64) for s in sets], split, labels, percent)
+        assert set(got) <= set(edges) and len(got) <= max(0, len(sets) - 1)
+        assert forest(len(sets), got) == forest(len(sets), edges)
+
+
+def forest(n, edges):
+    root = list(range(n))
+    for a, b in edges:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_rows_that_agree_and_do_not_link(spark, monkeypatch):
+    """Groups of many blocks that never become one component: a long shared passage under own text, chains of drifting copies, repeated ids and nulls."""
+    monkeypatch.setattr(ngram_join, "ROWS", 5)
+    rng = random.Random(14)
+    vocab = [f"v{i}" for i in range(5000)]
+    shared = rng.choices(vocab, k=120)
+    rows = [(i, " ".join([*shared, *rng.choices(vocab, k=rng.choice([15, 30, 45]))])) for i in range(60)]
+    words = rng.choices(vocab, k=90)
+    for i in range(100, 150):
+        words = edited(rng, words, vocab, rng.choice([1, 2, 3, 5]))
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 60, 7)]
+    want = brute_join(rows)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 60 < len({c for _, c in want.values()}) < len(rows)
+    mixed_ids = [(None if i % 3 == 0 else i // 2, t) for i, t in rows]
+    kept = ngram_join.keep_one(spark.createDataFrame(mixed_ids, "doc_id long, text string")).count()
+    assert kept == len({c for _, c in want.values()})
