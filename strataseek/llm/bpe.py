@@ -40,9 +40,9 @@ class ByteBPE:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.split = regex.compile(pattern).findall
-        self.compatible = Memo(self._compatible, 2_000_000)
-        self.piece_ids = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), 400_000)
-        self.segment_ids = Memo(self._segment, 400_000)
+        self.compatible = Memo(self._compatible, 300_000)
+        self.piece_ids = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), 100_000)
+        self.segment_ids = Memo(self._segment, 200_000)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merges by rank, lowest and leftmost first; quadratic, for short input."""
@@ -95,8 +95,11 @@ class ByteBPE:
         return ids
 
     def _segment(self, segment: str) -> tuple[int, ...]:
+        pieces = self.split(segment)
+        if len(pieces) == 1:  # remembered as a segment already
+            return tuple(self.encode_piece(pieces[0].encode()))
         lookup = self.piece_ids
-        return tuple(chain.from_iterable([lookup[p] if len(p) < 64 else self.encode_piece(p.encode()) for p in self.split(segment)]))
+        return tuple(chain.from_iterable([lookup[p] if len(p) < 64 else self.encode_piece(p.encode()) for p in pieces]))
 
     _inner = regex.compile(r"\s\s").search
     _cuts = regex.compile(r"(?<=\S)(?= \S)").split
