@@ -32,8 +32,8 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links(u, v)`` that has another; the root is the component's smallest node."""
-    edges = links.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
-    edges = written(edges.select("u", "v").distinct(), "links")
+    edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = written(edges.distinct(), "links")
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hung(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()

@@ -13,12 +13,12 @@ times its transpose) is never formed whole:
    none are discarded unseen. The number of blocks depends on the size, so rows are
    sorted into levels of size; a row also enters those above in which a partner may be.
    A block of fewer than two n-grams says little and is cut again by a second hash.
-3. Rows that agree in a block form groups (components of such agreement). A group of up to
+3. Rows that share a key form groups (components). A group of up to
    ``ROWS`` rows is multiplied at once: the sparse product adds up overlaps over blocks of
    columns, and after each, pairs whose overlap can't reach the bound any more are discarded.
    A larger group is cut into blocks of rows, each by itself; then one row of each
    component found is dealt into new blocks, as long as that joins many. In groups that
-   still aren't one component, rows meet in the blocks of columns they agree in,
+   still aren't one component, rows meet in the keys they share,
    those outside the largest component there against all; a group's size alone costs nothing.
 4. Links leave a task as a forest, never as all pairs; components follow from them. Rows go by
    128-bit keys and digests, classes by numbers of their own.
@@ -32,7 +32,7 @@ component without any id has a null one. Repeated rows get equal results, each i
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -115,12 +115,12 @@ def agreement_keys(row: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         top = levels[level + 1] - 1
         differ = differing(2 * top, percent)
         parts = max(8, differ + 1 + differ // 4)
-        differ = differing(n + min(top, most), percent)
+        taken = differing(n + min(top, most), percent) + 1
 
-        def first(row: np.ndarray, parts: int = parts, differ: int = differ, level: int = level) -> tuple:
+        def first(row: np.ndarray, parts: int = parts, taken: int = taken, level: int = level) -> tuple:
             """Number, place and hash of the blocks that come first: those of most n-grams."""
             count, total = _blocks(row, parts)
-            at = np.argsort(-count, kind="stable")[: differ + 1]
+            at = np.argsort(-count, kind="stable")[:taken]
             return count[at], at.astype(np.uint64) + np.uint64(level << 40), total[at]
 
         count, place, total = first(row)
@@ -160,23 +160,34 @@ def linked(rows: list[np.ndarray], split: int | None = None, labels: list[int] |
         overlap += _product(owner, np.concatenate([r[e[b] : e[b + 1]] for r, e in zip(rows, edges, strict=True)]), k)
         left = sizes - edges[:, b + 1]
         alive &= (100 + percent) * (overlap + np.minimum(left[:, None], left[None, :])) >= percent * both
-    root = list(range(k))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     out = []
+    root = list(range(k))
     for i, j in zip(*(x.tolist() for x in np.nonzero(alive)), strict=True):
-        a, b = find(i), find(j)
+        a, b = _find(root, i), _find(root, j)
         if a != b:
             root[max(a, b)] = min(a, b)
             out.append((i, j))
     return out
 
 
+def _find(root: list[int] | dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _joined(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """The smallest member of the component of each number in ``pairs``, for those that aren't it."""
+    root: dict[int, int] = {}
+    for x, y in pairs:
+        root.setdefault(x, x)
+        root.setdefault(y, y)
+        a, b = _find(root, x), _find(root, y)
+        root[max(a, b)] = min(a, b)
+    return {x: r for x in root if (r := _find(root, x)) != x}
+
+
 def _product(owner: np.ndarray, column: np.ndarray, k: int) -> np.ndarray:
     """Overlaps (upper triangle) of ``k`` rows in one block of columns, from its entries, ordered by owner.
 
@@ -204,8 +215,12 @@ def _product(owner: np.ndarray, column: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _offsets(lists: list) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+
+
+def _listed(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(rows), pa.array(np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)))
 
 
 #: A row's key, of 128 bits: it finds the row again in a second reading of the table.
@@ -224,10 +239,8 @@ def incidence(df: DataFrame, id_col: str, text_col: str, gram: int = GRAM, perce
         def fn(batch):
             rows = [shingles(t, gram) for t in texts(batch, text_col)]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in rows), np.int64).reshape(-1, 2)
-            keys = [agreement_keys(r, percent) for r in rows]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(keys))))
-            return [[len(r) for r in rows], pa.array(digests[:, 0]), pa.array(digests[:, 1]), listed]
+            keys = _listed([agreement_keys(r, percent) for r in rows])
+            return [[len(r) for r in rows], pa.array(digests[:, 0]), pa.array(digests[:, 1]), keys]
 
         return fn
 
@@ -242,23 +255,26 @@ def classes_of(table: DataFrame, id_col: str) -> DataFrame:
 
 
 def agreeing(table: DataFrame) -> DataFrame:
-    """``node, root``: classes that agree in a block, in groups. A class goes by the low half of its digest here; two that share it only share a group."""
-    held = table.select(F.explode("keys").alias("key"), F.col("low").alias("node"))
-    ends = held.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    """``key, low, first``: the keys that classes share, with each class that has one and the first of them; written once.
+
+    A class goes by the low half of its digest here; two that share it only have both's keys.
+    """
+    held = table.select(F.explode("keys").alias("key"), "low")
+    ends = held.groupBy("key").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last")
     met = written(ends.select("key", "first"), "met")  # read back, so that the join shuffles either side and a hot key's partition can be split
-    star = held.join(met, "key").where(F.col("node") != F.col("first")).select("node", "first").distinct()
-    return components(star.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    return written(held.join(met, "key"), "agreeing")
 
 
 def _products(units: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found in each unit of work (``unit, i, j``); its rows have side, node, label, shingles."""
+    """Pairs (u, v) of labels that links join in a unit of work (``unit, i, j``): each with the smallest of its component there. Rows have side, node, label, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(rows: list[tuple]) -> pa.RecordBatch:
             rows = sorted({(side, node): (side, node, label, s) for side, node, label, s in rows}.values(), key=lambda r: r[:2])
             split = sum(r[0] == 0 for r in rows)
             pairs = linked([r[3] for r in rows], split if split < len(rows) else None, [r[2] for r in rows], percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([rows[p[e]][1] for p in pairs], pa.int64()) for e in (0, 1)], names=["u", "v"])
+            root = _joined((rows[i][2], rows[j][2]) for i, j in pairs)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(root), list(root.values()))], names=["u", "v"])
 
         at, rows = None, []
         for b in batches:
@@ -287,11 +303,13 @@ def _blocks_of(rows: Column) -> Column:
 
 
 def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text_col: str, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """``node, root`` of the classes that link with others."""
-    groups = written(agreeing(table), "groups").select(F.col("node").alias("low"), F.col("root").alias("unit"))
+    """``node, root`` of the classes that agree with others."""
+    agreed = agreeing(table)
+    star = agreed.where("low <> first").select(F.col("low").alias("u"), F.col("first").alias("v"))
+    groups = written(components(star), "groups").select(F.col("node").alias("low"), F.col("root").alias("unit"))
     large = groups.groupBy("unit").agg(F.count("*").alias("members"))
     # one row of each class stands for it; its n-grams are computed again from its text
-    wanted = classes.join(groups, "low").join(large, "unit").select(*KEY, "node", "unit", _blocks_of(F.col("members")).alias("blocks"))
+    wanted = classes.join(groups, "low").join(large, "unit").select(*KEY, "low", "node", "unit", _blocks_of(F.col("members")).alias("blocks"))
     wanted = written(wanted, "wanted")
     found = wanted if wanted.count() > SMALL else F.broadcast(wanted)
     found = df.select(F.col(text_col), *row_key(id_col, text_col)).join(found, list(KEY))
@@ -299,48 +317,57 @@ def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text
     def make():
         def fn(batch):
             rows = [shingles(t, gram) for t in texts(batch, text_col)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(rows))))]
+            return [_listed(rows)]
 
         return fn
 
     sets = written(map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["node", "unit", "blocks"], HELD), "sets")
     once = [F.lit(0).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "shingles"]
-    pairs = written(_products(sets.select("unit", _block("node", F.col("blocks")).alias("i"), *once), percent), "products")
-    joined = components(pairs)
-    cut = wanted.where("blocks > 1").drop("blocks")
-    if cut.isEmpty():
-        return joined
-    # groups of several blocks: one row stands for each component found so far, and is dealt anew, as long as that joins many
-    before = None
-    for turn in range(1, 64):
-        labelled = cut.join(joined.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = written(labelled, "labelled")
-        heads = labelled.where("node = label")
+    first = sets.select("unit", _block("node", F.col("blocks")).alias("i"), *once)
+    labels = _relabelled(wanted.select("low", "node", "unit", F.col("node").alias("label"), "blocks"), _products(first, percent))
+    several = labels.where("blocks > 1").drop("blocks")
+    rows = several.count()
+    for turn in range(1, 64 if rows else 1):
+        # groups of several blocks: one row stands for each component found so far, and is dealt anew, as long as that joins many
+        heads = several.where("node = label")
         many = heads.groupBy("unit").agg(F.count("*").alias("heads")).where("heads > 1")  # the groups that are not one component yet
-        open_ = heads.join(many, "unit").select("node", "unit", _blocks_of(F.col("heads")).alias("blocks"))
-        n = open_.count()
-        if not n:
-            return joined
-        if before is not None and 2 * n > before:
+        open_ = written(heads.join(many, "unit").select("node", "unit", _blocks_of(F.col("heads")).alias("blocks")), "open")
+        before, rows = rows, open_.count()
+        if not rows or 2 * rows > before:
             break
-        before = n
         again = sets.select("node", "shingles").join(open_, "node").select("unit", _block("node", F.lit(turn), F.col("blocks")).alias("i"), *once)
-        pairs = written(_products(again, percent).unionByName(pairs), "products")
-        joined = components(pairs)
-    # what is left: rows of one block of columns, those outside its largest component against all
-    rest = labelled.join(many.select("unit"), "unit").select(*KEY, "node", "label")
-    held = table.select(*KEY, "keys").join(rest, list(KEY)).dropDuplicates(["node"])
-    held = written(held.select(F.explode("keys").alias("unit"), "node", "label"), "held")
-    tally = held.groupBy("unit", "label").agg(F.count("*").alias("n"))
-    tally = tally.groupBy("unit").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"), F.count("*").alias("labels")).where("labels > 1")
-    counted = written(tally.select("unit", "major", _blocks_of(F.col("n") - F.col("most")).alias("of_few"), _blocks_of(F.col("n")).alias("of_all")), "counted")
-    met = held.join(counted, "unit")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = met.where("label <> major").select("unit", _block("node", F.lit(0), F.col("of_few")).alias("i"), each("of_all").alias("j"), F.lit(0).alias("side"), "node", "label")
-    every = met.select("unit", each("of_few").alias("i"), _block("node", F.col("of_all")).alias("j"), F.lit(1).alias("side"), "node", "label")
-    crossed = few.unionByName(every).join(sets.select("node", "shingles"), "node")
-    return components(written(_products(crossed, percent).unionByName(pairs), "products"))
+        several = _relabelled(several, _products(again, percent))
+    if rows:
+        # what is left: rows that share a key, or where that sends fewer rows, of a group, those outside the largest component there against all
+        rest = several.join(open_.select("unit").distinct(), "unit").select("low", "unit", "node", "label")
+        held = written(agreed.join(rest, "low").select("unit", "key", "node", "label").distinct(), "held")
+        by_key, whole = written(_tally(held, "unit", "key"), "tally"), _tally(rest, "unit")
+        sent = by_key.groupBy("unit").agg(F.sum("cost").alias("by_key"))
+        whole = written(whole.join(sent, "unit").where("cost < by_key").select("unit", "major", "of_few", "of_all"), "whole")
+        parts = held.join(by_key.join(whole, "unit", "left_anti"), ["unit", "key"])
+        parts = parts.select(F.xxhash64("unit", "key").alias("unit"), "node", "label", "major", "of_few", "of_all")
+        met = written(parts.unionByName(rest.drop("low").join(whole, "unit")), "met")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        few = met.where("label <> major").select("unit", _block("node", F.lit(0), F.col("of_few")).alias("i"), each("of_all").alias("j"), F.lit(0).alias("side"), "node", "label")
+        every = met.select("unit", each("of_few").alias("i"), _block("node", F.col("of_all")).alias("j"), F.lit(1).alias("side"), "node", "label")
+        several = _relabelled(several, _products(few.unionByName(every).join(sets.select("node", "shingles"), "node"), percent))
+    one = labels.where("blocks = 1").select("node", F.col("label").alias("root"))
+    return one.unionByName(several.select("node", F.col("label").alias("root")))
+
+
+def _tally(rows: DataFrame, *by: str) -> DataFrame:
+    """For sets of rows of several labels: the label of most rows, the blocks of the others and of all, and the rows to send to multiply the others by all."""
+    n = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    n = n.groupBy(*by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("major")).where("most < n")
+    few, of_few, of_all = F.col("n") - F.col("most"), _blocks_of(F.col("n") - F.col("most")), _blocks_of(F.col("n"))
+    return n.select(*by, "major", of_few.alias("of_few"), of_all.alias("of_all"), (F.col("n") * of_few + few * of_all).alias("cost"))
+
+
+def _relabelled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` with their labels joined by pairs of labels; written once."""
+    joined = components(pairs).select(F.col("node").alias("label"), F.col("root").alias("to"))
+    found = rows.join(joined, "label", "left").withColumn("label", F.coalesce("to", "label"))
+    return written(found.select(*rows.columns), "labels")
 
 
 def _rooted(df: DataFrame, id_col: str, text_col: str, gram: int, percent: int) -> DataFrame:
@@ -370,6 +397,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram
     first = found.groupBy("root").agg(least).select(*(F.col(f"least.{k}").alias(o) for k, o in zip(KEY, own, strict=True)))
     times = found.groupBy(*KEY).agg(F.count("*").alias("times")).toDF(*own, unused(df, "_times"))
     chosen = written(first.join(times, own), "chosen")
+    chosen = chosen if chosen.count() > SMALL else F.broadcast(chosen)
     keyed = df.withColumns(dict(zip(own, row_key(id_col, text_col, own), strict=True)))
     once = chosen.columns[-1]
     one = keyed.join(chosen.where(F.col(once) == 1), own)
