@@ -4,26 +4,34 @@ A document is contaminated by a benchmark item if a run of its words is within a
 fifth of the item's length in word edits (similarity 0.8). Words are compared in lower
 case (A-Z) without punctuation at their ends.
 
-- A window as long as the item is looked at where a document shares three words in
-  a row with it. This loses nothing: cut into one part more than the edits allowed,
-  an item keeps some part whole, and that part has three words or more.
-- The CGK random walk embeds window and item: at step j it writes the word it
+- An item is cut into segments of up to ``SEGMENT`` words and a half: if the item is near, so is one
+  of them, so the embedding never has to follow a long run of edits.
+- A window as long as the segment is looked at where a document shares a seed with it.
+  Of a segment with e edits allowed, e + 1 seeds of three words that don't overlap are chosen,
+  those that the fewest items hold. This loses nothing, as e edits leave one of them whole,
+  and passages that many items share place windows only where a segment has nothing else.
+- The CGK random walk embeds window and segment: at step j it writes the word it
   stands on and moves on if a random bit of (word, j) is set, so few edits become
   few differing places.
 - Bit sampling: a repetition reads ``SAMPLES`` places of the embedding; window and
-  item meet if all agree. ``REPETITIONS`` independent walks reach the wanted recall.
-- The pairs that meet are verified by exact edit distance, with the best run of
-  words around the window.
+  segment meet if all agree. ``REPETITIONS`` independent walks reach the wanted recall. A window
+  is embedded once for all segments of its length, however many there are.
+- Items whose segments meet are verified by exact edit distance, with the best run of
+  words around the window. Items of fewer than ``MIN_WORDS`` words, which allow one edit or none, are
+  verified wherever a seed (of one to three words) is shared.
 
 The index of the benchmark has a checked size; a larger benchmark is taken in
-blocks, each against all documents. Items of fewer than ``MIN_WORDS`` words are not
-searched for. Null texts hold no words; a repeated row gets its own results.
+blocks, one after another, each against all documents. Null and empty texts hold no words, on
+either side; a repeated row gets its own results, and so does an item that the benchmark repeats. Empty
+tables give no rows, or leave the documents as they are. Columns other than the id and text are not
+read, whatever their names. Of several runs at the same distance the first counts.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +41,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strataseek.llm.common import texts
+from strataseek.llm.common import texts, written
 
 SIMILARITY = 0.8
-GRAM, MIN_WORDS = 3, 6
+#: Words of a seed, at most; words from which on an item goes through the embedding; words of a segment.
+GRAM, MIN_WORDS, SEGMENT = 3, 6, 30
 REPETITIONS, SAMPLES, SEED = 16, 2, 11
 #: Text bytes of the benchmark that one index may hold.
 MAX_INDEX_BYTES = 8 << 20
-#: Bits of the table that says where a word run may be an item's.
+#: Rows whose words a task holds at once.
+HELD = 1024
+#: Bits of the table that says where a word run may be a seed.
 FILTER_BITS = 21
 
 _ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,11 +67,15 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    if len(codes) < GRAM:
+def grams(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    n = len(codes) - size + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    n = len(codes) - GRAM + 1
-    return sum((codes[i : i + n] * _MIX[i] for i in range(GRAM)), np.zeros(n, np.uint64))
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = (out ^ (out >> np.uint64(31))) * _MIX[0] + codes[i : i + n] * _MIX[1]
+    return out ^ (out >> np.uint64(29))
 
 
 def allowed(n_words: int) -> int:
@@ -108,46 +123,82 @@ def edit_distance_within(item: list[bytes], region: list[bytes]) -> tuple[int, i
     return best, end
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """Start and length of the segments of ``n`` words: of nearly equal length."""
+    parts = max(1, round(n / SEGMENT))
+    edges = [i * n // parts for i in range(parts + 1)]
+    return [(x, y - x) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def seeds(held: list[int], count: int, size: int) -> list[int]:
+    """Starts of ``count`` runs of ``size`` words that don't overlap, so that the sum of ``held`` at them is least."""
+    best: list[tuple[int, tuple[int, ...]] | None] = [(0, ())] * (len(held) + size)  # of the words up to each place
+    for _ in range(count):
+        new: list[tuple[int, tuple[int, ...]] | None] = [None] * len(best)
+        for end in range(size, len(best)):
+            new[end] = new[end - 1]
+            before = best[end - size]
+            if before is not None and (new[end] is None or before[0] + held[end - size] < new[end][0]):
+                new[end] = (before[0] + held[end - size], (*before[1], end - size))
+        best = new
+    return list(best[-1][1])
+
+
 class Index:
-    """A block of the benchmark: word runs that place windows, and the sampled embeddings of its items."""
+    """A block of the benchmark: seeds that place windows, and the sampled embeddings of its segments."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        found = [(i, w) for i, w in ((i, words_of(t or "")) for i, t in items) if len(w) >= MIN_WORDS]
+        found = [(i, w) for i, w in ((i, words_of(t or "")) for i, t in items) if w]
         self.ids = [i for i, _ in found]
         self.words = [w for _, w in found]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        parts = [(item, at, n) for item, w in enumerate(self.words) for at, n in segments(len(w))]
+        self.item, self.offset, lengths = (np.array([p[k] for p in parts], np.int64) for k in range(3))
         rng = np.random.default_rng(SEED)
-        longest = int(self.lengths.max(initial=1))
-        self.moves = rng.integers(0, 1 << 63, (REPETITIONS, 2 * longest), dtype=np.uint64)
+        self.moves = rng.integers(0, 1 << 63, (REPETITIONS, 2 * int(lengths.max(initial=1))), dtype=np.uint64)
         self.fractions = rng.random((REPETITIONS, SAMPLES))
-        codes = hashes([w for ws in self.words for w in ws])
-        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if found else np.empty(0, np.int64)
-        rows = [(int(g), item, o) for item, s in enumerate(starts) for o, g in enumerate(grams(codes[s : s + self.lengths[item]]))]
-        rows.sort()
-        self.gram = np.array([r[0] for r in rows], np.uint64)
-        self.gram_item = np.array([r[1] for r in rows], np.int64)
-        self.gram_at = np.array([r[2] for r in rows], np.int64)
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.gram >> np.uint64(64 - FILTER_BITS)] = True
-        self.keys = [defaultdict(list) for _ in range(REPETITIONS)]  # (length, key) -> items
-        for r in range(REPETITIONS if found else 0):
-            for item, key in enumerate(embedded(codes, starts, self.lengths, self.places(r, self.lengths), self.moves[r])):
-                self.keys[r][int(self.lengths[item]), int(key)].append(item)
+        codes = [hashes(w) for w in self.words]
+        held = Counter(g for c in codes for g in np.unique(grams(c)).tolist())
+        rows: dict[int, set[tuple[int, int, int, int]]] = {k: set() for k in range(1, GRAM + 1)}
+        for part, (item, at, n) in enumerate(parts):
+            count = allowed(n) + 1
+            size = min(GRAM, n // count)
+            runs = grams(codes[item][at : at + n], size).tolist()
+            starts = seeds([held[g] for g in runs], count, size) if size == GRAM else [k * size for k in range(count)]
+            # segments that the embedding finds need no name: a window serves all of its length
+            rows[size] |= {(runs[o], o, n, -1 if len(self.words[item]) >= MIN_WORDS else part) for o in starts}
+        self.tables = []
+        for size, found_rows in rows.items():
+            if found_rows:
+                listed = sorted(found_rows)
+                gram = np.array([r[0] for r in listed], np.uint64)
+                known = np.zeros(1 << FILTER_BITS, bool)
+                known[gram >> np.uint64(64 - FILTER_BITS)] = True
+                self.tables.append((size, gram, np.array([r[1:] for r in listed], np.int64), known))
+        flat = np.concatenate([np.empty(0, np.uint64), *codes])
+        first = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)[self.item] + self.offset if parts else np.empty(0, np.int64)
+        self.keys = [defaultdict(list) for _ in range(REPETITIONS)]  # (length, key) -> segments
+        for r in range(REPETITIONS if parts else 0):
+            for part, key in enumerate(embedded(flat, first, lengths, self.places(r, lengths), self.moves[r])):
+                self.keys[r][int(lengths[part]), int(key)].append(part)
         self.key_sets = [np.unique(np.array([k for _, k in t], np.uint64)) for t in self.keys]
 
     def places(self, r: int, lengths: np.ndarray) -> np.ndarray:
         """Sampled steps of repetition r; a walk needs about two steps a word."""
         return (self.fractions[r][None, :] * 2 * lengths[:, None]).astype(np.int64)
 
-    def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and items of the windows to look at: a run of words at p that is the item's at o puts one at p - o."""
-        runs = grams(codes)
-        at = np.flatnonzero(self.filter[runs >> np.uint64(64 - FILTER_BITS)])
-        low, high = np.searchsorted(self.gram, runs[at], "left"), np.searchsorted(self.gram, runs[at], "right")
-        n = high - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.repeat(at, n) - self.gram_at[rows], self.gram_item[rows]]), axis=1)
-        return pairs[0], pairs[1]
+    def windows(self, codes: np.ndarray) -> np.ndarray:
+        """Start, length and segment (or -1) of the windows to look at: a run of words at p that is a segment's seed at o puts one at p - o."""
+        out = [np.empty((0, 3), np.int64)]
+        for size, gram, rows, known in self.tables:
+            runs = grams(codes, size)
+            at = np.flatnonzero(known[runs >> np.uint64(64 - FILTER_BITS)])
+            low, high = np.searchsorted(gram, runs[at], "left"), np.searchsorted(gram, runs[at], "right")
+            n = high - low
+            if n.sum():
+                which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
+                found = rows[which]
+                out.append(np.stack([np.repeat(at, n) - found[:, 0], found[:, 1], found[:, 2]], 1))
+        return np.unique(np.concatenate(out), axis=0)
 
     def search(self, documents: list[str]) -> list[list[tuple[int, int, int, int, float]]]:
         """For each text its (item id, distance, first word, words, similarity), best run of each item."""
@@ -156,25 +207,29 @@ class Index:
         ends = np.cumsum(sizes)
         codes = hashes([w for ws in words for w in ws])
         out: list[list] = [[] for _ in documents]
-        starts, items = self.windows(codes) if len(self.ids) else (np.empty(0, np.int64),) * 2
+        starts, lengths, part = self.windows(codes).T
         if not len(starts):
             return out
         # the run that placed a window lies in one document; a window that leaves it is cut off there
-        middle = np.clip(starts + self.lengths[items] // 2, 0, len(codes) - 1)
+        middle = np.clip(starts + lengths // 2, 0, len(codes) - 1)
         owner = np.searchsorted(ends, middle, "right")
         first = np.maximum(starts, ends[owner] - sizes[owner])
-        span = np.minimum(starts + self.lengths[items], ends[owner]) - first
-        able = span >= self.lengths[items] - np.array([allowed(n) for n in self.lengths])[items]
-        starts, items, owner, span = first[able], items[able], owner[able], span[able]
+        span = np.minimum(starts + lengths, ends[owner]) - first
+        able = span >= lengths - np.array([allowed(n) for n in range(int(lengths.max()) + 1)])[lengths]
+        starts, lengths, part, owner, first, span = (x[able] for x in (starts, lengths, part, owner, first, span))
         met: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i in np.flatnonzero(part >= 0).tolist():
+            met[int(owner[i]), int(self.item[part[i]])].add(int(starts[i]))
+        many = part < 0
+        starts, lengths, owner, first, span = (x[many] for x in (starts, lengths, owner, first, span))
         for r in range(REPETITIONS if len(starts) else 0):
-            keys = embedded(codes, starts, span, self.places(r, self.lengths[items]), self.moves[r])
-            for i in np.flatnonzero(np.isin(keys, self.key_sets[r])):
-                for item in self.keys[r].get((int(self.lengths[items[i]]), int(keys[i])), ()):
-                    met[int(owner[i]), item].add(int(starts[i]))
+            keys = embedded(codes, first, span, self.places(r, lengths), self.moves[r])
+            for i in np.flatnonzero(np.isin(keys, self.key_sets[r])).tolist():
+                for p in self.keys[r].get((int(lengths[i]), int(keys[i])), ()):
+                    met[int(owner[i]), int(self.item[p])].add(int(starts[i] - self.offset[p]))
         for (d, item), places in met.items():
             if best := self.verified(words[d], item, sorted(p - int(ends[d] - sizes[d]) for p in places)):
-                out[d].append((self.ids[item], *best, 1 - best[0] / int(self.lengths[item])))
+                out[d].append((self.ids[item], *best, 1 - best[0] / len(self.words[item])))
         return [sorted(x, key=lambda hit: (hit[0] is None, hit)) for x in out]
 
     def verified(self, words: list[bytes], item: int, places: list[int]) -> tuple[int, int, int] | None:
@@ -188,6 +243,9 @@ class Index:
                 high = places[i]
                 i += 1
             a, b = max(0, low - 2 * slack), min(len(words), high + size + 2 * slack)
+            near = set(words[a:b])
+            if sum(w not in near for w in target) > slack:  # an edit for each at least
+                continue
             distance, end = edit_distance_within(target, words[a:b])
             if distance <= slack and (best is None or distance < best[0]):
                 _, back = edit_distance_within(target[::-1], words[a : a + end][::-1])
@@ -195,43 +253,51 @@ class Index:
         return best
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of the benchmark's blocks, each of about ``max_bytes`` at most."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> Iterator[tuple[bool, Index]]:
+    """Indexes of the benchmark's blocks, each of about ``max_bytes`` of text (one item at least), made when asked for; and whether it is the last."""
     size = benchmark.agg(F.sum(F.octet_length(text_col) + 16)).first()[0] or 0
     n = max(1, -(-size // max_bytes))
     for b in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == b).select(id_col, text_col).collect()
-        yield Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        yield b == n - 1, Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """A row for each document and item found in it: ``id_col``, item_id, distance, start_word, n_words, similarity. Clean documents have none."""
+    """A row for each document and item found in it: ``id_col``, item_id, distance, start_word, n_words, similarity. Clean documents have none.
+
+    The results of all blocks but the last are written, so that one index at a time is held and sent.
+    """
     schema = T.StructType([documents.schema[id_col], T.StructField("item_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("distance", "start_word", "n_words")), T.StructField("similarity", T.DoubleType())])
     names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema]
-    out = None
-    for index in blocks(benchmark, max_bytes=max_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    def found_by(index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
                 ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
                 found = index.search(texts(batch, text_col))
                 rows = [(d, *hit) for d, hits in zip(ids, found, strict=True) for hit in hits]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-        part = documents.select(id_col, text_col).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return documents.select(id_col, text_col).mapInArrow(run, schema)
+
+    parts = [found_by(index) if last else written(found_by(index), "matches") for last, index in blocks(benchmark, max_bytes=max_bytes)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """The rows of ``documents`` that hold no benchmark item, with their own columns."""
-    for index in blocks(benchmark, max_bytes=max_bytes):
+    """The rows of ``documents`` that hold no benchmark item, with their own columns; written after each block but the last."""
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    def clean(documents: DataFrame, index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
                 found = index.search(texts(batch, text_col))
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        return documents.mapInArrow(run, documents.schema)
+
+    for last, index in blocks(benchmark, max_bytes=max_bytes):
+        documents = clean(documents, index)
+        if not last:
+            documents = written(documents, "clean")
     return documents

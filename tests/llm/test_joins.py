@@ -384,3 +384,70 @@ def test_rows_that_agree_and_do_not_link(spark, monkeypatch):
     mixed_ids = [(None if i % 3 == 0 else i // 2, t) for i, t in rows]
     kept = ngram_join.keep_one(spark.createDataFrame(mixed_ids, "doc_id long, text string")).count()
     assert kept == len({c for _, c in want.values()})
+
+
+@pytest.mark.parametrize("low, high, count", [(1, 5, 120), (6, 14, 120), (15, 60, 100), (61, 130, 60), (131, 400, 25), (401, 1000, 8), (1001, 2000, 4)])
+@pytest.mark.parametrize("kinds", [3, 1])
+def test_recall_by_length(low, high, count, kinds):
+    """Items with all allowed edits (of every kind, or substitutions only) are found at every length."""
+    rng = random.Random(low + kinds)
+    vocab = ["w" + "".join(rng.choices("abcdefgh", k=4)) for _ in range(3000)]
+    items = [rng.choices(vocab, k=rng.randint(low, high)) for _ in range(count)]
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+
+    def changed(w):
+        n = decontaminate.allowed(len(w))
+        if kinds == 3:
+            return edited(rng, w, vocab, n)
+        w = list(w)
+        for p in rng.sample(range(len(w)), n):
+            w[p] = rng.choice(vocab)
+        return w
+
+    found = index.search([" ".join([*rng.choices(vocab, k=70), *changed(w), *rng.choices(vocab, k=40)]) for w in items])
+    assert sum(any(h[0] == i for h in hits) for i, hits in enumerate(found)) >= 0.95 * count
+
+
+def test_shared_openings_cost_linear_time():
+    """Many items with one opening, against a text that repeats it: work grows with the text and the items, not with their product."""
+    import time
+
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(5000)]
+    opening = ["which", "of", "the", "following", "is"]
+    items = [[*opening, *rng.choices(vocab, k=20)] for _ in range(4000)]
+    text = " ".join(w for _ in range(300) for w in [*opening, *rng.choices(vocab, k=20)])
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    began = time.perf_counter()
+    found = index.search([text, text + " " + " ".join(items[17])])
+    assert time.perf_counter() - began < 5
+    assert not found[0] and [h[0] for h in found[1]] == [17]
+
+
+def test_seeds():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, size = rng.randint(3, 12), rng.randint(1, 3)
+        held = [rng.randint(0, 9) for _ in range(n - size + 1)]
+        count = rng.randint(1, n // size)
+        got = decontaminate.seeds(held, count, size)
+        import itertools
+
+        sets = [c for c in itertools.combinations(range(len(held)), count) if all(b - a >= size for a, b in zip(c, c[1:], strict=False))]
+        assert tuple(got) in sets and sum(held[i] for i in got) == min(sum(held[i] for i in c) for c in sets)
+
+
+def test_decontamination_query_exhaustively(spark, sf):
+    """The query against the edit distance of every item to every run of every document."""
+    bench = {r["item_id"]: decontaminate.words_of(r["text"] or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = decontaminate.words_of(r["text"] or "")
+        own = set(words)
+        for i, item in bench.items():
+            if item and sum(w not in own for w in item) <= decontaminate.allowed(len(item)):
+                best, _ = decontaminate.edit_distance_within(item, words)
+                if best <= decontaminate.allowed(len(item)):
+                    want[r["doc_id"], i] = best
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.op2_decontamination(spark, sf).collect()}
+    assert got == want and want
