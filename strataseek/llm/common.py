@@ -27,9 +27,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is named (tests)."""
+    """The shared folder named by the session. Where none is named, a local master (tests) gets a temporary one, and a cluster an error: no folder can be guessed there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="strataseek-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -44,16 +46,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession | None = None) -> None:
-    """Delete the scratch tables of this process; results that still read them become unreadable."""
+def drop_written() -> None:
+    """Delete the scratch tables of this process; results that still read them become unreadable. What can't be deleted stays listed."""
+    left = []
     while _made:
         session, path = _made.pop()
         try:
             jvm = session.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone when the process ends
-            return
+        except Exception:  # noqa: BLE001  the session may be gone when the process ends; the other tables are still tried
+            left.append((session, path))
+    _made.extend(left)
 
 
 atexit.register(drop_written)
@@ -96,15 +100,17 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """The ``rows`` rows of smallest 64-bit hash ``key``.
+    """One row for each of the ``rows`` smallest different values of the 64-bit hash ``key``; rows of equal key count as one.
 
-    Of a larger table only hashes below a bound are ranked, some twice as many rows as wanted, so that
-    not every task sends as many as are wanted in all.
+    Of a larger table only hashes below a bound are ranked, some twice as many values as wanted, so that
+    not every task sends as many as are wanted in all. The bound counts different values, as copies say nothing of how hashes spread.
     """
-    n = df.count()
+    name = unused(df, "_key")
+    keyed = df.withColumn(name, key)
+    n = keyed.select(name).distinct().count()
     if n > 4 * rows:
-        df = df.where(key < F.lit(-(1 << 63) + (1 << 64) * 2 * rows // n))
-    return df.orderBy(key, *df.columns[:1]).limit(rows)
+        keyed = keyed.where(F.col(name) < F.lit(-(1 << 63) + (1 << 64) * 2 * rows // n))
+    return keyed.dropDuplicates([name]).orderBy(name).limit(rows).drop(name)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

@@ -9,8 +9,9 @@ a span raise its score. The base spans of the contract always stay; the method a
 - account numbers (kind ``iban``) that pass mod 97,
 - numbers written as ddd-dd-dddd (kind ``ssn``) where a context word stands near.
 
-Offsets are code points, the end exclusive. Null text counts as empty. Searching
-is linear in the text: patterns are anchored so that no run is scanned twice.
+Offsets are code points, the end exclusive. Null text counts as empty (and stays null when redacted). Searching
+is linear in the text, however long: patterns are anchored so that no run is scanned twice. Repeated rows are treated alike, each
+its own. Columns of other names are not read; an input column named like a result gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations

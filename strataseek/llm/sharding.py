@@ -16,7 +16,11 @@ Slots number a shard's rows without gaps: each input split numbers its own rows
 the splits' counts are summed up.
 
 A null text has no bytes (its size is 1), length 0 and checksum 0; a null or
-missing language sorts as the empty one. Equal rows get slots of their own. An empty table gives an empty result.
+missing language sorts as the empty one. An id that is no whole number goes by its hash where a group is cut. Equal rows get slots
+of their own. Only id, text and language are read, whatever other columns are called. An empty table gives an empty result.
+
+The tree becomes nested conditions: meant for thousands of shards, not for millions. A cut that ``LOOSE`` lets pass misses by 2 % of its
+node's bytes; over the levels a shard is off by some 12 % at worst, and only where groups of copies hold that much of it.
 """
 
 from __future__ import annotations
@@ -58,19 +62,23 @@ def compact(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars, size = F.char_length(text), F.octet_length(text)
     crc = F.crc32(text.cast("binary"))
-    lang = F.rpad(F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in df.columns else F.lit(""), 3, "\0")
+    named = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in df.columns else F.lit("")
+    lang = F.rpad(named, 3, "\0")
     coordinate = {
         "length": F.least(chars, F.lit(SCALE - 1)),
-        "language": F.conv(F.substring(F.hex(F.encode(lang, "utf-8")), 1, 6), 16, 10).cast("long"),
+        # three bytes give the order; six bits of a checksum tell longer names apart
+        "language": F.conv(F.substring(F.hex(F.encode(lang, "utf-8")), 1, 6), 16, 10).cast("long") * 64 + F.crc32(F.encode(named, "utf-8")).bitwiseAND(63),
         "density": F.floor(size.cast("long") * 100_000 / F.greatest(chars, F.lit(1))),
     }
+    number = F.col(id_col).try_cast("long")
     keys = [(F.least(F.greatest(c.cast("long"), F.lit(0)), F.lit(SCALE - 1)) * F.lit(1 << 32) + crc).alias(f"k_{n}") for n, c in coordinate.items()]
     chosen = df.select(
         F.col(id_col).alias("doc_id"),
         (size.cast("long") + 1).alias("size"),
         crc.alias("text_crc32"),
         *keys,
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id_key"),
+        # differences of these keys must fit in 64 bits
+        F.when(number.between(-(1 << 61), 1 << 61), number).otherwise(F.shiftright(F.xxhash64(id_col), 2)).alias("id_key"),
         F.monotonically_increasing_id().alias("place"),
     )
     return written(chosen, "shards")

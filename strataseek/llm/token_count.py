@@ -11,10 +11,12 @@ when first met and kept.
 A word mark after another character is a synchronising symbol (no piece runs
 across it): every state goes to the start state. Words between such marks are
 therefore composed transitions of their own and are memoised. A chunk of text is
-the map "state before -> (tokens, state after)"; maps compose associatively
-(``Span.then``) and long texts are counted by a pairwise scan over their chunks.
+the map "state before -> (tokens, state after)" over the states it may be met in; maps compose
+associatively (``Span.then``), without the text, and long texts are counted by a pairwise scan over their chunks.
+The states kept grow with what has been read and are forgotten between texts beyond a bound.
 
-Null and empty texts have no tokens. Repeated rows count alike.
+Null and empty texts have no tokens. Repeated rows count alike, each its own. Only the id and text are read, whatever other
+columns are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from strataseek.llm.common import Memo, map_batches, texts
 MARK = "▁"
 #: Characters of a text that are counted as one chunk.
 CHUNK = 1 << 16
+#: Characters before a chunk that its state before is guessed from; a wrong guess is put right.
+LOOK = 48
 
 
 class Transducer:
@@ -101,9 +105,6 @@ class Transducer:
     def run(self, state: int, text: str) -> tuple[int, int]:
         """State after ``text`` and the tokens emitted."""
         total, step = 0, self.step
-        if state == 0 and len(step) > 1_500_000:
-            self._forget()
-            step = self.step
         previous = ""
         for c in text:
             if c == MARK and previous not in ("", MARK):
@@ -122,13 +123,21 @@ class Transducer:
         """Tokens of a whole text."""
         if not text:
             return 0
+        if len(self.step) > 1_500_000:
+            self._forget()
         text = MARK + text.replace(" ", MARK)
-        if len(text) <= CHUNK:
-            return Span.of(self, text).total(self)
-        spans = [Span.of(self, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+        chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+        before = ["", *(c[-1] for c in chunks)]
+        # a chunk's likely state before: that after the end of the chunk before it, read from the start state
+        spans = [Span.of(self, c, {0 if not k else self.run(0, chunks[k - 1][-LOOK:])[0]}, before[k]) for k, c in enumerate(chunks)]
+        state = 0
+        for k, c in enumerate(chunks):
+            if state not in spans[k].moves:
+                spans[k].moves |= Span.of(self, c, {state}, before[k]).moves
+            state = spans[k].moves[state][1]
         while len(spans) > 1:
-            spans = [a.then(b[0], self) if b else a for a, *b in (spans[i : i + 2] for i in range(0, len(spans), 2))]
-        return spans[0].total(self)
+            spans = [a.then(b[0]) if b else a for a, *b in (spans[i : i + 2] for i in range(0, len(spans), 2))]
+        return spans[0].moves[0][0]
 
     def words(self, text: str) -> int:
         """Tokens of a text that starts at the start state and ends before a synchronising mark."""
@@ -148,48 +157,35 @@ class Transducer:
 
 
 class Span:
-    """A chunk's map of states: characters before its first synchronising mark, tokens after them, characters from the last one on.
-
-    Without a mark in it the chunk is all ``head`` and its map depends on the state before.
-    """
+    """A chunk's map: state before -> (tokens, state after), over the states it may be met in."""
 
-    __slots__ = ("head", "inner", "tail")
+    __slots__ = ("moves",)
 
-    def __init__(self, head: str, inner: int, tail: str | None):
-        self.head, self.inner, self.tail = head, inner, tail
+    def __init__(self, moves: dict[int, tuple[int, int]]):
+        self.moves = moves
 
     _first = re.compile(f"[^{MARK}]{MARK}").search
 
     @classmethod
-    def of(cls, machine: Transducer, text: str) -> Span:
-        found = cls._first(text)
-        if not found:
-            return cls(text, 0, None)
-        cut = found.start() + 1
+    def of(cls, machine: Transducer, text: str, states: set[int], before: str = "") -> Span:
+        """The map over ``states`` of a text that follows the character ``before``. All states become one at the first synchronising mark."""
+        if before not in ("", MARK) and text.startswith(MARK):
+            cut = 0
+        elif found := cls._first(text):
+            cut = found.start() + 1
+        else:
+            return cls({s: machine.run(s, text)[::-1] for s in states})
         end = len(text.rstrip(MARK)) if text.endswith(MARK) else text.rfind(MARK)
         while end > cut and text[end - 1] == MARK:
             end -= 1
         end = max(end, cut)
-        return cls(text[:cut], machine.words(text[cut:end]), text[end:])
-
-    def then(self, other: Span, machine: Transducer) -> Span:
-        """The map of this chunk followed by ``other``."""
-        if self.tail is None:
-            joined = Span.of(machine, self.head + other.head)
-            if joined.tail is None:
-                return Span(joined.head, other.inner, other.tail)
-        else:
-            seam = Span.of(machine, self.tail + other.head)
-            if seam.tail is None:
-                joined = Span(self.head, self.inner, seam.head)
-            else:
-                joined = Span(self.head, self.inner + machine.words(seam.head) + seam.inner, seam.tail)
-        if other.tail is None:
-            return joined
-        return Span(joined.head, joined.inner + machine.words(joined.tail) + other.inner, other.tail)
-
-    def total(self, machine: Transducer) -> int:
-        return machine.words(self.head) + self.inner + (machine.words(self.tail) if self.tail else 0)
+        after, tail = machine.run(0, text[end:])
+        inner = machine.words(text[cut:end]) if end > cut else 0
+        return cls({s: (machine.run(s, text[:cut])[1] + inner + tail, after) for s in states})
+
+    def then(self, other: Span) -> Span:
+        """The map of this chunk followed by ``other``: of what ``other`` knows, nothing but the map is needed."""
+        return Span({s: (n + other.moves[e][0], other.moves[e][1]) for s, (n, e) in self.moves.items() if e in other.moves})
 
 
 @lru_cache(maxsize=2)

@@ -13,7 +13,9 @@ the two classes differ by more than chance. Everything else covers all texts.
 
 Null and empty texts have no features and get the score of the bias alone. Labels
 that are null are not learnt from; of several labels of a document the highest
-counts. Without any labelled row the score is 0.5 less a hair, predicting 0.
+counts, and of several texts of one the greatest. Without any labelled row the score is 0.5 less a hair, predicting 0.
+Very long texts are read whole; a text's features are distinct, so repetition adds nothing. Repeated rows
+score alike, each its own. Only the id and text are read, whatever other columns are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,10 +138,11 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_
     def make() -> Callable:
         return lambda batch: [[text_features(t) for t in texts(batch, text_col)]]
 
-    # one row a document even where the table repeats it
+    # one row a document even where the table repeats its id: the greatest text, so that the driver gets max_rows at most
+    joined = joined.groupBy(id_col).agg(F.max(text_col).alias(text_col), F.max("toxic").alias("toxic"))
     found = map_batches(joined, make, [("features", T.ArrayType(T.IntegerType()))], [id_col, "toxic"]).collect()
-    rows = sorted({r[id_col]: (r["features"], r["toxic"]) for r in found}.items())
-    return fit([f for _, (f, _) in rows], [t for _, (_, t) in rows])
+    rows = sorted((r[id_col], r["features"], r["toxic"]) for r in found)
+    return fit([f for _, f, _ in rows], [t for *_, t in rows])
 
 
 def score(documents: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,9 @@ from a sample of the keys, a rule is copied to every range that its interval
 touches, and a key that fills several ranges (one hot host) is spread over them.
 
 A null url, or one without ``://``, has an empty host and path. Repeated urls are
-judged alike. Without a fitting rule, ``rule`` is null and the default verdict holds.
+judged alike, each row its own. Without a fitting rule, ``rule`` is null and the default verdict holds. A rule with a
+null host, path or verdict fits nothing; of rules of equal host and path the greatest verdict counts. Urls of any length are read
+whole. Only the id and url are read, whatever other columns are called; without pages the result is empty.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ class Sweep:
     """The stack of open rules at the current key; keys and rules must come in order."""
 
     def __init__(self):
-        self.open: list[tuple[str, list[Rule]]] = []
+        self.open: list[tuple[str, dict[str, Rule], set[int]]] = []
 
     def close_to(self, key: str) -> None:
         while self.open and not key.startswith(self.open[-1][0]):
@@ -75,12 +77,14 @@ class Sweep:
     def push(self, key: str, rule: Rule) -> None:
         self.close_to(key)
         if not self.open or self.open[-1][0] != key:
-            self.open.append((key, []))
-        self.open[-1][1].append(rule)
+            self.open.append((key, {}, set()))
+        _, of_path, sizes = self.open[-1]
+        of_path[rule.path] = max(rule, of_path.get(rule.path, rule))
+        sizes.add(len(rule.path))
 
     def best(self, key: str, path: str) -> Rule | None:
         self.close_to(key)
-        fits = [r for _, rules in self.open for r in rules if path.startswith(r.path)]
+        fits = [of_path[path[:n]] for _, of_path, sizes in self.open for n in sizes if n <= len(path) and path[:n] in of_path]  # a lookup for each length of path
         return max(fits, key=lambda r: (len(r.host) + len(r.path), len(r.host), r.verdict), default=None)
 
 
@@ -97,6 +101,7 @@ def swept(rows: Iterable[tuple], rules: Iterator[tuple[str, Rule]], default: str
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """``id_col``, host, path, rule and verdict of every page; ``rules`` has host, path, verdict."""
+    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
     keyed = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     keyed = keyed.withColumn("key", key_column(F.col("host")))
     schema = T.StructType([pages.schema[id_col], *(T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict"))])

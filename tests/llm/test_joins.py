@@ -451,3 +451,22 @@ def test_decontamination_query_exhaustively(spark, sf):
                     want[r["doc_id"], i] = best
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.op2_decontamination(spark, sf).collect()}
     assert got == want and want
+
+
+@pytest.mark.parametrize("max_rules", [100, 0])
+def test_null_and_repeated_rules(spark, max_rules):
+    rules = spark.createDataFrame([("a.com", "/", "allow"), ("a.com", "/", "block"), (None, "/", "block"), ("a.com", None, "block"), ("a.com", "/x", None), ("a.com", "/x/y", "allow")], "host string, path string, verdict string")
+    long = "http://www.a.com/x/y" + "z" * 200_000
+    pages = spark.createDataFrame([(1, "http://a.com/x", 5, "h"), (1, "http://a.com/x", 5, "h"), (2, long, 5, "h"), (None, None, 5, "h"), (3, "http://b.com/", 5, "h")], "page_id long, url string, key int, host string")
+    got = Counter((r["page_id"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, rules, max_rules=max_rules).collect())
+    assert got == Counter({(1, "a.com/", "block"): 2, (2, "a.com/x/y", "allow"): 1, (None, None, "allow"): 1, (3, None, "allow"): 1})
+
+
+def test_shards_of_other_ids(spark):
+    """String ids, among them of a group that has to be cut, and language tags that begin alike."""
+    rows = [(f"id-{i}", "copy " * 60, "en-US") for i in range(500)] + [(None, f"text {i} " * 30, "en-GB") for i in range(300)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id string, text string, lang string"), 4).collect()
+    assert len(found) == 800 and check_shards(found, 4, 0.1) <= 2
+    tags = [(i, "x" * 40, ("en-US", "en-GB")[i % 2]) for i in range(400)]
+    keys = sharding.compact(spark.createDataFrame(tags, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert keys.select("k_language").distinct().count() == 2

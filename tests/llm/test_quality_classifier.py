@@ -43,3 +43,32 @@ def test_sample_is_bounded(spark, sf):
     labelled, scorer = C.train(table, max_rows=50)
     assert labelled.count() == table.count() and np.count_nonzero(scorer.weights)
     assert labelled.where(F.col("weak").isNull()).isEmpty()
+
+
+def test_a_table_of_copies(spark):
+    """Copies say nothing of how hashes spread: the sample is never empty, and a table of one junk text is rejected whole."""
+    junk = "*** ### $$$ %%% ||| <<< >>> &&& " * 30
+    frame = spark.createDataFrame([(1, junk)], "doc_id long, text string")
+    many = spark.range(100_000).select(F.lit(1).alias("doc_id")).join(frame, "doc_id")
+    rows = C.classify(many).groupBy("kept").count().collect()
+    assert [(r["kept"], r["count"]) for r in rows] == [(False, 100_000)]
+
+
+def test_hash_sample(spark):
+    from strataseek.llm.common import hash_sample
+
+    table = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("x"))
+    got = [r["x"] for r in hash_sample(table, F.xxhash64("x"), 50).collect()]
+    want = sorted((r["h"], r["x"]) for r in table.distinct().select(F.xxhash64("x").alias("h"), "x").collect())[:50]
+    assert sorted(got) == sorted(x for _, x in want)
+
+
+def test_scores_against_brute_force(spark, sf):
+    """Every score of the query's table: the logistic of the weighted sum, feature by feature."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _, scorer = C.train(C.described(docs))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in C.classify(docs).collect():
+        t = texts[r["doc_id"]]
+        z = scorer.bias + sum(float(np.float32(v)) * scorer.weights[i] for i, v in C.features(t, quality_rules.measure(t)).items())
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6 and r["kept"] == (r["score"] >= 0.5)

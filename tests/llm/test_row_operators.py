@@ -184,3 +184,38 @@ def test_held_out_rule(spark, doc):
     import zlib
 
     assert spark.range(1).select(toxicity.held_out(F.lit(doc))).first()[0] == (zlib.crc32(str(doc).encode()) % 5 == 0)
+
+
+def test_mostly_junk():
+    """A corpus of 80 % junk: the share and the verdicts follow the corpus, not a wall."""
+    rng = np.random.default_rng(3)
+    clean = rng.random(20_000) < 0.2
+    right = np.where(clean[:, None], rng.random((20_000, 6)) < 0.97, rng.random((20_000, 6)) < 0.7)
+    votes = np.where(right, 1, -1) * np.where(clean, 1, -1)[:, None]
+    patterns = list(Counter(map(tuple, votes.tolist())).items())
+    share, accuracy = quality_rules.estimate(patterns)
+    assert abs(share - 0.2) < 0.03
+    weight = [quality_rules.weights(a) for a in accuracy]
+    kept = np.array([quality_rules.log_odds(share) + sum(w[x] for x, w in zip(v, weight, strict=True)) >= 0 for v in votes.tolist()])
+    assert (kept == clean).mean() > 0.97
+
+
+def test_scores_against_all_pairs(spark, sf):
+    """The machine's score of every text of a table against the plain sum over all pairs of features."""
+    documents, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    machine = toxicity.train(documents, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.limit(60).collect()}
+    for r in toxicity.score(documents, machine).collect():
+        if r["doc_id"] in texts:
+            used = [machine.weights[i] for i in toxicity.text_features(texts[r["doc_id"]]) if i in machine.weights]
+            z = machine.bias + sum(w for w, _ in used)
+            z += sum(float(used[i][1] @ used[j][1]) for i in range(len(used)) for j in range(i))
+            assert abs(r["score"] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """Repeats of an id reach the driver once, and which one doesn't depend on the order of rows."""
+    rows = [(i % 20, f"text {i} {'vile insult' if i % 20 < 9 else 'kind words'} {i % 7}") for i in range(2000)]
+    labels = spark.createDataFrame([(i, 0, int(i < 9)) for i in range(20)], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.train(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1]))
+    assert a.bias == b.bias and {k: w for k, (w, _) in a.weights.items()} == {k: w for k, (w, _) in b.weights.items()}
