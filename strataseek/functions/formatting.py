@@ -88,15 +88,33 @@ def fingerprint(content: Column) -> Column:
 
 
 def byte_slice(text: Column, start: Column, length: Column) -> Column:
-    """Bytes ``start`` (from 0) to ``start + length`` of the UTF-8 text, widened outwards to whole characters."""
+    """``length`` bytes of the UTF-8 text from the character on that byte ``start`` (from 0) lies in; the last character is taken whole."""
     raw = F.encode(text, "utf-8")
     size = F.octet_length(raw)
     first = F.least(F.greatest(start, F.lit(0)), size)
-    last = F.least(F.greatest(start + length, first), size)
 
     def inside(at: Column) -> Column:  # whether a byte continues a character
         return F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int").between(128, 191)
 
     back = F.coalesce(*(F.when(~F.coalesce(inside(first - k), F.lit(False)), first - k) for k in range(3)), first - 3)
+    last = F.least(back + F.greatest(length, F.lit(0)), size)
     forth = F.coalesce(*(F.when(~F.coalesce(inside(last + k), F.lit(False)), last + k) for k in range(3)), last + 3)
     return F.decode(F.substring(raw, back + 1, forth - back), "utf-8")
+
+
+def url_encode(text: Column) -> Column:
+    return F.url_encode(text)
+
+
+def url_decode(text: Column) -> Column:
+    """Percent signs and pluses of a URL read; a broken escape gives null."""
+    return F.try_url_decode(text)
+
+
+def base64_encode(text: Column) -> Column:
+    return F.base64(F.encode(text, "utf-8"))
+
+
+def base64_decode(text: Column) -> Column:
+    """The text of a base64 string; what isn't one gives null."""
+    return F.decode(F.try_to_binary(text, F.lit("base64")), "utf-8")

@@ -11,21 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _RUN = re.compile(r"[^\W_]+")
-_HAN = re.compile(r"[㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+")
+_HAN = re.compile(r"[㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+")
+_PARTS = r"([㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+)"
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits; stays in the JVM."""
+    """Lower-case runs of letters and digits, runs of Han characters as their overlapping pairs; stays in the JVM."""
     spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(spaced, " "), lambda t: t != "")
+    plain = F.filter(F.split(spaced, " "), lambda t: t != "")
+    han = F.lit(r"^[㐀-鿿豈-﫿]")
 
+    def pairs(part: Column) -> Column:
+        last = F.greatest(F.char_length(part) - 1, F.lit(1))
+        return F.when(F.regexp_like(part, han), F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(part, i, F.lit(2)))).otherwise(F.array(part))
 
-def segment(text: str) -> list[str]:
-    """Words of a text; runs of Han characters by dictionary if one is installed, else as overlapping pairs."""
-    try:
-        import jieba
-    except ImportError:
-        jieba = None
+    parted = F.flatten(F.transform(plain, lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_PARTS)), pairs))))
+    return F.when(F.regexp_like(spaced, F.lit("[㐀-鿿豈-﫿]")), parted).otherwise(plain)
+
+
+def words_of(text: str) -> list[str]:
+    """The driver's reading of ``words``."""
+    return segment(text, dictionary=False)
+
+
+def segment(text: str, dictionary: bool = True) -> list[str]:
+    """Words of a text; runs of Han characters by dictionary if that is wanted and one is installed, else as overlapping pairs."""
+    jieba = None
+    if dictionary:
+        try:
+            import jieba
+        except ImportError:
+            jieba = None
     out = []
     for run in _RUN.findall(text.lower()):
         for part in _HAN.findall(run):
@@ -40,6 +56,6 @@ def segment(text: str) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def segmented(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """As ``words``, with Han runs segmented."""
+    """As ``words``, with Han runs segmented by a dictionary if one is installed."""
     for series in texts:
         yield series.map(lambda t: segment(t or ""))

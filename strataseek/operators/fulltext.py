@@ -14,25 +14,41 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strataseek.functions import formatting, tokens
+from strataseek.operators import incremental
 from strataseek.plans.text_query import Leaf, Node, TextQuery
+from strataseek.sources.pages import documents, extract
 
 K1, B = 1.2, 0.75
-#: Pages that a search ranks.
-TOP = 500
+#: Pages that a search ranks, and ranked pages (three numbers each) that may be sent to every task.
+TOP, SENT = 500, 100_000
 SNIPPET_BYTES, HIT_BEFORE, HIT_EXTRA = 500, 250, 500
 
+def query_terms(text: str, tokenizer=tokens.words) -> list[str]:
+    """The driver's reading of a tokenizer: a run of Han characters becomes the terms that pages hold, side by side."""
+    return tokens.words_of(text) if tokenizer is tokens.words else tokens.segment(text)
+
+
 _WORDS = re.compile(r"[^\W_]+")
+_kept: list[DataFrame] = []
 
 
-def query_terms(text: str) -> list[str]:
-    """The driver's reading of ``tokens.words``."""
-    return _WORDS.findall(text.lower())
+def kept(df: DataFrame) -> DataFrame:
+    """A narrow table that is read several times: cached by the executors (what is lost with one is computed again) until ``release``."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
+def release() -> None:
+    """Drop the cached tables of all queries so far."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 @dataclass(frozen=True)
@@ -76,25 +92,35 @@ def _found_in_index(index: Index, terms: list[str], patterns: list[str]) -> tupl
 
 
 def _found_in_pages(pages: DataFrame, terms: list[str], patterns: list[str], tokenizer) -> tuple[DataFrame, DataFrame]:
-    sized = pages.where(F.trim("body") != "").withColumn("_tokens", tokenizer(F.col("body")))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg(F.size("_tokens")).alias("avgdl"))
+    """One pass over the texts: length, places of the terms and patterns met, of every page; the rest reads that narrow table."""
+
+    def any_like(toks: Column, pattern: str) -> Column:
+        return F.exists(toks, lambda t: t.rlike(pattern))
 
-    def places(term: str) -> Column:
-        return F.filter(F.transform("_tokens", lambda t, i: F.when(t == term, i)), lambda i: i.isNotNull())
+    def wanted(toks: Column) -> Column:
+        known = F.transform(toks, lambda t, i: F.struct((F.array_position(F.array(*map(F.lit, terms)), t).cast("int") - 1 if terms else F.lit(-1)).alias("k"), i.alias("i")))
+        return F.struct(
+            F.size(toks).cast("long").alias("dl"),
+            F.filter(known, lambda x: x["k"] >= 0).alias("at"),
+            *(any_like(toks, p).alias(f"w{i}") for i, p in enumerate(patterns)),
+        )
 
-    def any_like(pattern: str) -> Column:
-        return F.exists("_tokens", lambda t: t.rlike(pattern))
+    # the array of one binds the tokens to a name, so that they are made once
+    seen = F.transform(F.array(tokenizer(F.col("body"))), wanted)[0]
+    narrow = kept(pages.where(F.trim("body") != "").select("file_id", "location", seen.alias("x")))
+    corpus = narrow.agg(F.count("*").alias("n"), F.avg("x.dl").alias("avgdl"))
 
-    columns = [places(t).alias(f"p{i}") for i, t in enumerate(terms)]
-    columns += [any_like(p).alias(f"w{i}") for i, p in enumerate(patterns)]
-    found = sized.select("file_id", "location", F.size("_tokens").cast("long").alias("dl"), *columns)
-    hit = reduce(lambda a, b: a | b, [F.size(f"p{i}") > 0 for i in range(len(terms))] + [F.col(f"w{i}") for i in range(len(patterns))], F.lit(False))
-    return found.where(hit), corpus
+    def places(i: int) -> Column:
+        return F.transform(F.filter("x.at", lambda a: a["k"] == i), lambda a: a["i"])
+
+    columns = [places(i).alias(f"p{i}") for i in range(len(terms))] + [F.col(f"x.w{i}") for i in range(len(patterns))]
+    hit = reduce(lambda a, b: a | b, [F.col(f"x.w{i}") for i in range(len(patterns))], F.size("x.at") > 0)
+    return narrow.where(hit).select("file_id", "location", F.col("x.dl"), *columns), corpus
 
 
 def rank(source: DataFrame | Index, text: str, tokenizer=tokens.words, plain: bool = False) -> DataFrame:
-    """``file_id, location, score`` of all pages that match the query, unsorted."""
-    query = TextQuery(text, query_terms, plain)
+    """``file_id, location, score`` of all pages that match the query, unsorted. The query is read by the same tokenizer as the pages."""
+    query = TextQuery(text, lambda t: query_terms(t, tokenizer), plain)
     leaves = query.leaves()
     terms = list(dict.fromkeys(t for x in leaves for t in x.terms))
     patterns = [x.pattern for x in leaves if x.pattern]
@@ -105,9 +131,13 @@ def rank(source: DataFrame | Index, text: str, tokenizer=tokens.words, plain: bo
         if leaf.pattern:
             return F.coalesce(F.col(f"w{patterns.index(leaf.pattern)}"), F.lit(False)).cast("int")
         first, *rest = leaf.terms
-        if not rest:
-            return F.size(at[first])
-        return F.size(F.filter(at[first], lambda p: reduce(lambda a, b: a & b, [F.array_contains(at[t], (p + k).cast("int")) for k, t in enumerate(rest, 1)])))
+        begins = at[first]
+        for k, t in enumerate(rest, 1):  # where a phrase can begin: by its first word, and by each that follows
+            begins = F.array_intersect(begins, earlier(at[t], k))
+        return F.size(begins)
+
+    def earlier(places: Column, by: int) -> Column:
+        return F.transform(places, lambda p: p - by)
 
     # document frequencies: one row, from the pages that hold any term
     documents = found.agg(*(F.count_if(F.size(at[t]) > 0).alias(f"df{i}") for i, t in enumerate(terms)), F.count("*").alias("_any"))
@@ -161,9 +191,10 @@ def hits_of(body: str, words: list[str], location: int) -> list[dict]:
     raw, out = body.encode(), []
 
     def whole(start: int, length: int) -> str:
-        a, b = max(0, min(start, len(raw))), max(0, min(start + length, len(raw)))
+        a = min(start, len(raw))
         while a > 0 and a < len(raw) and raw[a] & 0xC0 == 0x80:
             a -= 1
+        b = min(a + length, len(raw))  # counted from the character that the start lies in
         while b < len(raw) and raw[b] & 0xC0 == 0x80:
             b += 1
         return raw[a:b].decode()
@@ -216,6 +247,11 @@ def sort_results(results: DataFrame, order: str = "relevance", compat: bool = Fa
     return results.orderBy(keys[order], F.col("score").desc(), "file_id", "location")
 
 
+def _spoken(text: str) -> list[str]:
+    """Words to count, mark and show hits of: Han runs stay whole."""
+    return _WORDS.findall(text.lower())
+
+
 def search(source: DataFrame | Index, meta: DataFrame, text: str, order: str = "relevance", limit: int = TOP, hits: bool = True, plain: bool = False) -> DataFrame:
     """The whole search: rank, take the best, add file data (pages of unknown files go), counts, hits and snippet, sort.
 
@@ -223,17 +259,47 @@ def search(source: DataFrame | Index, meta: DataFrame, text: str, order: str = "
     """
     text = text.strip()
     pages = source.pages if isinstance(source, Index) else source
-    words = query_terms(" ".join(w for w in text.split() if w not in ("AND", "OR", "NOT")))
+    words = _spoken(" ".join(w for w in text.split() if w not in ("AND", "OR", "NOT")))
     best = top(rank(source, text, plain=plain), limit) if words or "*" in text or "?" in text else rank(source, "x").limit(0)
     own = meta.select("file_id", "path", "filename", "mtime", "file_size")
-    out = pages.select("file_id", "location", "body").join(F.broadcast(best), ["file_id", "location"])
-    out = own.join(F.broadcast(out), "file_id")
+    best = F.broadcast(best) if limit <= SENT else best  # rows of three numbers, limit at most
+    out = pages.select("file_id", "location", "body").join(best, ["file_id", "location"]).join(own, "file_id")
     out = out.withColumns({"keyword_count": keyword_count(F.col("body"), words), "snippet": snippet(F.col("body"), words)})
     if hits:
         out = with_hits(out, words)
     return sort_results(out.drop("body"), order)
 
 
+def upsert(index: Index, changed: DataFrame, gone_ids: DataFrame | None = None, tokenizer=tokens.words) -> Index:
+    """The index with the pages of changed files put in the place of their old ones and gone files left out; as if it were built anew.
+
+    Only the changed pages are tokenised; postings of other files are kept as they are. Every page of a changed file is in ``changed``.
+    """
+    stale = changed.select("file_id") if gone_ids is None else changed.select("file_id").unionByName(gone_ids.select("file_id"))
+    stale = stale.distinct()
+    new = build(changed, tokenizer)
+    pages = index.pages.join(stale, "file_id", "left_anti").unionByName(new.pages.select(*index.pages.columns))
+    postings = index.postings.join(stale, "file_id", "left_anti").unionByName(new.postings.select(*index.postings.columns))
+    return Index(pages, postings, pages.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def refresh(spark: SparkSession, root: str, known: DataFrame, index: Index) -> tuple[DataFrame, Index]:
+    """Scan a folder and bring its files (path, filename, mtime, md5, file_size, file_id) and index up to date: new and changed files are read, gone ones go."""
+    disk = documents(spark, root)
+    names = ["path", "filename", "mtime", "md5", "file_size"]
+    todo = incremental.assign_ids(known, incremental.to_index(disk, known))
+    text = extract(todo.select("path", "content")).where("error IS NULL")
+    changed = text.join(todo.select("path", "file_id"), "path").select("file_id", "location", F.col("text").alias("body"))
+    stale = incremental.gone(known, disk).select("file_id").unionByName(todo.select("file_id"))
+    files = known.join(stale, "file_id", "left_anti").select("file_id", *names).unionByName(todo.select("file_id", *names))
+    return files, upsert(index, changed, stale)
+
+
+def file_count(pages: DataFrame | Index) -> DataFrame:
+    """The number of files that have pages."""
+    return (pages.pages if isinstance(pages, Index) else pages).agg(F.countDistinct("file_id").alias("files"))
+
+
 def by_file(ranked: DataFrame) -> DataFrame:
     """Extension: the best score and number of pages of each file."""
     return ranked.groupBy("file_id").agg(F.max("score").alias("score"), F.count("*").alias("pages"))

@@ -32,8 +32,15 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1, rang
     sample = sorted((tuple(r) for r in keyed.select(*keys).orderBy(F.xxhash64(*keys)).limit(100 * n).collect()), key=lambda t: [(x is not None, x) for x in t])
     bounds = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
     key = F.struct(*keys)
-    range_ = sum(((key >= F.struct(*(F.lit(x).cast(keyed.schema[k].dataType).alias(k) for k, x in zip(keys, b, strict=True)))).cast("int") for b in dict.fromkeys(bounds)), F.lit(0))
-    dealt = keyed.withColumn("_range", range_)
+    edges = [F.struct(*(F.lit(x).cast(keyed.schema[k].dataType).alias(k) for k, x in zip(keys, b, strict=True))) for b in dict.fromkeys(bounds)]
+
+    def place(low: int, high: int) -> Column:  # a search by halves: a row is compared with as many bounds as their number has bits
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key >= edges[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    dealt = keyed.withColumn("_range", place(0, len(edges)))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))

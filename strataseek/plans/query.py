@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import paths
@@ -316,12 +316,45 @@ _NOT_REGULAR = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!])|\\[1-9])")
 def valid_pattern(pattern: str) -> bool:
     """Whether a pattern is one of the linear-time kind: it can be read, and has no look-around or back-references."""
     try:
-        re.compile(pattern)
+        re.compile(_CLASS.sub("a", pattern))
     except re.error:
         return False
     return not _NOT_REGULAR.search(pattern)
 
 
+_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
+#: Names of bracket classes and their Java spelling. Fixed values.
+_CLASSES = {
+    "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space",
+    "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "xdigit": "XDigit", "word": "Word",
+}
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern in the spelling of the JVM: named groups without underscores, bracket classes as properties."""
+    names: dict[str, str] = {}
+    out = re.sub(r"(?<!\\)\(\?P?<([A-Za-z_][A-Za-z0-9_]*)>", lambda m: f"(?<{names.setdefault(m[1], f'g{len(names)}')}>", pattern)
+
+    def named(m: re.Match) -> str:
+        if m[2] == "word":
+            return r"\W" if m[1] else r"\w"
+        return rf"\{'P' if m[1] else 'p'}{{{_CLASSES[m[2]]}}}" if m[2] in _CLASSES else m[0]
+
+    return _CLASS.sub(named, out)
+
+
+def _readable(pattern: str) -> bool:
+    """Whether the JVM can read a pattern, so that no job ends with it."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return True
+    try:
+        session._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001  the JVM's error for a pattern it can't read
+        return False
+    return True
+
+
 def predicate(text: str, options: SearchOptions | None = None, now: datetime | None = None, compat: bool = False) -> Column | None:
     """The condition of a query on a row of files; None if it holds for all (an empty query, whatever the options)."""
     options, now = options or SearchOptions(), now or datetime.now(timezone.utc)
@@ -329,7 +362,7 @@ def predicate(text: str, options: SearchOptions | None = None, now: datetime | N
         return None
     if options.regex:
         source = F.col("full_path" if options.match_path else "file_name")
-        return source.rlike(text) if valid_pattern(text) else F.lit(False)
+        return source.rlike(java_pattern(text)) if valid_pattern(text) and _readable(java_pattern(text)) else F.lit(False)
     query = parse(text, options)
     conditions = []
     if query.options.files_only:

@@ -13,13 +13,13 @@ from strataseek.schema import ATTRIBUTES, FILE_ENTRY, FILE_LIST
 
 def load(spark: SparkSession, path: str, broken_is_empty: bool = False) -> DataFrame:
     """Rows of a file list; sizes that can't be read are 0. A row of another width is an error, or with ``broken_is_empty`` the list counts as empty."""
-    raw = spark.read.csv(path, schema=FILE_LIST, header=True, mode="FAILFAST", escape='"', enforceSchema=True)
+    mode = "PERMISSIVE" if broken_is_empty else "FAILFAST"
+    schema = T.StructType([*FILE_LIST.fields, T.StructField("_broken", T.StringType())])
+    # whether a row is broken shows only where all its columns are read
+    raw = spark.read.option("columnPruning", "false").csv(path, schema=schema if broken_is_empty else FILE_LIST, header=True, mode=mode, escape='"', enforceSchema=True, columnNameOfCorruptRecord="_broken")
     out = raw.select("filename", F.coalesce(F.col("size").try_cast("long"), F.lit(0)).alias("size"), "date_created", "date_modified", F.coalesce("attributes", F.lit("")).alias("attributes"))
-    if broken_is_empty:
-        try:
-            raw.write.format("noop").mode("overwrite").save()
-        except PySparkException:
-            return out.limit(0)
+    if broken_is_empty and raw.select("filename", "_broken").where(F.col("_broken").isNotNull()).limit(1).collect():
+        return out.where(F.lit(False))
     return out
 
 

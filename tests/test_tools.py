@@ -166,7 +166,9 @@ def test_sizes(spark, n, shown, document):
 
 
 def test_text_helpers(spark):
-    assert one(spark, formatting.byte_slice(F.lit("aé日x"), F.lit(2), F.lit(2))) == "é日"
+    assert one(spark, formatting.byte_slice(F.lit("aé日x"), F.lit(2), F.lit(2))) == "é"  # the length counts from the character that the start lies in
+    assert one(spark, formatting.byte_slice(F.lit("aé日x"), F.lit(2), F.lit(3))) == "é日"
+    assert fulltext.hits_of("日" * 300 + "词", ["词"], 1)[0]["snippet"] == "日" * 84 + "词"
     assert one(spark, formatting.byte_slice(F.lit("abc"), F.lit(1), F.lit(99))) == "bc"
     assert one(spark, formatting.ellipsis(F.lit("日本語"), 2)) == "日本..."
     assert one(spark, formatting.html_escape(F.lit('<a&"b">'))) == "&lt;a&amp;&quot;b&quot;&gt;"
