@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_classifier, quality_rules, sharding, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
@@ -65,6 +66,38 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"), gram=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def quality_base_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can say."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op3."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def token_limits_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of op6."""
+    return op6_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law of op9 as facts: all rows and bytes in SHARDS shards, slots without gaps, bytes within 2 % of the mean."""
+    of_shard = op9_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("slots"))
+    return of_shard.agg(
+        F.count("*").alias("shards"),
+        F.sum("n").alias("n_rows"),
+        F.sum("bytes").alias("bytes"),
+        F.every((F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"),
+        (F.max("bytes") - F.min("bytes") <= 0.02 * F.avg("bytes")).alias("even"),
+    )
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that don't depend on the tree."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules,
@@ -77,6 +110,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_byte_bpe,
         op9_sharding,
         op10_ngram_jaccard_join,
+        quality_base_numbers,
+        pii_base_counts,
+        token_limits_bytes,
+        shard_balance,
+        shard_sizes,
     )
     return {f.__name__: f for f in found}
 
@@ -85,7 +123,38 @@ def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     url = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
     upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    space = r"[\x20\x09-\x0D]+"
+    found = lambda pattern: f"regexp_extract_all(t, '{pattern}')"
+    figures = "regexp_replace(x, '[^0-9]', '', 'g')"
     return {
+        "quality_base_numbers": rf"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT n, doc_id, t, list_filter(regexp_split_to_array(t, '{space}'), lambda w: w <> '') AS w FROM texts),
+windows AS (SELECT n, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win, i FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT n, i FROM (SELECT *, count(*) OVER (PARTITION BY n, win) AS c FROM windows) WHERE c > 1),
+inside AS (SELECT n, count(DISTINCT i + k) AS r FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY n),
+lines AS (SELECT n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS x FROM texts),
+numbers AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda s: length(s))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words
+  FROM words JOIN lines USING (n) LEFT JOIN inside USING (n))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM numbers""",
+        "pii_base_counts": rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, {found(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')} AS e,
+    list_filter({found(r'[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')}, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(p AS HUGEINT), 0) <= 255))) AS i,
+    list_transform(list_filter({found(r'[0-9](?:[ -]?[0-9])+')}, lambda x: length({figures}) BETWEEN 12 AND 19), lambda x: reverse({figures})) AS c,
+    list_filter({found(r'\+[0-9][ ().0-9-]+[0-9]')}, lambda x: length({figures}) BETWEEN 9 AND 15) AS p
+  FROM texts)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email, CAST(len(i) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(c, lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(x[k] AS INT)
+    ELSE 2 * CAST(x[k] AS INT) - CASE WHEN CAST(x[k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(p) AS BIGINT) AS n_phone FROM found""",
+        "token_limits_bytes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
+        "shard_balance": f"SELECT CAST({SHARDS} AS BIGINT) AS shards, count(*) AS n_rows, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, true AS gapless, true AS even FROM documents",
+        "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'bytes' AS law FROM documents",
         "op10_ngram_jaccard_join": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {upper}), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),

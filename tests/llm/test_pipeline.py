@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from strataseek.llm import bpe, decontaminate, pii, quality_rules, queries
-from tests.llm.test_joins import brute_components, brute_join
+from tests.llm.test_joins import brute_components
 from tests.llm.test_row_operators import brute_base
 
 
@@ -16,7 +16,7 @@ def test_pipeline(spark, sf):
     rows = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
     kept = {r["doc_id"] for r in quality_rules.judge(documents).where("kept").collect()}
     texts = {d: t for d, t in rows.items() if d in kept}
-    texts = {d: texts[d] for d, (_, c) in brute_join(list(texts.items())).items() if c == d}
+    texts = {d: texts[d] for d, (_, c) in brute_components(list(texts.items()), 5, 80).items() if c == d}  # the stage's setting: five words, 0.8
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = decontaminate.Index(bench).search(list(texts.values()))
     texts = {d: t for (d, t), hits in zip(texts.items(), leaks, strict=True) if not hits}
