@@ -311,8 +311,7 @@ def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text
     # one row of each class stands for it; its n-grams are computed again from its text
     wanted = classes.join(groups, "low").join(large, "unit").select(*KEY, "low", "node", "unit", _blocks_of(F.col("members")).alias("blocks"))
     wanted = written(wanted, "wanted")
-    found = wanted if wanted.count() > SMALL else F.broadcast(wanted)
-    found = df.select(F.col(text_col), *row_key(id_col, text_col)).join(found, list(KEY))
+    found = df.select(F.col(text_col), *row_key(id_col, text_col)).join(_sent(wanted), list(KEY))
 
     def make():
         def fn(batch):
@@ -335,7 +334,7 @@ def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text
         before, rows = rows, open_.count()
         if not rows or 2 * rows > before:
             break
-        again = sets.select("node", "shingles").join(open_, "node").select("unit", _block("node", F.lit(turn), F.col("blocks")).alias("i"), *once)
+        again = sets.select("node", "shingles").join(_sent(open_), "node").select("unit", _block("node", F.lit(turn), F.col("blocks")).alias("i"), *once)
         several = _relabelled(several, _products(again, percent))
     if rows:
         # what is left: rows that share a key, or where that sends fewer rows, of a group, those outside the largest component there against all
@@ -350,11 +349,17 @@ def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         few = met.where("label <> major").select("unit", _block("node", F.lit(0), F.col("of_few")).alias("i"), each("of_all").alias("j"), F.lit(0).alias("side"), "node", "label")
         every = met.select("unit", each("of_few").alias("i"), _block("node", F.col("of_all")).alias("j"), F.lit(1).alias("side"), "node", "label")
-        several = _relabelled(several, _products(few.unionByName(every).join(sets.select("node", "shingles"), "node"), percent))
+        crossed = sets.select("node", "shingles").join(_sent(written(few.unionByName(every), "crossed")), "node")
+        several = _relabelled(several, _products(crossed, percent))
     one = labels.where("blocks = 1").select("node", F.col("label").alias("root"))
     return one.unionByName(several.select("node", F.col("label").alias("root")))
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, to be sent to every task where they are few; else the join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def _tally(rows: DataFrame, *by: str) -> DataFrame:
     """For sets of rows of several labels: the label of most rows, the blocks of the others and of all, and the rows to send to multiply the others by all."""
     n = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
@@ -397,10 +402,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram
     first = found.groupBy("root").agg(least).select(*(F.col(f"least.{k}").alias(o) for k, o in zip(KEY, own, strict=True)))
     times = found.groupBy(*KEY).agg(F.count("*").alias("times")).toDF(*own, unused(df, "_times"))
     chosen = written(first.join(times, own), "chosen")
-    chosen = chosen if chosen.count() > SMALL else F.broadcast(chosen)
     keyed = df.withColumns(dict(zip(own, row_key(id_col, text_col, own), strict=True)))
     once = chosen.columns[-1]
-    one = keyed.join(chosen.where(F.col(once) == 1), own)
+    one = keyed.join(_sent(chosen.where(F.col(once) == 1)), own)
     twice = chosen.where(F.col(once) > 1)
     if not twice.isEmpty():  # rows that the table repeats whole
         one = one.unionByName(keyed.join(twice, own).dropDuplicates(own))
