@@ -40,9 +40,9 @@ class ByteBPE:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.split = regex.compile(pattern).findall
-        self.compatible = Memo(self._compatible, 300_000)
-        self.piece_ids = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), 100_000)
-        self.segment_ids = Memo(self._segment, 200_000)
+        self.compatible = Memo(self._compatible, 500_000)
+        self.piece_ids = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), 200_000)
+        self.segment_ids = Memo(self._segment, 400_000)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merges by rank, lowest and leftmost first; quadratic, for short input."""
