@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import argparse
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
@@ -12,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataseek.functions import formatting
 from strataseek.operators import history, search
 from strataseek.plans.options import SearchOptions, SortSpec, parse_dir_sort, parse_sort_name
 from strataseek.schema import FILE_ENTRY
@@ -51,6 +51,11 @@ class Engine:
         self.files = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], FILE_ENTRY)
         return self.files
 
+    def use(self, sources: Iterable[Source]) -> DataFrame:
+        """Other sources; the table is built anew if they differ from those before."""
+        before, self.sources = self.sources, list(sources)
+        return self.files if before == self.sources else self.build()
+
     def load(self, files: DataFrame) -> Engine:
         self.files = files
         return self
@@ -95,6 +100,60 @@ def file_parts(files: DataFrame) -> DataFrame:
     )
 
 
+#: Switches without a value, and what they set. Fixed values.
+FLAGS = {
+    "regex": ("-r", "-regex"),
+    "match_case": ("-i", "-case"),
+    "match_whole_word": ("-w", "-ww", "-whole-word"),
+    "match_path": ("-p", "-match-path", "-s"),
+    "match_diacritics": ("-a", "-diacritics"),
+    "help": ("-h", "-help", "-empty-search-help"),
+    "hide_empty": ("-hide-empty-search-results",),
+    "highlight": ("-highlight",),
+    "count_only": ("-get-result-count",),
+    "ascending": ("-sort-ascending",),
+    "descending": ("-sort-descending",),
+    "idle": ("-pause", "-more", "-save-settings", "-clear-settings"),
+}
+
+#: Switches followed by a value. Fixed values.
+VALUES = {
+    "max_results": ("-n", "-max-results"),
+    "offset": ("-o", "-offset"),
+    "sort": ("-sort",),
+    "increment": ("-inc-run-count",),
+    "get_run_count": ("-get-run-count",),
+    "csv": ("-csv",),
+    "efu": ("-efu",),
+    "txt": ("-txt",),
+    "m3u": ("-m3u",),
+    "m3u8": ("-m3u8",),
+    "idle": ("-instance", "-timeout", "-highlight-color", "-filename-color", "-name-color", "-path-color"),
+}
+
+#: Switches that choose columns. Fixed values.
+COLUMNS = {
+    "file_name": ("-name",),
+    "full_path": ("-path-column",),
+    "size": ("-size",),
+    "extension": ("-extension", "-ext"),
+    "date_created": ("-date-created", "-dc"),
+    "date_modified": ("-date-modified", "-dm"),
+    "date_accessed": ("-date-accessed", "-da"),
+    "attributes": ("-attributes", "-attribs", "-attrib"),
+    "file_list_filename": ("-file-list-file-name",),
+    "run_count": ("-run-count",),
+    "date_run": ("-date-run",),
+    "date_recently_changed": ("-date-recently-changed", "-rc"),
+}
+
+EXPORTS = ("csv", "efu", "txt", "m3u", "m3u8")
+
+
+def _by_switch(table: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    return {s: name for name, switches in table.items() for s in switches}
+
+
 @dataclass
 class Command:
     """A command line, read."""
@@ -106,43 +165,49 @@ class Command:
     increment: str | None = None
     get_run_count: str | None = None
     count_only: bool = False
+    help: bool = False
+    hide_empty: bool = False
+    highlight: bool = False
+    columns: tuple[str, ...] = ()
 
 
 def parse_command(args: list[str]) -> Command:
-    """Switches of the command line; what isn't one is the query."""
-    p = argparse.ArgumentParser(prog="strataseek", allow_abbrev=False, add_help=False)
-    flag = {"action": "store_true"}
-    p.add_argument("-r", "-regex", dest="regex", **flag)
-    p.add_argument("-i", "-case", dest="match_case", **flag)
-    p.add_argument("-w", "-ww", "-whole-word", dest="match_whole_word", **flag)
-    p.add_argument("-p", "-match-path", dest="match_path", **flag)
-    p.add_argument("-a", "-diacritics", dest="match_diacritics", **flag)
-    p.add_argument("-n", dest="max_results", type=int, default=0)
-    p.add_argument("-o", dest="offset", type=int, default=0)
-    p.add_argument("-sort", dest="sort", default="name")
-    p.add_argument("-sort-ascending", dest="descending", action="store_const", const=False)
-    p.add_argument("-sort-descending", dest="descending", action="store_const", const=True)
-    for kind in ("csv", "efu", "txt", "m3u", "m3u8"):
-        p.add_argument(f"-{kind}", dest=f"export_{kind}")
-    p.add_argument("-set-run-count", nargs=2)
-    p.add_argument("-inc-run-count")
-    p.add_argument("-get-run-count")
-    p.add_argument("-get-result-count", dest="count_only", **flag)
-    p.add_argument("words", nargs="*")
-    known = p.parse_args(args)
-    spec = parse_sort_name(known.sort) or parse_dir_sort(known.sort) or SortSpec()
-    if known.descending is not None:
-        spec = replace(spec, descending=known.descending)
-    names = ("regex", "match_case", "match_whole_word", "match_path", "match_diacritics", "max_results", "offset")
-    options = SearchOptions(sort=spec, **{n: getattr(known, n) for n in names})
-    export = next(((k, v) for k in ("csv", "efu", "txt", "m3u", "m3u8") if (v := getattr(known, f"export_{k}"))), None)
-    runs = (known.set_run_count[0], int(known.set_run_count[1])) if known.set_run_count else None
-    return Command(" ".join(known.words), options, export, runs, known.inc_run_count, known.get_run_count, known.count_only)
-
-
-def run_command(engine: Engine, args: list[str]) -> DataFrame | int | None:
-    """Carry out a command line: results, a count, or None for a change of the history."""
+    """Switches of the command line; what isn't one is the query. Those of terminals, settings and other programs are read and idle."""
+    flags, values, columns = _by_switch(FLAGS), _by_switch(VALUES), _by_switch(COLUMNS)
+    given: dict[str, str | bool] = {}
+    words, shown, runs = [], [], None
+    rest = iter(args)
+    for x in rest:
+        if x in flags:
+            given[flags[x]] = True
+        elif x in columns:
+            shown.append(columns[x])
+        elif x in values:
+            given[values[x]] = next(rest, "")
+        elif x == "-set-run-count":
+            runs = (next(rest, ""), _whole(next(rest, "")))
+        else:
+            words.append(x)
+    sort = str(given.get("sort", "name"))
+    spec = parse_sort_name(sort) or parse_dir_sort(sort) or SortSpec()
+    if "ascending" in given or "descending" in given:
+        spec = replace(spec, descending="descending" in given)
+    switches = {n: n in given for n in ("regex", "match_case", "match_whole_word", "match_path", "match_diacritics")}
+    options = SearchOptions(sort=spec, max_results=_whole(given.get("max_results", "")), offset=_whole(given.get("offset", "")), **switches)
+    export = next(((k, given[k]) for k in EXPORTS if given.get(k)), None)
+    own = {n: n in given for n in ("count_only", "help", "hide_empty", "highlight")}
+    return Command(" ".join(words), options, export, runs, given.get("increment"), given.get("get_run_count"), columns=tuple(dict.fromkeys(shown)), **own)
+
+
+def _whole(text: str) -> int:
+    return int(text) if text.isdecimal() else 0
+
+
+def run_command(engine: Engine, args: list[str]) -> DataFrame | int | str | None:
+    """Carry out a command line: results, a count, the list of switches, or None for a change of the history."""
     c = parse_command(args)
+    if c.help:
+        return "\n".join(" ".join(s) for table in (FLAGS, VALUES, COLUMNS) for s in table.values()) + "\n-set-run-count"
     if c.set_run_count:
         return engine.set_run_count(*c.set_run_count)
     if c.increment:
@@ -150,6 +215,8 @@ def run_command(engine: Engine, args: list[str]) -> DataFrame | int | None:
     if c.get_run_count:
         return engine.run_count(c.get_run_count)
     found = engine.search(c.query, c.options)
+    if c.hide_empty and not c.query:
+        found = found.where(F.lit(False))
     if c.count_only:
         return found.count()
     if c.export:
@@ -160,7 +227,9 @@ def run_command(engine: Engine, args: list[str]) -> DataFrame | int | None:
             found.select("file_name", "full_path", "size", "date_modified").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
         else:
             sinks.write_paths(found, path, kind)
-    return found
+    if c.highlight:
+        found = found.withColumn("highlighted", formatting.highlight(F.col("full_path"), c.query.split()))
+    return found.select(*c.columns, *(["highlighted"] if c.highlight else [])) if c.columns else found
 
 
 class Catalog:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -133,11 +135,32 @@ def renamed(name: Column, number: Column, rules: list[RenameRule]) -> Column:
     return F.when(ending == "", stem).otherwise(F.concat(stem, F.lit("."), ending))
 
 
-def rename_preview(files: DataFrame, rules: list[RenameRule]) -> DataFrame:
-    """Old and new path of every file, numbered in the order of the scan."""
+def rename_preview(files: DataFrame, rules: list[RenameRule], folder: str | None = None) -> DataFrame:
+    """Old and new path of every file, numbered in the order of the scan; new ones are in ``folder`` if named, else beside the old."""
     shown = numbered(files, [F.col("file_ord")], "number")
     new = renamed(F.col("file_name"), F.col("number"), rules)
-    return shown.select("number", F.col("full_path").alias("old_path"), F.concat_ws("/", "parent_path", new).alias("new_path"))
+    where = F.col("parent_path") if folder is None else F.lit(folder.rstrip("/"))
+    return shown.select("number", F.col("full_path").alias("old_path"), F.concat_ws("/", where, new).alias("new_path"))
+
+
+def rename(preview: DataFrame, copy: bool = False) -> list[tuple[str, str]]:
+    """Carry a preview out on the driver's file system, in its order: move, or copy files and whole folders.
+
+    Stops at the first error, which names the file; what was done until then stays done.
+    """
+    done = []
+    for r in preview.orderBy("number").select("old_path", "new_path").toLocalIterator():
+        try:
+            if not copy:
+                os.rename(r["old_path"], r["new_path"])
+            elif os.path.isdir(r["old_path"]):
+                shutil.copytree(r["old_path"], r["new_path"], dirs_exist_ok=True)
+            else:
+                shutil.copyfile(r["old_path"], r["new_path"])
+        except OSError as e:
+            raise OSError(f"{len(done)} files done, then {r['old_path']}: {e}") from e
+        done.append((r["old_path"], r["new_path"]))
+    return done
 
 
 def clipboard(files: DataFrame, most: int = 50) -> DataFrame:

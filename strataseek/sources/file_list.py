@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +79,25 @@ def load_database(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("entries").alias("e")).select("e.*")
 
 
-def save_database(files: DataFrame, path: str) -> None:
-    """The native form of a database: Parquet, split by rows."""
-    files.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def save_database(files: DataFrame, path: str, form: str = "parquet") -> None:
+    """Write a database: Parquet, split by rows, or with ``form="json"`` what ``load_database`` reads.
+
+    JSON goes out as bzip2, one document of entries for each partition, streamed.
+    """
+    if form == "parquet":
+        files.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return
+    if form != "json":
+        raise ValueError(f"no such form of a database: {form}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"magic":"EZDB","entries":['
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([before + lines[0], *("," + x for x in lines[1:])])], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]}" if before == "," else before + "]}"])], names=["value"])
+
+    entries = files.select(F.to_json(F.struct(*FILE_ENTRY.names)).alias("value"))
+    entries.mapInArrow(run, "value string").write.mode("overwrite").option("compression", "bzip2").text(path)

@@ -1,8 +1,8 @@
-"""Pages of documents: (location, text) of txt, docx, xlsx and pptx files, and of a PDF's text layer.
+"""Pages of documents: (location, text) of pdf (its text layer), txt, docx, xlsx, xls and pptx files.
 
 Contents come through Spark's binary reader, so any store that it reads will do. A
-file that can't be read gives one row with its error and no page. No library for PDF
-or the old binary spreadsheet is assumed; register one with ``EXTRACTORS``.
+file that can't be read gives one row with its error and no page. Readers are this package's own;
+``EXTRACTORS`` takes others.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from decimal import Decimal
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataseek.functions import formatting, paths
+from strataseek.sources.pdf import page_texts
+from strataseek.sources.xls import sheets
 
 #: Extensions that are indexed. Fixed values.
 INDEXABLE = "pdf docx txt xlsx xls pptx".split()
@@ -45,8 +49,14 @@ def docx(data: bytes) -> list[tuple[int, str]]:
     return list(enumerate((t for t in texts if t.strip()), 1))
 
 
+def pdf(data: bytes) -> list[tuple[int, str]]:
+    """Pages with text; a file without pages gives an empty first one."""
+    found = page_texts(data)
+    return split_pages("\f".join(t.replace("\f", " ") for t in found)) if found else [(1, "")]
+
+
 def xlsx(data: bytes) -> list[tuple[int, str]]:
-    """A page for each sheet with rows: cells followed by a space, rows by a line feed."""
+    """A page for each sheet with a value: its used range, cells followed by a space, rows by a line feed."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
@@ -54,13 +64,45 @@ def xlsx(data: bytes) -> list[tuple[int, str]]:
             shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
-        for i, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"), 1):
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
             target = targets[sheet.get(f"{_R}id")].lstrip("/")
             rows = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_S}row")
-            text = "".join("".join(_cell(c, shared) + " " for c in row.findall(f"{_S}c")) + "\n" for row in rows)
-            if text:
-                out.append((i, text))
-    return out or [(1, "")]
+            out.append(_ranged(rows, shared))
+    return _sheet_pages(out)
+
+
+def xls(data: bytes) -> list[tuple[int, str]]:
+    """As ``xlsx``."""
+    return _sheet_pages([[[_plain(v) for v in row] for row in sheet] for sheet in sheets(data)])
+
+
+def _sheet_pages(found: list[list[list[str]]]) -> list[tuple[int, str]]:
+    texts = ["".join("".join(f"{v} " for v in row) + "\n" for row in rows) for rows in found]
+    return [(i, t) for i, t in enumerate(texts, 1) if t.strip()] or [(1, "")]
+
+
+def _plain(value: str | float | bool | None) -> str:
+    """A cell's value as text: numbers without exponent, whole ones without fraction."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return str(int(value)) if value.is_integer() else format(Decimal(repr(value)), "f")
+    return value or ""
+
+
+def _ranged(rows: Iterable[ElementTree.Element], shared: list[str]) -> list[list[str]]:
+    """The cells of the used range, missing ones blank; a cell or row that doesn't name its place follows the one before."""
+    cells, line = {}, 0
+    for row in rows:
+        line, column = int(row.get("r") or line + 1), 0
+        for c in row.findall(f"{_S}c"):
+            named = re.match("[A-Z]+", c.get("r") or "")
+            column = reduce(lambda n, x: 26 * n + ord(x) - 64, named[0], 0) if named else column + 1
+            cells[line, column] = _cell(c, shared)
+    if not cells:
+        return []
+    lines, columns = [x for x, _ in cells], [x for _, x in cells]
+    return [[cells.get((i, j), "") for j in range(min(columns), max(columns) + 1)] for i in range(min(lines), max(lines) + 1)]
 
 
 def _cell(c: ElementTree.Element, shared: list[str]) -> str:
@@ -73,7 +115,7 @@ def _cell(c: ElementTree.Element, shared: list[str]) -> str:
         return shared[int(value)]
     if kind == "b":
         return "true" if value == "1" else "false"
-    return value
+    return _plain(float(value)) if kind in (None, "n") else value
 
 
 def pptx(data: bytes) -> list[tuple[int, str]]:
@@ -89,14 +131,7 @@ def pptx(data: bytes) -> list[tuple[int, str]]:
     return out or [(1, "")]
 
 
-def _missing(kind: str) -> Callable:
-    def fail(data: bytes):
-        raise NotImplementedError(f"no reader for {kind} is installed")
-
-    return fail
-
-
-EXTRACTORS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {"txt": txt, "docx": docx, "xlsx": xlsx, "pptx": pptx, "pdf": _missing("pdf"), "xls": _missing("xls")}
+EXTRACTORS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {"pdf": pdf, "docx": docx, "txt": txt, "xlsx": xlsx, "xls": xls, "pptx": pptx}
 
 PAGES = T.StructType([T.StructField("path", T.StringType()), T.StructField("location", T.LongType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -124,6 +159,12 @@ def extract(files: DataFrame, extractors: dict | None = None) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, PAGES)
 
 
+def eligible(files: DataFrame) -> DataFrame:
+    """How many of the files (path) an index would take in."""
+    wanted = F.lower(paths.extension(paths.file_name(F.col("path")))).isin(INDEXABLE)
+    return files.agg(F.count_if(wanted).alias("files"))
+
+
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """Indexable files below a folder: path, filename, mtime (epoch seconds), file_size, md5 (the fingerprint), content."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

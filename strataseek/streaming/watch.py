@@ -59,6 +59,12 @@ def follow(events: DataFrame, load: Callable[[], DataFrame], scan: Callable[[Dat
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def rebuild(spark: SparkSession, make: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1800 seconds"):
+    """Make the table anew again and again; ``save`` gets it with the turn's number, and writes a new version."""
+    ticks = spark.readStream.format("rate").load()
+    return ticks.writeStream.foreachBatch(lambda _, number: save(make(), number)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by window and kind, on event time with a watermark."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

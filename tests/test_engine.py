@@ -26,12 +26,19 @@ def test_engine(spark, tmp_path):
     assert run_command(engine, ["-get-run-count", path]) == 2
     run_command(engine, ["-txt", str(tmp_path / "out"), "ext:txt"])
     assert spark.read.text(str(tmp_path / "out")).count() == 2
+    shown = run_command(engine, ["-size", "-name", "-highlight", "-pause", "-timeout", "9", "c.txt"])
+    assert [tuple(r) for r in shown.collect()] == [(9, "c.txt", "/z/【c.txt】")]
+    assert run_command(engine, ["-hide-empty-search-results"]).isEmpty() and "-sort" in run_command(engine, ["-help"])
+    before = engine.files
+    assert engine.use(engine.sources) is before
+    assert [r["file_name"] for r in engine.use([Source("file_list", str(tmp_path / "l.efu"))]).collect()] == ["c.txt"]
 
 
 def test_command_line():
     c = parse_command(["-r", "-p", "-o", "5", "-sort", "dm", "-sort-descending", "^a", "b"])
     assert c.query == "^a b" and c.options.regex and c.options.match_path and c.options.offset == 5
     assert c.options.sort == SortSpec(SortField.DATE_MODIFIED, True) and c.options.max_results == 0
+    assert parse_command(["a", "-unknown", "b", "-n", "x"]).query == "a -unknown b"
 
 
 def test_catalog(spark, tmp_path):

@@ -5,7 +5,9 @@ import glob
 import io
 import json
 import os
+import struct
 import zipfile
+import zlib
 from datetime import datetime
 
 import pytest
@@ -84,6 +86,17 @@ def test_database(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "db")).count() == 1
 
 
+@pytest.mark.parametrize("rows", [0, 7])
+def test_database_as_json(spark, tree, tmp_path, rows):
+    df = fsindex.index_folder(spark, str(tree)).limit(rows)
+    file_list.save_database(df.repartition(3), str(tmp_path / "db"), "json")
+    assert all(f.endswith(".bz2") for f in glob.glob(str(tmp_path / "db" / "part-*")))
+    back = file_list.load_database(spark, str(tmp_path / "db"))
+    key = lambda d: sorted(map(repr, d.drop("date_created", "date_modified", "date_accessed", "date_recently_changed", "date_run").collect()))
+    assert back.count() == rows and key(back) == key(df)
+    assert back.select("date_modified").subtract(df.select(F.date_trunc("millisecond", "date_modified"))).isEmpty()
+
+
 def _zip(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -98,13 +111,97 @@ def test_extraction(spark):
     docx = _zip({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{p("one")}{p(" ")}<w:tbl>{p("cell")}</w:tbl>{p("two")}</w:body></w:document>'})
     slide = '<p xmlns:a="x"><a:t>{}</a:t></p>'
     pptx = _zip({"ppt/slides/slide1.xml": slide.format("first"), "ppt/slides/slide2.xml": slide.format(" "), "ppt/slides/slide3.xml": slide.format("third"), "ppt/slides/slide5.xml": slide.format("lost")})
-    rows = [("/x/a.docx", docx), ("/x/b.PPTX", pptx), ("/x/c.txt", "été".encode()), ("/x/bad.txt", b"\xff"), ("/x/bad.docx", b"no zip"), ("/x/d.pdf", b"%PDF"), ("/x/e.bin", b"?"), ("/x/f.txt", None)]
+    rows = [("/x/a.docx", docx), ("/x/b.PPTX", pptx), ("/x/c.txt", "été".encode()), ("/x/bad.txt", b"\xff"), ("/x/bad.docx", b"no zip"), ("/x/d.pdf", b"%PDF"), ("/x/g.xls", b"?"), ("/x/e.bin", b"?"), ("/x/f.txt", None)]
     got = pages.extract(spark.createDataFrame(rows, "path string, content binary")).collect()
     good = sorted((r["path"], r["location"], r["text"]) for r in got if r["error"] is None)
     assert good == [("/x/a.docx", 1, "one"), ("/x/a.docx", 2, "two"), ("/x/b.PPTX", 1, "first"), ("/x/b.PPTX", 3, "third"), ("/x/c.txt", 1, "été"), ("/x/f.txt", 1, "")]
-    assert sorted(r["path"] for r in got if r["error"]) == ["/x/bad.docx", "/x/bad.txt", "/x/d.pdf"]
+    assert sorted(r["path"] for r in got if r["error"]) == ["/x/bad.docx", "/x/bad.txt", "/x/d.pdf", "/x/g.xls"]
     assert pages.split_pages("a\f \fb\n") == [(1, "a"), (3, "b")]
     assert pages.split_pages(" ") == []
+    assert pages.eligible(spark.createDataFrame([("/a/b.PDF",), ("/a/pdf",), ("/c.exe",), (None,)], "path string")).first()["files"] == 1
+
+
+def _pdf(objects, ahead=b""):
+    return b"%PDF-1.7\n" + ahead + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects.items()) + b"trailer <</Root 1 0 R>>\n%%EOF"
+
+
+def _stream(data, entries=b""):
+    return b"<</Length %d %s>>\nstream\n%s\nendstream" % (len(data), entries, data)
+
+
+def test_text_layer():
+    packed = _stream(zlib.compress(b"BT /F1 12 Tf 72 700 Td (Gr\\374n \\(a\\)) Tj 0 -14 Td [(wo) -20 (rd) -300 (next)] TJ ET"), b"/Filter /FlateDecode")
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfrange <0001> <0002> <6587> <0005> <0006> [<0041> <00420043>] endbfrange 1 beginbfchar <0009> <D83DDE00> endbfchar"
+    unpacked = {
+        1: b"<</Type /Catalog /Pages 2 0 R>>",
+        2: b"<</Type /Pages /Kids [6 0 R 3 0 R 9 0 R] /Count 3 /Resources <</Font <</F1 5 0 R>>>>>>",
+        3: b"<</Type /Page /Parent 2 0 R /Contents [4 0 R]>>",
+        4: packed,
+        5: b"<</Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding>>",
+        6: b"<</Type /Page /Contents 7 0 R /Resources <</Font <</F2 8 0 R>> /XObject <</X 11 0 R>>>>>>",
+        7: _stream(b"q /X Do Q BT /F2 9 Tf <000100020005> Tj T* <00060009> Tj ET BI /W 1 ID (BT) EI BT (x) Tj ET"),
+        8: b"<</Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 10 0 R>>",
+        9: b"<</Type /Page>>",
+        10: _stream(cmap),
+        11: _stream(b"BT /F2 9 Tf <0005> Tj ET", b"/Subtype /Form"),
+    }
+    expected = [(1, "A\n文斈A\nBC\U0001f600"), (2, "Grün (a)\nword next")]
+    assert pages.pdf(_pdf(unpacked)) == expected
+    inner = {n: unpacked[n] for n in (1, 2, 3, 5)}
+    places, body = [], b""
+    for n, o in inner.items():
+        places.append(b"%d %d" % (n, len(body)))
+        body += o + b" "
+    head = b" ".join(places) + b" "
+    rows = head + body
+    wide = 16
+    rows += b" " * (-len(rows) % wide)
+    up, before = b"", bytes(wide)
+    for at in range(0, len(rows), wide):
+        row = rows[at : at + wide]
+        up, before = up + b"\2" + bytes((x - y) & 255 for x, y in zip(row, before, strict=True)), row
+    objects = {n: o for n, o in unpacked.items() if n not in inner}
+    objects[12] = _stream(zlib.compress(up), b"/Type /ObjStm /N 4 /First %d /Filter [/FlateDecode] /DecodeParms [<</Predictor 12 /Columns %d>>]" % (len(head), wide))
+    assert pages.pdf(_pdf(objects)) == expected
+    assert pages.pdf(_pdf({1: b"<</Type /Catalog>>"})) == [(1, "")]
+    with pytest.raises(ValueError, match="encrypted"):
+        pages.pdf(_pdf(unpacked) + b"trailer <</Encrypt 9 0 R>>")
+
+
+def _compound(stream, small):
+    """A compound file that holds the stream, among its small ones or not."""
+    sector = lambda b: b + bytes(-len(b) % 512)
+    chain = lambda at, n: [*range(at + 1, at + n), 0xFFFFFFFE]
+    n = -(-len(stream) // 512)
+    entry = lambda name, kind, start, size: (name.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + bytes(48) + struct.pack("<IQ", start, size)
+    table = [0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE, *chain(3, n)]
+    minis = chain(0, -(-len(stream) // 64))
+    top = entry("Root Entry", 5, 3 if small else 0xFFFFFFFE, len(stream) if small else 0) + entry("Workbook", 2, 0 if small else 3, len(stream))
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(10)
+    head += struct.pack("<IIIIIIII", 1, 1, 0, 4096 if small else 0, 2, 1, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    pad = lambda x: sector(b"".join(struct.pack("<I", i) for i in x))
+    return head + pad(table) + sector(top) + pad(minis) + sector(stream)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_binary_workbook(small):
+    record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    at = lambda r, c, form, *v: struct.pack(f"<HHH{form}", r, c, 0, *v)
+    bof, eof = record(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0)), record(0x0A, b"")
+    text = lambda s, wide: struct.pack("<HB", len(s), wide) + s.encode("utf-16-le" if wide else "latin-1")
+    # the second string goes on in the next record, wide there
+    shared = record(0xFC, struct.pack("<II", 2, 2) + text("文档", 1) + struct.pack("<HB", 4, 0) + b"ab") + record(0x3C, b"\1" + "cd".encode("utf-16-le"))
+    cells = [(0xFD, at(0, 1, "I", 0)), (0xFD, at(1, 1, "I", 1)), (0x203, at(1, 2, "d", 0.1)), (0x27E, at(2, 1, "I", (7 << 2) | 2)), (0x205, at(2, 2, "BB", 1, 0)), (0xBD, at(3, 1, "IHIH", (150 << 2) | 3, 0, 0xFFFFFFF2, 0))]
+    cells += [(0x06, at(4, 1, "d", 3.0) + bytes(8)), (0x06, at(4, 2, "B5xH", 0, 0xFFFF) + bytes(8)), (0x207, text("sum", 0)), (0x205, at(5, 2, "BB", 7, 1))]
+    sheet = bof + b"".join(record(k, b) for k, b in cells) + eof
+    names = [b"One", b"Two"]
+    size = len(bof) + sum(4 + 8 + len(n) for n in names) + len(shared) + len(eof)
+    places = [size, size + len(sheet)]
+    bound = b"".join(record(0x85, struct.pack("<IBBBB", p, 0, 0, len(n), 0) + n) for p, n in zip(places, names, strict=True))
+    stream = bof + bound + shared + eof + sheet + bof + eof
+    assert pages.xls(_compound(stream, small)) == [(1, "文档  \nabcd 0.1 \n7 true \n1.5 -4 \n3 sum \n  \n")]
+    with pytest.raises(ValueError):
+        pages.xls(b"PK")
 
 
 def test_workbook_round_trip(spark, tmp_path):
@@ -153,12 +250,35 @@ def test_renaming(spark):
     df = spark.createDataFrame([(i, f"/d/f{i}.txt", f"f{i}.txt", "/d") for i in range(12)], "file_ord long, full_path string, file_name string, parent_path string")
     new = [r["new_path"] for r in listing.rename_preview(df, [R(find="f", replace="g", prefix="p-", counter_format="_{n}"), R(suffix="!", new_extension="md")]).orderBy("number").collect()]
     assert new[0] == "/d/p-g0_1!.md" and new[11] == "/d/p-g11_12!.md"
+    assert listing.rename_preview(df, [R()], "/e/").orderBy("number").first()["new_path"] == "/e/f0.txt"
     name = lambda n, k, *rules: one(spark, listing.renamed(F.lit(n), F.lit(k), list(rules)))
     assert name("a.txt", 1500, R(counter_format="{N}")) == "a1500.txt"
     assert name(".bashrc", 1, R(prefix="x")) == "x.bashrc"
     assert name("a", 1, R(counter_format="{N}{x}")) == "a"
 
 
+def test_renaming_files(spark, tree):
+    preview = lambda *rows: spark.createDataFrame([(i, f"{tree}/{a}", f"{tree}/{b}") for i, (a, b) in enumerate(rows)], "number long, old_path string, new_path string")
+    listing.rename(preview(("a.rs", "b.rs"), ("sub", "other")))
+    assert (tree / "b.rs").exists() and not (tree / "a.rs").exists() and (tree / "other/deep/c.py").exists()
+    assert len(listing.rename(preview(("other", "sub"), ("b.rs", "c.rs")), copy=True)) == 2
+    assert (tree / "sub/deep/c.py").read_text() == "x = 1" and (tree / "b.rs").exists() and (tree / "c.rs").exists()
+    with pytest.raises(OSError, match="1 files done"):
+        listing.rename(preview(("b.rs", "d.rs"), ("none", "x"), ("c.rs", "e.rs")))
+    assert (tree / "d.rs").exists() and (tree / "c.rs").exists()
+
+
+def test_rebuilding(spark, tree, tmp_path):
+    turns = []
+    query = watch.rebuild(spark, lambda: fsindex.index_folder(spark, str(tree)), lambda df, n: turns.append((n, df.count())), str(tmp_path / "c"), "1 second")
+    for _ in range(120):
+        if len(turns) > 1:
+            break
+        query.awaitTermination(0.5)
+    query.stop()
+    assert len(turns) > 1 and turns[0][1] == 8
+
+
 @pytest.mark.parametrize("n, shown, document", [(0, "0 B", "0 B"), (999, "999 B", "999 B"), (1000, "0.98 KB", "1000 B"), (1023, "1.00 KB", "1023 B"), (1536, "1.50 KB", "1.5 KB"), (10**6, "0.95 MB", "976.6 KB"), (5 << 30, "5.00 GB", "5120.0 MB"), (10**18, f"{10**18} B", "953674316406.2 MB")])
 def test_sizes(spark, n, shown, document):
     assert one(spark, formatting.format_size(F.lit(n))) == shown
