@@ -37,13 +37,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with ``drop_written``."""
+    path = f"{scratch_dir(spark).rstrip('/')}/strataseek/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, columnar, replicated by the store."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/strataseek/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_written() -> None:

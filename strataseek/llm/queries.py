@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_classifier, quality_rules, sharding, token_count, toxicity, url_rules
+from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_classifier, quality_rules, sharding, throttle, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"), gram=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_click_throttling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return throttle.throttle(read_table(spark, sf_dir, "clicks"))
+
+
 def quality_base_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can say."""
     return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_byte_bpe,
         op9_sharding,
         op10_ngram_jaccard_join,
+        op13_click_throttling,
         quality_base_numbers,
         pii_base_counts,
         token_limits_bytes,
@@ -133,7 +138,8 @@ words AS (SELECT n, doc_id, t, list_filter(regexp_split_to_array(t, '{space}'),
 windows AS (SELECT n, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win, i FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
 twice AS (SELECT n, i FROM (SELECT *, count(*) OVER (PARTITION BY n, win) AS c FROM windows) WHERE c > 1),
 inside AS (SELECT n, count(DISTINCT i + k) AS r FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY n),
-lines AS (SELECT n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS x FROM texts),
+lines AS (SELECT n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS x FROM texts),
 numbers AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda s: length(s))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines,
