@@ -39,7 +39,12 @@ HOUR = 3600 * 1_000_000
 BUCKET, HOT, LANE = 400_000, 20_000, 5_000
 NEVER, ALWAYS = -(1 << 63), (1 << 63) - 1
 LATE, ADMITTED, THROTTLED = "late", "admitted", "throttled"
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Settings of the stream: the store that the operator needs, changes uploaded rather than whole stores, no disk set aside for each of its many small stores.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 _LISTS = "clients array<bigint>, us array<bigint>, ids array<bigint>"
 #: Lists of clicks on their way to the queue; no hour: a tick.
@@ -235,9 +240,10 @@ def settled(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     latest = {r["batch"]: r["us"] for r in fed.groupBy("batch").agg(F.max("us").alias("us")).collect()}  # a row a batch
     source = f"{folder}/source"
     columns = ["client", "bucket", "hour", "client_id", "us", "click_id"]
-    before = spark.conf.get(PROVIDER[0], None)
-    spark.conf.set(*PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
     try:
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
         for k in range(batches):
             seen = [latest[j] for j in range(k) if j in latest]
             horizon = max(seen) - LATENESS if seen else NEVER
@@ -250,7 +256,8 @@ def settled(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
             query = out.writeStream.format("parquet").option("path", f"{folder}/settled").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(_SETTLED).parquet(f"{folder}/settled")
 
 
