@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import bpe, decontaminate, ngram_join, pii, quality_classifier, quality_rules, sharding, throttle, token_count, toxicity, url_rules
+from strataseek.llm import bpe, decontaminate, filter_audit, html_text, ngram_join, pii, quality_classifier, quality_rules, sharding, throttle, token_count, toxicity, url_rules
 from strataseek.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"), gram=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_click_throttling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throttle.throttle(read_table(spark, sf_dir, "clicks"))
 
@@ -114,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_byte_bpe,
         op9_sharding,
         op10_ngram_jaccard_join,
+        op11_html_extraction,
+        op12_filter_audit,
         op13_click_throttling,
         quality_base_numbers,
         pii_base_counts,
@@ -173,6 +183,33 @@ links AS (
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id, doc_id AS root FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.root = l.x)
 SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(root) AS component_id FROM reach JOIN sets USING (doc_id) GROUP BY doc_id""",
+        "op12_filter_audit": rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda w: w <> '') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN texts.doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM texts LEFT JOIN marks ON texts.doc_id = marks.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM masks GROUP BY part, mask),
+letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[:step - 1]), 0) AS INT) AS before FROM orders, (VALUES (1), (2), (3), (4), (5)) s(step)),
+counts AS (
+  SELECT part, filter_order, step, own,
+    CAST(coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(g) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(x) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counts""",
         "op5_url_filters": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 parsed AS (
