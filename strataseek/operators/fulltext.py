@@ -126,6 +126,16 @@ def rank(source: DataFrame | Index, text: str, tokenizer=tokens.words, plain: bo
     patterns = [x.pattern for x in leaves if x.pattern]
     found, corpus = _found_in_index(source, terms, patterns) if isinstance(source, Index) else _found_in_pages(source, terms, patterns, tokenizer)
     at = {t: F.coalesce(F.col(f"p{i}"), F.array().cast("array<int>")) for i, t in enumerate(terms)}
+    # document frequencies: one row, from the pages that hold any term
+    documents = found.agg(*(F.count_if(F.size(at[t]) > 0).alias(f"df{i}") for i, t in enumerate(terms)), F.count("*").alias("_any"))
+    both = found.crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(documents))  # a row each
+    idf = {t: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i, t in enumerate(terms)}
+    return scored(both, query, terms, patterns, idf, F.col("avgdl"))
+
+
+def scored(found: DataFrame, query: TextQuery, terms: list[str], patterns: list[str], idf: dict[str, Column], avgdl: Column) -> DataFrame:
+    """``file_id, location, score`` of the pages that match, from the places ``p0..`` of the terms, whether patterns ``w0..`` were met, and ``dl``."""
+    at = {t: F.coalesce(F.col(f"p{i}"), F.array().cast("array<int>")) for i, t in enumerate(terms)}
 
     def frequency(leaf: Leaf) -> Column:
         if leaf.pattern:
@@ -139,12 +149,9 @@ def rank(source: DataFrame | Index, text: str, tokenizer=tokens.words, plain: bo
     def earlier(places: Column, by: int) -> Column:
         return F.transform(places, lambda p: p - by)
 
-    # document frequencies: one row, from the pages that hold any term
-    documents = found.agg(*(F.count_if(F.size(at[t]) > 0).alias(f"df{i}") for i, t in enumerate(terms)), F.count("*").alias("_any"))
-    both = found.crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(documents))  # a row each
-    idf = {t: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i, t in enumerate(terms)}
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    counted = both.select("*", *(frequency(x).alias(f"f{k}") for k, x in enumerate(leaves)))
+    leaves = query.leaves()
+    norm = K1 * (1 - B + B * F.col("dl") / avgdl)
+    counted = found.select("*", *(frequency(x).alias(f"f{k}") for k, x in enumerate(leaves)))
     flag = {x: F.col(f"f{k}") > 0 for k, x in enumerate(leaves)}
     value = {}
     for k, x in enumerate(leaves):

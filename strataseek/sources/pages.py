@@ -171,3 +171,9 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     name = paths.file_name(F.col("path"))
     own = found.where(F.lower(paths.extension(name)).isin(INDEXABLE))
     return own.select("path", name.alias("filename"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("file_size"), formatting.fingerprint(F.col("content")).alias("md5"), "content")
+
+
+def contents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``path, content`` of some files, by their paths as ``documents`` gives them."""
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]  # paths are read as patterns
+    return spark.read.format("binaryFile").load(escaped).select("path", "content")
