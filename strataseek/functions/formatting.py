@@ -89,7 +89,11 @@ def fingerprint(content: Column) -> Column:
 
 def byte_slice(text: Column, start: Column, length: Column) -> Column:
     """``length`` bytes of the UTF-8 text from the character on that byte ``start`` (from 0) lies in; the last character is taken whole."""
-    raw = F.encode(text, "utf-8")
+    return raw_slice(F.encode(text, "utf-8"), start, length)
+
+
+def raw_slice(raw: Column, start: Column, length: Column) -> Column:
+    """As ``byte_slice``, of a text's bytes."""
     size = F.octet_length(raw)
     first = F.least(F.greatest(start, F.lit(0)), size)
 

@@ -1,35 +1,29 @@
 """Full-text search over document pages (file_id, location, body).
 
-A query is answered from an index (postings written by term) or, without one, in
-one scan that finds the query's terms only; neither shuffles texts. Either way each page
-gets the positions of every term of the query, from which matches, phrases and
-BM25 scores are plain column arithmetic. Corpus statistics are one row.
+A query is answered from a saved index (``text_index``) or, without one, in one scan
+that finds the query's terms only; neither shuffles texts. Either way each page gets
+the positions of every term of the query, from which matches, phrases and BM25 scores
+are plain column arithmetic. Corpus statistics are one row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from strataseek.functions import formatting, tokens
-from strataseek.operators import incremental
 from strataseek.plans.text_query import Leaf, Node, TextQuery
-from strataseek.sources.pages import documents, extract
 
 K1, B = 1.2, 0.75
 #: Pages that a search ranks, and ranked pages (three numbers each) that may be sent to every task.
 TOP, SENT = 500, 100_000
 SNIPPET_BYTES, HIT_BEFORE, HIT_EXTRA = 500, 250, 500
 
+
 def query_terms(text: str, tokenizer=tokens.words) -> list[str]:
     """The driver's reading of a tokenizer: a run of Han characters becomes the terms that pages hold, side by side."""
     return tokens.words_of(text) if tokenizer is tokens.words else tokens.segment(text)
@@ -51,46 +45,6 @@ def release() -> None:
         _kept.pop().unpersist()
 
 
-@dataclass(frozen=True)
-class Index:
-    """Written tables: pages (file_id, location, body, dl), postings (term, file_id, location, dl, positions), corpus (n, avgdl)."""
-
-    pages: DataFrame
-    postings: DataFrame
-    corpus: DataFrame
-
-
-def build(pages: DataFrame, tokenizer=tokens.words) -> Index:
-    """Index tables of the non-blank pages. Positions of a term within a page are gathered where the page is."""
-    body = pages.where(F.trim("body") != "").withColumn("_tokens", tokenizer(F.col("body")))
-    sized = body.withColumn("dl", F.size("_tokens").cast("long"))
-    each = sized.select("file_id", "location", "dl", F.posexplode("_tokens").alias("position", "term"))
-    postings = each.groupBy("term", "file_id", "location", "dl").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(sized.drop("_tokens"), postings, corpus)
-
-
-def save(index: Index, path: str, mode: str = "overwrite") -> None:
-    """Write an index; postings are sorted by term, so a lookup reads the row groups of its terms."""
-    index.pages.write.mode(mode).parquet(f"{path}/pages")
-    index.postings.repartitionByRange("term", "file_id").sortWithinPartitions("term", "file_id", "location").write.mode(mode).parquet(f"{path}/postings")
-    index.corpus.write.mode(mode).parquet(f"{path}/corpus")
-
-
-def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("pages", "postings", "corpus")))
-
-
-def _found_in_index(index: Index, terms: list[str], patterns: list[str]) -> tuple[DataFrame, DataFrame]:
-    wanted = F.col("term").isin(terms) if terms else F.lit(False)
-    for p in patterns:
-        wanted = wanted | F.col("term").rlike(p)
-    columns = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(terms)]
-    columns += [F.max(F.col("term").rlike(p)).alias(f"w{i}") for i, p in enumerate(patterns)]
-    found = index.postings.where(wanted).groupBy("file_id", "location").agg(F.first("dl").alias("dl"), *columns, F.lit(0).alias("_"))
-    return found.drop("_"), index.corpus
-
-
 def _found_in_pages(pages: DataFrame, terms: list[str], patterns: list[str], tokenizer) -> tuple[DataFrame, DataFrame]:
     """One pass over the texts: length, places of the terms and patterns met, of every page; the rest reads that narrow table."""
 
@@ -118,13 +72,13 @@ def _found_in_pages(pages: DataFrame, terms: list[str], patterns: list[str], tok
     return narrow.where(hit).select("file_id", "location", F.col("x.dl"), *columns), corpus
 
 
-def rank(source: DataFrame | Index, text: str, tokenizer=tokens.words, plain: bool = False) -> DataFrame:
+def rank(pages: DataFrame, text: str, tokenizer=tokens.words, plain: bool = False) -> DataFrame:
     """``file_id, location, score`` of all pages that match the query, unsorted. The query is read by the same tokenizer as the pages."""
     query = TextQuery(text, lambda t: query_terms(t, tokenizer), plain)
     leaves = query.leaves()
     terms = list(dict.fromkeys(t for x in leaves for t in x.terms))
     patterns = [x.pattern for x in leaves if x.pattern]
-    found, corpus = _found_in_index(source, terms, patterns) if isinstance(source, Index) else _found_in_pages(source, terms, patterns, tokenizer)
+    found, corpus = _found_in_pages(pages, terms, patterns, tokenizer)
     at = {t: F.coalesce(F.col(f"p{i}"), F.array().cast("array<int>")) for i, t in enumerate(terms)}
     # document frequencies: one row, from the pages that hold any term
     documents = found.agg(*(F.count_if(F.size(at[t]) > 0).alias(f"df{i}") for i, t in enumerate(terms)), F.count("*").alias("_any"))
@@ -184,7 +138,7 @@ def top(ranked: DataFrame, limit: int = TOP) -> DataFrame:
 
 
 def keyword_count(body: Column, words: list[str]) -> Column:
-    """Occurrences of the words among the body's space-separated parts, in their case; a repeated word counts again."""
+    """Occurrences of the words among the body's space-separated parts; a repeated word counts again."""
     parts = F.split(body, " ")
 
     def count(word: str) -> Column:
@@ -193,42 +147,30 @@ def keyword_count(body: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, map(count, words), F.lit(0)).cast("long")
 
 
-def hits_of(body: str, words: list[str], location: int) -> list[dict]:
-    """Every occurrence of each word as a substring, with the text around it, cut at whole characters."""
-    raw, out = body.encode(), []
-
-    def whole(start: int, length: int) -> str:
-        a = min(start, len(raw))
-        while a > 0 and a < len(raw) and raw[a] & 0xC0 == 0x80:
-            a -= 1
-        b = min(a + length, len(raw))  # counted from the character that the start lies in
-        while b < len(raw) and raw[b] & 0xC0 == 0x80:
-            b += 1
-        return raw[a:b].decode()
-
-    for w in words:
-        key = w.encode()
-        at = raw.find(key) if key else -1
-        while at >= 0:
-            out.append({"location": location, "snippet": whole(max(0, at - HIT_BEFORE), len(key) + HIT_EXTRA), "keyword": w})
-            at = raw.find(key, at + len(key))
-    return out
-
-
-HITS = T.ArrayType(T.StructType([T.StructField("location", T.IntegerType()), T.StructField("snippet", T.StringType()), T.StructField("keyword", T.StringType())]))
-
-
 def with_hits(pages: DataFrame, words: list[str]) -> DataFrame:
-    """Append ``hits`` to pages (location, body)."""
-    schema, kind = T.StructType([*pages.schema.fields, T.StructField("hits", HITS)]), to_arrow_type(HITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            body, place = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("body", "location"))
-            hits = [hits_of(t or "", words, p) for t, p in zip(body, place, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kind)], names=[*b.schema.names, "hits"])
+    """Append ``hits`` to pages (file_id, location, body): every occurrence of each word as a substring, with the text around it, cut at whole characters.
 
-    return pages.mapInArrow(run, schema)
+    The body is split at the word; the parts' lengths, summed along the body, are the bytes that the occurrences begin at.
+    """
+    if not words:
+        return pages.withColumn("hits", F.array().cast("array<struct<location: int, snippet: string, keyword: string>>"))
+    key = [c for c in ("file_id", "location") if c in pages.columns]
+    said = F.explode(F.array(*(F.struct(F.lit(i).alias("_word"), F.lit(w).alias("_keyword")) for i, w in enumerate(words))))
+    split = pages.select(*key, "body", said.alias("_w")).select(*key, "body", "_w.*")
+    # the last part ends the body and begins no occurrence
+    parts = split.select(*key, "_word", "_keyword", F.posexplode(F.split("body", F.concat(F.lit("\\Q"), "_keyword", F.lit("\\E")), -1)).alias("_n", "_part"))
+    width = F.octet_length("_keyword")
+    before = Window.partitionBy(*key, "_word").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    begins = parts.withColumn("_at", F.sum(F.octet_length("_part") + width).over(before) - width).withColumn("_last", F.max("_n").over(Window.partitionBy(*key, "_word")))
+    places = begins.where("_n < _last").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_word", "_at", "_keyword"))).alias("_places"))
+
+    def hit(raw: Column, x: Column) -> Column:
+        around = formatting.raw_slice(raw, F.greatest(x["_at"] - HIT_BEFORE, F.lit(0)).cast("int"), F.octet_length(x["_keyword"]) + HIT_EXTRA)
+        return F.struct(F.col("location").cast("int").alias("location"), around.alias("snippet"), x["_keyword"].alias("keyword"))
+
+    # the array of one binds the bytes to a name, so that they are made once
+    hits = F.transform(F.array(F.encode("body", "utf-8")), lambda raw: F.transform(F.coalesce("_places", F.array()), lambda x: hit(raw, x)))[0]
+    return pages.join(places, key, "left").withColumn("hits", hits).select(*pages.columns, "hits")
 
 
 def snippet(body: Column, words: list[str]) -> Column:
@@ -254,57 +196,39 @@ def sort_results(results: DataFrame, order: str = "relevance", compat: bool = Fa
     return results.orderBy(keys[order], F.col("score").desc(), "file_id", "location")
 
 
-def _spoken(text: str) -> list[str]:
+def _spoken(text: str, ignore_case: bool = True) -> list[str]:
     """Words to count, mark and show hits of: Han runs stay whole."""
-    return _WORDS.findall(text.lower())
+    return _WORDS.findall(text.lower() if ignore_case else text)
 
 
-def search(source: DataFrame | Index, meta: DataFrame, text: str, order: str = "relevance", limit: int = TOP, hits: bool = True, plain: bool = False) -> DataFrame:
+def search(source, meta: DataFrame, text: str, order: str = "relevance", limit: int = TOP, hits: bool = True, plain: bool = False, ignore_case: bool = True) -> DataFrame:
     """The whole search: rank, take the best, add file data (pages of unknown files go), counts, hits and snippet, sort.
 
-    Only the best pages meet the tables of bodies and files, so those joins are against ``limit`` rows.
+    ``source`` are pages or a ``TextIndex``. With ``ignore_case`` words are counted and shown in
+    the folded body, as they are found; without it in their case (they are found in any). Only the best pages meet the tables of
+    bodies and files, so those joins are against ``limit`` rows.
     """
     text = text.strip()
-    pages = source.pages if isinstance(source, Index) else source
-    words = _spoken(" ".join(w for w in text.split() if w not in ("AND", "OR", "NOT")))
-    best = top(rank(source, text, plain=plain), limit) if words or "*" in text or "?" in text else rank(source, "x").limit(0)
-    own = meta.select("file_id", "path", "filename", "mtime", "file_size")
-    best = F.broadcast(best) if limit <= SENT else best  # rows of three numbers, limit at most
-    out = pages.select("file_id", "location", "body").join(best, ["file_id", "location"]).join(own, "file_id")
+    words = _spoken(" ".join(w for w in text.split() if w not in ("AND", "OR", "NOT")), ignore_case)
+    asked = words or "*" in text or "?" in text
+    if hasattr(source, "top"):
+        out = source.bodies(source.top(text if asked else "", limit, plain))
+    else:
+        best = top(rank(source, text, plain=plain), limit) if asked else rank(source, "x").limit(0)
+        best = F.broadcast(best) if limit <= SENT else best  # rows of three numbers, limit at most
+        out = source.select("file_id", "location", "body").join(best, ["file_id", "location"])
+    out = out.join(meta.select("file_id", "path", "filename", "mtime", "file_size"), "file_id")
+    if ignore_case:
+        out = out.withColumn("body", F.lower("body"))
     out = out.withColumns({"keyword_count": keyword_count(F.col("body"), words), "snippet": snippet(F.col("body"), words)})
     if hits:
         out = with_hits(out, words)
     return sort_results(out.drop("body"), order)
 
 
-def upsert(index: Index, changed: DataFrame, gone_ids: DataFrame | None = None, tokenizer=tokens.words) -> Index:
-    """The index with the pages of changed files put in the place of their old ones and gone files left out; as if it were built anew.
-
-    Only the changed pages are tokenised; postings of other files are kept as they are. Every page of a changed file is in ``changed``.
-    """
-    stale = changed.select("file_id") if gone_ids is None else changed.select("file_id").unionByName(gone_ids.select("file_id"))
-    stale = stale.distinct()
-    new = build(changed, tokenizer)
-    pages = index.pages.join(stale, "file_id", "left_anti").unionByName(new.pages.select(*index.pages.columns))
-    postings = index.postings.join(stale, "file_id", "left_anti").unionByName(new.postings.select(*index.postings.columns))
-    return Index(pages, postings, pages.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-
-
-def refresh(spark: SparkSession, root: str, known: DataFrame, index: Index) -> tuple[DataFrame, Index]:
-    """Scan a folder and bring its files (path, filename, mtime, md5, file_size, file_id) and index up to date: new and changed files are read, gone ones go."""
-    disk = documents(spark, root)
-    names = ["path", "filename", "mtime", "md5", "file_size"]
-    todo = incremental.assign_ids(known, incremental.to_index(disk, known))
-    text = extract(todo.select("path", "content")).where("error IS NULL")
-    changed = text.join(todo.select("path", "file_id"), "path").select("file_id", "location", F.col("text").alias("body"))
-    stale = incremental.gone(known, disk).select("file_id").unionByName(todo.select("file_id"))
-    files = known.join(stale, "file_id", "left_anti").select("file_id", *names).unionByName(todo.select("file_id", *names))
-    return files, upsert(index, changed, stale)
-
-
-def file_count(pages: DataFrame | Index) -> DataFrame:
+def file_count(pages: DataFrame) -> DataFrame:
     """The number of files that have pages."""
-    return (pages.pages if isinstance(pages, Index) else pages).agg(F.countDistinct("file_id").alias("files"))
+    return pages.agg(F.countDistinct("file_id").alias("files"))
 
 
 def by_file(ranked: DataFrame) -> DataFrame:

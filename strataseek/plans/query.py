@@ -18,6 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import paths
+from strataseek.plans import regex
 from strataseek.plans.options import SearchOptions
 
 #: Extensions of the type macros. Fixed values.
@@ -300,7 +301,8 @@ def term_condition(term: Term, options: SearchOptions, compat: bool) -> Column:
     if not term.phrase and text.startswith("!"):
         text, negated = text[1:], True
     elif not term.phrase and ("*" in text or "?" in text):
-        return (source if options.match_case else F.lower(source)).rlike(wildcard_pattern(text, not options.match_case, compat))
+        pattern = wildcard_pattern(text, not options.match_case, compat)
+        return (source if options.match_case else F.lower(source)).rlike(pattern) if not compat or _readable(pattern) else F.lit(False)
     if options.match_whole_word:
         found = source.rlike(rf"(?iuU)\b{quoted(text)}\b")
     elif options.match_case:
@@ -310,39 +312,6 @@ def term_condition(term: Term, options: SearchOptions, compat: bool) -> Column:
     return ~found if negated else found
 
 
-_NOT_REGULAR = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!])|\\[1-9])")
-
-
-def valid_pattern(pattern: str) -> bool:
-    """Whether a pattern is one of the linear-time kind: it can be read, and has no look-around or back-references."""
-    try:
-        re.compile(_CLASS.sub("a", pattern))
-    except re.error:
-        return False
-    return not _NOT_REGULAR.search(pattern)
-
-
-_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
-#: Names of bracket classes and their Java spelling. Fixed values.
-_CLASSES = {
-    "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space",
-    "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "xdigit": "XDigit", "word": "Word",
-}
-
-
-def java_pattern(pattern: str) -> str:
-    """A pattern in the spelling of the JVM: named groups without underscores, bracket classes as properties."""
-    names: dict[str, str] = {}
-    out = re.sub(r"(?<!\\)\(\?P?<([A-Za-z_][A-Za-z0-9_]*)>", lambda m: f"(?<{names.setdefault(m[1], f'g{len(names)}')}>", pattern)
-
-    def named(m: re.Match) -> str:
-        if m[2] == "word":
-            return r"\W" if m[1] else r"\w"
-        return rf"\{'P' if m[1] else 'p'}{{{_CLASSES[m[2]]}}}" if m[2] in _CLASSES else m[0]
-
-    return _CLASS.sub(named, out)
-
-
 def _readable(pattern: str) -> bool:
     """Whether the JVM can read a pattern, so that no job ends with it."""
     session = SparkSession.getActiveSession()
@@ -362,7 +331,8 @@ def predicate(text: str, options: SearchOptions | None = None, now: datetime | N
         return None
     if options.regex:
         source = F.col("full_path" if options.match_path else "file_name")
-        return source.rlike(java_pattern(text)) if valid_pattern(text) and _readable(java_pattern(text)) else F.lit(False)
+        pattern = regex.to_java(text)
+        return source.rlike(pattern) if pattern is not None and _readable(pattern) else F.lit(False)
     query = parse(text, options)
     conditions = []
     if query.options.files_only:

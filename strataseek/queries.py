@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from strataseek import fixtures
 from strataseek.functions import formatting, paths
 from strataseek.operators import fulltext, history, incremental, listing, search
+from strataseek.operators.text_index import TextIndex
 from strataseek.plans.options import SearchOptions, SortField, SortSpec
-from strataseek.sources import sinks
+from strataseek.sources import scratch, sinks
 from strataseek.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +129,19 @@ _matching("empty_query", "", "true", files_only=True)
 _matching("regex_mode", r"^order-1[0-9]+\.(rs|tar)$", r"regexp_matches(file_name, '^order-1[0-9]+\.(rs|tar)$')", regex=True)
 _matching("regex_path", r"cust[0-4]/[OP]/test", r"regexp_matches(full_path, 'cust[0-4]/[OP]/test')", regex=True, match_path=True)
 _matching("regex_invalid", "([", "false", regex=True)
+_matching("regex_unicode_class", r"^\w+\.txt$", r"regexp_matches(file_name, '^[\p{L}\p{N}\p{M}_]+\.txt$')", regex=True)
+_matching("regex_property", r"^\p{Han}{2}\d+\.(?P<ext>[a-z--m-p]+\d?)\z", r"regexp_matches(file_name, '^\p{Han}{2}[0-9]+\.[a-lq-z]+[0-9]?$')", regex=True)
+_matching("regex_code_point", r"^\x{6587}\u6863\d*[02468]\b", r"regexp_matches(file_name, '^文档[0-9]*[02468]([^0-9]|$)')", regex=True)
+_matching("regex_boundary", r"\btest\b|\b文档\d+\b", r"regexp_matches(file_name, '^(test |文档)')", regex=True)
+
+
+@registered("SELECT file_ord, full_path, size, is_directory FROM file_entries WHERE contains(file_name, 'Report_') AND regexp_matches(lower(file_name), '7(\\.[a-z0-9]*)?$')")
+def regex_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folding beyond ASCII: names with a word in three alphabets, asked for in the other case."""
+    files = fixtures.files(spark, sf_dir).withColumn("file_name", F.replace("file_name", F.lit("Report_"), F.lit("ÜnïЖЯΣ_")))
+    return search.matching(files, r"(?i)ÜNÏжяσ_\d*7(?:\.\w*)?$", SearchOptions(regex=True)).select(*SHOWN)
+
+
 
 
 def _page(name: str, query: str, where: str, order: str, spec: SortSpec, limit: int = 1000, offset: int = 0) -> None:
@@ -377,14 +391,20 @@ def _scored(terms: list[str], matches: str, scores: str | None = None) -> str:
 WHERE {matches}"""
 
 
+def _index(pages: DataFrame) -> TextIndex:
+    """An index of the pages, saved and opened again."""
+    path = TextIndex.create(pages.select("file_id", "location", "body"), scratch.new_path(pages.sparkSession, "index")).path
+    return TextIndex(pages.sparkSession, path)
+
+
 def _text(name: str, query: str, terms: list[str], matches: str, scores: str | None = None, indexed: bool = False, plain: bool = False) -> None:
     """A query that ranks all matching pages."""
 
     @registered(f"SELECT file_id, location, round(raw, 4) AS score FROM ({_scored(terms, matches, scores)}) r", name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = fixtures.view(spark, sf_dir, "doc_pages").select("file_id", "location", "body")
-        source = fulltext.build(pages) if indexed else pages
-        return fulltext.rank(source, query, plain=plain).select("file_id", "location", F.round("score", 4).alias("score"))
+        ranked = _index(pages).rank(query, plain) if indexed else fulltext.rank(pages, query, plain=plain)
+        return ranked.select("file_id", "location", F.round("score", 4).alias("score"))
 
 
 _AFTER = "len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the'))"
@@ -404,9 +424,19 @@ _text(
 )
 
 
-@registered(f"SELECT file_id, location, 1.0::DOUBLE AS score FROM (SELECT file_id, location, {_TOKENS} AS toks FROM doc_pages) p WHERE len(list_filter(toks, lambda t: regexp_matches(t, '^disgust[\\p{{L}}\\p{{N}}]*$'))) > 0")
-def text_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.rank(fixtures.view(spark, sf_dir, "doc_pages").select("file_id", "location", "body"), "disgust*")
+_LETTER = r"[\p{L}\p{N}]"
+for _name, _query, _like in (
+    ("text_wildcard", "disgust*", f"disgust{_LETTER}*"),
+    ("text_wildcard_prefix_indexed", "disgust*", f"disgust{_LETTER}*"),
+    ("text_wildcard_suffix_indexed", "*ting", f"{_LETTER}*ting"),
+    ("text_wildcard_inner_indexed", "d?sg*t?ng", f"d{_LETTER}sg{_LETTER}*t{_LETTER}ng"),
+    ("text_wildcard_both_indexed", "*isgus*", f"{_LETTER}*isgus{_LETTER}*"),
+):
+
+    @registered(f"SELECT file_id, location, 1.0::DOUBLE AS score FROM (SELECT file_id, location, {_TOKENS} AS toks FROM doc_pages) p WHERE len(list_filter(toks, lambda t: regexp_matches(t, '^{_like}$'))) > 0", _name)
+    def _(spark: SparkSession, sf_dir: str, query: str = _query, indexed: bool = _name.endswith("indexed")) -> DataFrame:
+        pages = fixtures.view(spark, sf_dir, "doc_pages").select("file_id", "location", "body")
+        return _index(pages).rank(query) if indexed else fulltext.rank(pages, query)
 
 
 @registered(f"SELECT file_id, location, round(raw, 4) AS score FROM ({_scored(['trash', 'the'], 'f0 + f1 > 0')}) r ORDER BY raw DESC, file_id LIMIT 500")
@@ -415,31 +445,69 @@ def text_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.top(fulltext.rank(pages, "trash the")).select("file_id", "location", F.round("score", 4).alias("score"))
 
 
+_BEST = {  # the best pages of a saved index: SQL of all pages, and the query
+    "text_top_indexed": ("trash the", _scored(["trash", "the"], "f0 + f1 > 0")),
+    "text_top_and_indexed": ("trash AND the", _scored(["trash", "the"], "f0 > 0 AND f1 > 0")),
+    "text_top_phrase_indexed": (
+        '"of the" moron',
+        _scored(
+            ["of", "the", "moron"],
+            f"{_AFTER} > 0 OR f2 > 0",
+            f"s2 + CASE WHEN {_AFTER} > 0 THEN (ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) + ln(1 + (n - df1 + 0.5) / (df1 + 0.5))) * {_AFTER} * 2.2 / ({_AFTER} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END",
+        ),
+    ),
+}
+for _name, (_query, _all) in _BEST.items():
+
+    @registered(f"SELECT file_id, location, round(raw, 4) AS score FROM ({_all}) r ORDER BY raw DESC, file_id LIMIT 100", _name)
+    def _(spark: SparkSession, sf_dir: str, query: str = _query) -> DataFrame:
+        return _index(fixtures.view(spark, sf_dir, "doc_pages")).top(query, 100).select("file_id", "location", F.round("score", 4).alias("score"))
+
+
 @registered("SELECT file_id, CAST(len(list_filter(string_split(body, ' '), lambda t: t = 'the')) + len(list_filter(string_split(body, ' '), lambda t: t = 'trash')) AS BIGINT) AS keyword_count FROM doc_pages")
 def text_keyword_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixtures.view(spark, sf_dir, "doc_pages")
     return pages.select("file_id", F.coalesce(fulltext.keyword_count(F.col("body"), ["the", "trash"]), F.lit(0)).alias("keyword_count"))
 
 
-@registered(f"""SELECT r.file_id, d.path, d.filename, round(r.raw, 4) AS score, CAST(len(list_filter(string_split(d.body, ' '), lambda t: t = 'moron')) AS BIGINT) AS keyword_count
-FROM ({_scored(['moron'], 'f0 > 0')}) r JOIN doc_pages d ON d.file_id = r.file_id ORDER BY r.raw DESC, r.file_id LIMIT 500""")
-def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FOUND = f"""SELECT r.file_id, d.path, d.filename, round(r.raw, 4) AS score, CAST(len(list_filter(string_split(lower(d.body), ' '), lambda t: t = 'moron')) AS BIGINT) AS keyword_count
+FROM ({_scored(['moron'], 'f0 > 0')}) r JOIN doc_pages d ON d.file_id = r.file_id ORDER BY r.raw DESC, r.file_id LIMIT 500"""
+
+
+def _search(spark: SparkSession, sf_dir: str, indexed: bool, **how) -> DataFrame:
     view = fixtures.view(spark, sf_dir, "doc_pages")
-    found = fulltext.search(view.select("file_id", "location", "body"), view, "moron", order="frequency", hits=False)
+    found = fulltext.search(_index(view) if indexed else view.select("file_id", "location", "body"), view, "Moron", order="frequency", hits=False, **how)
     return found.select("file_id", "path", "filename", F.round("score", 4).alias("score"), "keyword_count")
 
 
-@registered(f"""SELECT r.file_id, w.keyword, CAST((length(body) - length(replace(body, w.keyword, ''))) / length(w.keyword) AS BIGINT) AS hits
-FROM ({_scored(['trash', 'loser'], 'f0 + f1 > 0')} ORDER BY raw DESC, file_id LIMIT 500) r JOIN doc_pages d ON d.file_id = r.file_id, (VALUES ('trash'), ('loser')) w(keyword) WHERE contains(body, w.keyword)""")
+@registered(_FOUND)
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, indexed=False)
+
+
+@registered(_FOUND)
+def text_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, indexed=True)
+
+
+@registered(_FOUND.replace("lower(d.body)", "d.body").replace("t = 'moron')) AS BIGINT)", "t = 'Moron')) AS BIGINT)"))
+def text_search_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in another case are found, and not counted."""
+    return _search(spark, sf_dir, indexed=False, ignore_case=False)
+
+
+@registered(f"""SELECT r.file_id, w.keyword, CAST((length(body) - length(replace(lower(body), w.keyword, ''))) / length(w.keyword) AS BIGINT) AS hits
+FROM ({_scored(['trash', 'loser'], 'f0 + f1 > 0')} ORDER BY raw DESC, file_id LIMIT 500) r JOIN doc_pages d ON d.file_id = r.file_id, (VALUES ('trash'), ('loser')) w(keyword) WHERE contains(lower(body), w.keyword)""")
 def text_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_hits(spark, sf_dir).select("file_id", F.explode("hits").alias("hit"))
+    view = fixtures.view(spark, sf_dir, "doc_pages")
+    found = fulltext.search(view.select("file_id", "location", "body"), view, "trash loser").select("file_id", F.explode("hits").alias("hit"))
     return found.groupBy("file_id", "hit.keyword").agg(F.count("*").alias("hits"))
 
 
 def _chinese(spark: SparkSession, sf_dir: str, query: str, indexed: bool) -> DataFrame:
     files = fixtures.files(spark, sf_dir)
     pages = files.select(F.col("file_ord").alias("file_id"), F.lit(1).alias("location"), F.regexp_replace("file_name", "文档", "我们学习文档检索系统").alias("body"))
-    return fulltext.rank(fulltext.build(pages) if indexed else pages, query).select("file_id")
+    return (_index(pages).rank(query) if indexed else fulltext.rank(pages, query)).select("file_id")
 
 
 for _name, _query in (("text_han_word", "文档"), ("text_han_phrase", "文档检索"), ("text_han_run", "学习文档"), ("text_han_sign", "检")):
@@ -450,13 +518,37 @@ for _name, _query in (("text_han_word", "文档"), ("text_han_phrase", "文档
             return _chinese(spark, sf_dir, query, indexed)
 
 
-@registered(f"SELECT file_id, location, round(raw, 4) AS score FROM ({_scored(['trash', 'loser'], 'f0 + f1 > 0').replace('doc_pages', '(SELECT * FROM doc_pages WHERE file_id % 11 <> 3) u')}) r")
+def _rank_of(where: str) -> str:
+    left = _scored(["trash", "loser"], "f0 + f1 > 0").replace("doc_pages", f"(SELECT * FROM doc_pages WHERE {where}) u")
+    return f"SELECT file_id, location, round(raw, 4) AS score FROM ({left}) r"
+
+
+def _old_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TextIndex]:
+    """The pages, and an index in which a third of the files have old texts."""
+    pages = fixtures.view(spark, sf_dir, "doc_pages").select("file_id", "location", "body")
+    old = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("trash of old "), F.coalesce("body", F.lit("")))).otherwise(F.col("body"))
+    return pages, _index(pages.withColumn("body", old))
+
+
+@registered(_rank_of("file_id % 11 <> 3"))
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of old texts, brought up to date: a third of the files changed, an eleventh gone."""
-    pages = fixtures.view(spark, sf_dir, "doc_pages").select("file_id", "location", "body")
-    old = pages.withColumn("body", F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("trash of old "), F.coalesce("body", F.lit("")))).otherwise(F.col("body")))
-    index = fulltext.upsert(fulltext.build(old), pages.where("file_id % 3 = 0 AND file_id % 11 <> 3"), pages.where("file_id % 11 = 3").select("file_id").distinct())
-    return fulltext.rank(index, "trash loser").select("file_id", "location", F.round("score", 4).alias("score"))
+    pages, index = _old_index(spark, sf_dir)
+    index.upsert(pages.where("file_id % 3 = 0 AND file_id % 11 <> 3"), pages.where("file_id % 11 = 3").select("file_id"))
+    return TextIndex(spark, index.path).rank("trash loser").select("file_id", "location", F.round("score", 4).alias("score"))
+
+
+@registered(_rank_of("file_id % 11 <> 3 AND file_id % 13 <> 5"))
+def index_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of upserts, one of them from another opening of the index, and a compaction."""
+    pages, index = _old_index(spark, sf_dir)
+    index.upsert(pages.where("file_id % 6 = 0"))
+    index.upsert(pages.where("file_id % 6 = 3"), pages.where("file_id % 11 = 3").select("file_id"))
+    index.upsert(pages.where("file_id % 11 = 3 AND file_id % 2 = 0"))  # some come back
+    index = TextIndex(spark, index.path)
+    index.upsert(None, pages.where("file_id % 13 = 5 OR file_id % 11 = 3").select("file_id"))
+    index.compact(whole=True)
+    return TextIndex(spark, index.path).rank("trash loser").select("file_id", "location", F.round("score", 4).alias("score"))
 
 
 @registered("SELECT count(DISTINCT file_id) AS files FROM doc_pages")
@@ -464,10 +556,18 @@ def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.file_count(fixtures.view(spark, sf_dir, "doc_pages"))
 
 
-@registered()
+_PLAIN = "regexp_replace(body, '[^\\x00-\\x7F]', '?', 'g')"
+
+
+@registered(f"""SELECT file_id, keyword, substr(b, greatest(begins - 250, 0) + 1, length(keyword) + 500) AS snippet FROM (
+  SELECT file_id, b, keyword, CAST(length(array_to_string(parts[:k], keyword)) AS BIGINT) AS begins FROM (
+    SELECT file_id, b, keyword, string_split(b, keyword) AS parts, unnest(range(1, len(string_split(b, keyword)))) AS k
+    FROM (SELECT d.file_id, lower({_PLAIN}) AS b FROM ({_scored(['trash', 'loser'], 'f0 + f1 > 0')} ORDER BY raw DESC, file_id LIMIT 500) r JOIN doc_pages d ON d.file_id = r.file_id) t, (VALUES ('trash'), ('loser')) w(keyword)) u) h""".replace("FROM doc_pages WHERE", f"FROM (SELECT * REPLACE ({_PLAIN} AS body) FROM doc_pages) pl WHERE"))
 def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = fixtures.view(spark, sf_dir, "doc_pages")
-    return fulltext.search(view.select("file_id", "location", "body"), view, "trash loser")
+    """Every hit in the best pages with the text around it; letters beyond ASCII replaced, as SQL can't cut bytes."""
+    view = fixtures.view(spark, sf_dir, "doc_pages").withColumn("body", F.regexp_replace("body", "[^\\x00-\\x7F]", "?"))
+    found = fulltext.search(view.select("file_id", "location", "body"), view, "trash loser")
+    return found.select("file_id", F.explode("hits").alias("hit")).select("file_id", "hit.keyword", "hit.snippet")
 
 
 _SNIPPET = """left(body, CAST(coalesce(list_min(list_filter(range(125, 501), lambda k: strlen(left(body, CAST(k AS BIGINT))) >= 500)), length(body)) AS BIGINT))"""
@@ -476,8 +576,8 @@ _DOC_SIZE = f"CASE WHEN file_size < 1024 THEN concat(CAST(file_size AS VARCHAR),
 
 @registered(
     f"""SELECT d.filename AS "文件名", d.path AS "路径", CAST(r.location AS VARCHAR) AS "位置", printf('%.2f', r.raw) AS "分数",
-  CAST(len(list_filter(string_split(d.body, ' '), lambda t: t = 'moron')) AS VARCHAR) AS "命中次数", strftime(to_timestamp(d.mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS "修改时间(UTC)",
-  {_DOC_SIZE} AS "文件大小", replace(concat({_SNIPPET}, CASE WHEN strlen(body) > 500 THEN '...' ELSE '' END), 'moron', '【moron】') AS "摘要"
+  CAST(len(list_filter(string_split(lower(d.body), ' '), lambda t: t = 'moron')) AS VARCHAR) AS "命中次数", strftime(to_timestamp(d.mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS "修改时间(UTC)",
+  {_DOC_SIZE} AS "文件大小", replace(concat({_SNIPPET.replace('body', 'lower(body)')}, CASE WHEN strlen(lower(body)) > 500 THEN '...' ELSE '' END), 'moron', '【moron】') AS "摘要"
 FROM ({_scored(['moron'], 'f0 > 0')} ORDER BY raw DESC, file_id LIMIT 500) r JOIN doc_pages d ON d.file_id = r.file_id"""
 )
 def result_export(spark: SparkSession, sf_dir: str) -> DataFrame:

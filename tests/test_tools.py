@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strataseek.functions import formatting, paths, tokens
 from strataseek.operators import fulltext, history, incremental, listing, search
+from strataseek.operators.text_index import TextIndex
 from strataseek.schema import FILE_ENTRY, WATCH_EVENT
 from strataseek.sources import file_list, fsindex, pages, sinks
 from strataseek.streaming import watch
@@ -288,7 +289,9 @@ def test_sizes(spark, n, shown, document):
 def test_text_helpers(spark):
     assert one(spark, formatting.byte_slice(F.lit("aé日x"), F.lit(2), F.lit(2))) == "é"  # the length counts from the character that the start lies in
     assert one(spark, formatting.byte_slice(F.lit("aé日x"), F.lit(2), F.lit(3))) == "é日"
-    assert fulltext.hits_of("日" * 300 + "词", ["词"], 1)[0]["snippet"] == "日" * 84 + "词"
+    hits = fulltext.with_hits(spark.createDataFrame([(1, 1, "日" * 300 + "词"), (2, 1, "none"), (3, 1, "aaa词a")], "file_id long, location long, body string"), ["词", "a"])
+    found = {r["file_id"]: [tuple(h) for h in r["hits"]] for r in hits.collect()}
+    assert found == {1: [(1, "日" * 84 + "词", "词")], 2: [], 3: [(1, "aaa词a", "词")] + [(1, "aaa词a", "a")] * 4}
     assert one(spark, formatting.byte_slice(F.lit("abc"), F.lit(1), F.lit(99))) == "bc"
     assert one(spark, formatting.ellipsis(F.lit("日本語"), 2)) == "日本..."
     assert one(spark, formatting.html_escape(F.lit('<a&"b">'))) == "&lt;a&amp;&quot;b&quot;&gt;"
@@ -299,28 +302,27 @@ def test_text_helpers(spark):
     assert tokens.segment("Ab, 中国人 x_1") == ["ab", "中国", "国人", "x", "1"]
 
 
-def test_fulltext(spark):
+def test_fulltext(spark, tmp_path):
     rows = [(1, 1, "The quick brown fox"), (2, 1, "quick quick fox"), (3, 1, "brown the quick"), (4, 1, " "), (5, 2, None)]
     df = spark.createDataFrame(rows, "file_id long, location long, body string")
-    index = fulltext.build(df)
-    for source in (df, index):
-        ids = lambda q, s=source, **k: {r["file_id"] for r in fulltext.rank(s, q, **k).collect()}
+    index = TextIndex.create(df, str(tmp_path / "ix"))
+    for rank in (lambda q: fulltext.rank(df, q), index.rank):
+        ids = lambda q, r=rank: {x["file_id"] for x in r(q).collect()}
         assert ids("fox") == {1, 2} and ids("quick AND brown") == {1, 3} and ids("quick NOT brown") == {2}
         assert ids('"quick brown"') == {1} and ids("+quick -the") == {2} and ids("br*") == {1, 3} and ids("NOT fox") == set()
         assert ids("(fox OR brown) AND the") == {1, 3} and ids("f?x AND the") == {1}
         assert ids("zzz") == set()
     best = [r["file_id"] for r in fulltext.top(fulltext.rank(df, "quick fox")).collect()]
     assert best[0] == 2
-    same = lambda s: sorted((r["file_id"], round(r["score"], 9)) for r in fulltext.rank(s, "quick fox the").collect())
-    assert same(df) == same(index)
+    scores = lambda ranked: sorted((r["file_id"], round(r["score"], 9)) for r in ranked.collect())
+    assert scores(fulltext.rank(df, "quick fox the")) == scores(index.rank("quick fox the"))
 
 
 def test_fulltext_results(spark, tmp_path):
     body = "é" * 300 + " fox and fox"
     df = spark.createDataFrame([(1, 1, body), (2, 1, "fox"), (3, 1, "fox gone")], "file_id long, location long, body string")
     meta = spark.createDataFrame([(1, "/d/B.txt", "B.txt", 10, "x", 700), (2, "/d/a.txt", "a.txt", 20, "x", 3)], "file_id long, path string, filename string, mtime long, md5 string, file_size long")
-    fulltext.save(fulltext.build(df), str(tmp_path / "ix"))
-    index = fulltext.load(spark, str(tmp_path / "ix"))
+    index = TextIndex.create(df, str(tmp_path / "ix"))
     got = fulltext.search(index, meta, "fox", order="name_asc").collect()
     assert [r["filename"] for r in got] == ["a.txt", "B.txt"]  # a page without data of its file is left out
     assert got[1]["keyword_count"] == 2 and len(got[1]["hits"]) == 2 and got[1]["snippet"].endswith("...")
@@ -329,7 +331,16 @@ def test_fulltext_results(spark, tmp_path):
     assert [r["filename"] for r in fulltext.sort_results(spark.createDataFrame(got), "name_desc", compat=True).collect()] == ["a.txt", "B.txt"]
     rows = sinks.result_rows(spark.createDataFrame(got), meta).orderBy("路径").collect()
     assert rows[0]["文件大小"] == "700 B" and rows[0]["修改时间(UTC)"] == "1970-01-01 00:00:10"
-    assert fulltext.search(df, meta, "  ").isEmpty()
+    assert fulltext.search(df, meta, "  ").isEmpty() and fulltext.search(index, meta, "  ").isEmpty()
+
+
+def test_case_of_counts_and_hits(spark):
+    """Words are found in any case; they are counted and shown in any case too, unless that is switched off."""
+    df = spark.createDataFrame([(1, 1, "Only Trash capital"), (2, 1, "Trash trash TRASH")], "file_id long, location long, body string")
+    meta = spark.createDataFrame([(i, f"/d/{i}.txt", f"{i}.txt", 10, 1) for i in (1, 2)], "file_id long, path string, filename string, mtime long, file_size long")
+    found = lambda **k: {r["file_id"]: (r["keyword_count"], len(r["hits"]), r["snippet"]) for r in fulltext.search(df, meta, "Trash", **k).collect()}
+    assert found() == {1: (1, 1, "only 【trash】 capital"), 2: (3, 3, "【trash】 【trash】 【trash】")}
+    assert found(ignore_case=False) == {1: (1, 1, "Only 【Trash】 capital"), 2: (1, 1, "【Trash】 trash TRASH")}
 
 
 def events(spark, *rows):
