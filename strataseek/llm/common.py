@@ -13,7 +13,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,19 +70,34 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def portions(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of up to ``rows`` rows and ``most`` bytes of texts; a longer text comes by itself."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right"))
+        upto = min(max(upto, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list | None]],
     fields: list[tuple[str, T.DataType]],
     keep: Iterable[str],
     rows: int = 1 << 30,
+    most: int = 1 << 60,
 ) -> DataFrame:
     """Append columns computed from whole Arrow batches.
 
     ``make()`` runs once a task and returns ``fn(batch) -> columns`` (one list or
     Arrow array per entry of ``fields``). ``keep`` names the input columns that
     stay; an input column whose name is also in ``fields`` gives way to the new one.
-    Batches of more than ``rows`` rows are handed over in slices.
+    Batches of more than ``rows`` rows or ``most`` bytes of texts are handed over in slices.
     """
     names = {n for n, _ in fields}
     kept = [c for c in keep if c not in names]
@@ -89,7 +106,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+        for batch in (p for b in batches for p in portions(b, rows, most)):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, (_, t) in zip(fn(batch), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + made, names=kept + [n for n, _ in arrow])

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strataseek.llm.common import texts, written
+from strataseek.llm.common import portions, texts, written
 
 SIMILARITY = 0.8
 #: Words of a seed, at most; words from which on an item goes through the embedding; words of a segment.
@@ -50,7 +50,7 @@ REPETITIONS, SAMPLES, SEED = 16, 2, 11
 #: Text bytes of the benchmark that one index may hold.
 MAX_INDEX_BYTES = 8 << 20
 #: Rows whose words a task holds at once.
-HELD = 1024
+HELD, HELD_BYTES = 1024, 2 << 20
 #: Bits of the table that says where a word run may be a seed.
 FILTER_BITS = 21
 
@@ -272,7 +272,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def found_by(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
+            for batch in (p for b in batches for p in portions(b, HELD, HELD_BYTES)):
                 ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
                 found = index.search(texts(batch, text_col))
                 rows = [(d, *hit) for d, hits in zip(ids, found, strict=True) for hit in hits]
@@ -290,7 +290,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text
 
     def clean(documents: DataFrame, index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
+            for batch in (p for b in batches for p in portions(b, HELD, HELD_BYTES)):
                 found = index.search(texts(batch, text_col))
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 

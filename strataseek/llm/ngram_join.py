@@ -52,8 +52,8 @@ GRAM = 3
 ROWS, ENTRIES = 256, 1 << 15
 #: A column of up to so many entries adds its pairs one by one; denser ones go through a tile of so many columns.
 FEW, COLUMNS = 24, 4096
-#: Rows whose n-grams a task holds at once where it computes them.
-HELD = 1024
+#: Rows whose n-grams a task holds at once where it computes them, and bytes of their texts.
+HELD, HELD_BYTES = 1024, 2 << 20
 #: Rows of five numbers that may be sent to every task (some 100 MB) in place of a shuffle of the texts.
 SMALL = 2_000_000
 
@@ -245,7 +245,7 @@ def incidence(df: DataFrame, id_col: str, text_col: str, gram: int = GRAM, perce
         return fn
 
     keyed = df.select(F.col(id_col), F.col(text_col), *row_key(id_col, text_col))
-    return written(map_batches(keyed, make, fields, [id_col, *KEY], HELD), "incidence")
+    return written(map_batches(keyed, make, fields, [id_col, *KEY], HELD, HELD_BYTES), "incidence")
 
 
 def classes_of(table: DataFrame, id_col: str) -> DataFrame:
@@ -320,7 +320,7 @@ def links(df: DataFrame, table: DataFrame, classes: DataFrame, id_col: str, text
 
         return fn
 
-    sets = written(map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["node", "unit", "blocks"], HELD), "sets")
+    sets = written(map_batches(found, make, [("shingles", T.ArrayType(T.LongType()))], ["node", "unit", "blocks"], HELD, HELD_BYTES), "sets")
     once = [F.lit(0).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "shingles"]
     first = sets.select("unit", _block("node", F.col("blocks")).alias("i"), *once)
     labels = _relabelled(wanted.select("low", "node", "unit", F.col("node").alias("label"), "blocks"), _products(first, percent))

@@ -3,9 +3,9 @@
 The law is ``bytes``: shards get nearly equal bytes. A node that is to become m
 shards is cut at the weighted median (or the m/2 : m share) of its widest dimension,
 again and again, until a leaf is one shard of about the target bytes. Dimensions
-are the texts' length, language and bytes a character; the text's checksum
-orders rows of equal coordinate, so that equal texts stand together and a cut falls
-between groups of them. Where that leaves the sides too uneven, the next widest
+are the texts' length, language (of equal texts the least one that any of them has)
+and bytes a character; the text's checksum orders rows of equal coordinate, so that
+equal texts stand together and a cut falls between groups of them. Where that leaves the sides too uneven, the next widest
 dimension is tried; a group too large for any of them is cut by document id.
 
 Medians are found by narrowing histograms: one aggregation a round over a compact
@@ -40,6 +40,8 @@ CLOSE, LOOSE = 0.002, 0.02
 DIMENSIONS = ("length", "language", "density")
 #: Coordinates are integers below this; with the checksum they make a key of 62 bits.
 SCALE = 1 << 30
+#: Texts of several languages that may be sent to every task, five numbers each; more are joined by a shuffle.
+SENT = 500_000
 
 
 @dataclass
@@ -77,6 +79,7 @@ def compact(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
         (size.cast("long") + 1).alias("size"),
         crc.alias("text_crc32"),
         *keys,
+        F.xxhash64(text).alias("digest"),
         # differences of these keys must fit in 64 bits
         F.when(number.between(-(1 << 61), 1 << 61), number).otherwise(F.shiftright(F.xxhash64(id_col), 2)).alias("id_key"),
         F.monotonically_increasing_id().alias("place"),
@@ -84,6 +87,21 @@ def compact(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     return written(chosen, "shards")
 
 
+def together(table: DataFrame) -> DataFrame:
+    """The table with one language for all rows of a text, the least of them, so that no cut along languages parts equal texts.
+
+    Only texts of several languages are joined; a text that many rows share is a row a task in the aggregation.
+    """
+    same = ["digest", "text_crc32", "size"]
+    mixed = table.groupBy(*same).agg(F.min("k_language").alias("least"), F.max("k_language").alias("most")).where("least < most").drop("most")
+    mixed = written(mixed, "shards-languages")
+    n = mixed.count()
+    if not n:
+        return table
+    joined = table.join(F.broadcast(mixed) if n <= SENT else mixed, same, "left")
+    return written(joined.withColumn("k_language", F.coalesce("least", "k_language")).select(*table.columns), "shards-together")
+
+
 @dataclass
 class Search:
     """The interval of keys in which a cut lies, and the bytes below it."""
@@ -207,7 +225,7 @@ def shard_column(tree: dict[int, tuple[Cut, int, int]], at: int = 1, first: int
 
 def shard(df: DataFrame, shards: int | None = 8, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id``, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row."""
-    table = compact(df, id_col, text_col, lang_col)
+    table = together(compact(df, id_col, text_col, lang_col))
     if target_bytes is not None:
         total = table.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))

@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from strataseek.llm import components, decontaminate, ngram_join, queries, sharding, url_rules
+from strataseek.llm.common import portions
 from tests.conftest import rows_of
 
 
@@ -158,6 +160,29 @@ def test_sharding(spark, sf):
     assert all(r["size"] == len(texts[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) for r in rows)
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_equal_texts_of_several_languages(spark, monkeypatch, sent):
+    """A text that stands in the table once in each language goes to one shard, and the bytes stay even."""
+    monkeypatch.setattr(sharding, "SENT", sent)
+    rows = [(400 * k + i, f"text {i} " * (5 + i % 40), lang) for i in range(400) for k, lang in enumerate(("en", "de", "fr", None))]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 8).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["doc_id"] % 400, set()).add(r["shard"])
+    assert len(out) == 1600 and all(len(g) == 1 for g in groups.values())
+    sizes = [sum(r["size"] for r in out if r["shard"] == k) for k in range(8)]
+    assert max(sizes) - min(sizes) < 0.06 * sum(sizes) / 8
+
+
+def test_portions():
+    """Slices are bounded by rows and by bytes of texts; a text beyond the bound comes alone; nothing is lost."""
+    texts = ["a" * n for n in (3, 0, 10, 4, 4, 1, 50, 2)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    cut = [p.column(1).to_pylist() for p in portions(batch, 3, 10)]
+    assert sum(cut, []) == texts and all(len(c) <= 3 and (len(c) == 1 or sum(len(t or "") for t in c) <= 10) for c in cut)
+    assert list(portions(batch.slice(0, 0), 3, 10)) == [] and [p.num_rows for p in portions(batch.slice(6), 99, 1 << 60)] == [4]
+
+
 def test_a_group_too_large_for_a_shard(spark):
     rows = [(i, "copy " * 50, "en") for i in range(600)] + [(1000 + i, f"text {i} " * 40, "de") for i in range(900)]
     found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5).collect()
