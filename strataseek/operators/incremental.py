@@ -24,8 +24,10 @@ def changes(known: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 def to_index(disk: DataFrame, known: DataFrame) -> DataFrame:
-    """Files on disk whose time or fingerprint the index doesn't have."""
-    return disk.join(known.select("path", "mtime", "md5"), ["path", "mtime", "md5"], "left_anti")
+    """Files on disk whose time or fingerprint the index doesn't have; what both sides lack is equal."""
+    k = known.select(F.col("path").alias("_path"), F.col("mtime").alias("_mtime"), F.col("md5").alias("_md5"))
+    same = (disk["path"] == k["_path"]) & disk["mtime"].eqNullSafe(k["_mtime"]) & disk["md5"].eqNullSafe(k["_md5"])
+    return disk.join(k, same, "left_anti")
 
 
 def sweep(known: DataFrame, disk: DataFrame) -> DataFrame:

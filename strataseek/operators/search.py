@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataseek.functions import formatting, paths
 from strataseek.plans.options import SearchOptions, SortField, SortSpec
-from strataseek.plans.query import predicate
+from strataseek.plans.relational import DUPLICATES, matching, shared
 
 
 def sort_keys(spec: SortSpec) -> list[Column]:
@@ -35,12 +35,6 @@ def sort_entries(files: DataFrame, spec: SortSpec) -> DataFrame:
     return files.orderBy(*sort_keys(spec))
 
 
-def matching(files: DataFrame, query: str, options: SearchOptions | None = None, now: datetime | None = None, compat: bool = False) -> DataFrame:
-    """The rows that a query matches, in no order."""
-    condition = predicate(query, options, now, compat)
-    return files if condition is None else files.where(condition)
-
-
 def search(files: DataFrame, query: str, options: SearchOptions | None = None, now: datetime | None = None, compat: bool = False) -> DataFrame:
     """Matches, sorted, from ``offset``, ``max_results`` of them (0: all).
 
@@ -77,15 +71,11 @@ def with_run_history(files: DataFrame, history: DataFrame) -> DataFrame:
     return out.select(*files.columns)
 
 
-# Extensions: what the query language accepts but doesn't compute, as operators of their own.
-
-
 def duplicates(files: DataFrame, by: str = "name") -> DataFrame:
-    """Files that share their folded name, size or modification date with another. Pre-aggregated, so a common name is a row a task."""
-    key = {"name": F.lower("file_name"), "size": F.col("size"), "date": F.col("date_modified")}[by]
+    """Files that share their folded name, size or modification date with another; as the ``dupe:`` functions of queries."""
+    key = DUPLICATES[{"name": "dupe", "size": "sizedupe", "date": "dmdupe"}[by]]()
     keyed = files.where(~F.col("is_directory")).withColumn("_key", key)
-    common = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
-    return keyed.join(common, "_key", "left_semi").select(*files.columns)
+    return keyed.join(shared(files, key), "_key", "left_semi").select(*files.columns)
 
 
 def child_counts(files: DataFrame) -> DataFrame:

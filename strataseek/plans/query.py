@@ -333,7 +333,12 @@ def predicate(text: str, options: SearchOptions | None = None, now: datetime | N
         source = F.col("full_path" if options.match_path else "file_name")
         pattern = regex.to_java(text)
         return source.rlike(pattern) if pattern is not None and _readable(pattern) else F.lit(False)
-    query = parse(text, options)
+    return condition_of(parse(text, options), now, compat)
+
+
+def condition_of(query: Query, now: datetime | None = None, compat: bool = False) -> Column | None:
+    """The condition of a query that has been read, of what it says of single rows."""
+    now = now or datetime.now(timezone.utc)
     conditions = []
     if query.options.files_only:
         conditions.append(~F.col("is_directory"))

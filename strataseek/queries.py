@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strataseek import fixtures
 from strataseek.functions import formatting, paths
 from strataseek.operators import fulltext, history, incremental, listing, search
+from strataseek.operators.name_index import NameIndex
 from strataseek.operators.text_index import TextIndex
 from strataseek.plans.options import SearchOptions, SortField, SortSpec
 from strataseek.sources import scratch, sinks
@@ -66,7 +67,13 @@ _matching("or_groups", "report mp3 | 文档 | order 99", "(contains(lower(file_n
 _matching("or_with_filter", "test | 文档 size:>1mb", "(contains(lower(file_name), 'test') OR contains(file_name, '文档')) AND (is_directory OR size > 1048576)")
 _matching("phrase", '"test 1"', "contains(lower(file_name), 'test 1')")
 _matching("unknown_function_is_text", "foo:1 | order", "contains(lower(file_name), 'foo:1') OR contains(lower(file_name), 'order')")
-_matching("idle_function", "child:x content:y dupe: report", "contains(lower(file_name), 'report')")
+_matching("idle_function", "content:y frn:x report", "contains(lower(file_name), 'report')")
+_matching("idle_function_compat", "child:x content:y dupe: report", "contains(lower(file_name), 'report')", compat=True)
+_SHARED = "NOT is_directory AND {0} IN (SELECT {0} FROM file_entries WHERE NOT is_directory GROUP BY {0} HAVING count(*) > 1)"
+_matching("dupe_sizes", "sizedupe: report | 文档 | tar", _SHARED.format("size") + " AND (contains(lower(file_name), 'report') OR contains(file_name, '文档') OR contains(lower(file_name), 'tar'))")
+_matching("dupe_dates", "size:>1mb dmdupe: audio:", f"{_SHARED.format('date_modified')} AND size > 1048576 AND {_AUDIO}")
+_matching("dupe_twice", "dmdupe: sizedupe: !test", f"{_SHARED.format('size')} AND {_SHARED.format('date_modified')} AND NOT contains(lower(file_name), 'test')")
+_matching("in_folder", "infolder:/DATA/cust7/f report | order", "lower(parent_path) = '/data/cust7/f' AND (contains(lower(file_name), 'report') OR contains(lower(file_name), 'order'))")
 _matching("macro_audio", "audio:", _AUDIO)
 _matching("macro_doc", "doc:", _DOC)
 _matching("macro_pic", "pic:", _types("jpg jpeg png gif bmp tiff webp svg ico"))
@@ -144,6 +151,24 @@ def regex_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _by_index(name: str, query: str, where: str, **options) -> None:
+    """A search through a saved index of the trigrams of names."""
+    shown = ", ".join(SHOWN)
+
+    @registered(f"SELECT {shown} FROM file_entries WHERE {where}", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        NameIndex.build(fixtures.files(spark, sf_dir), path := scratch.new_path(spark, "names"))
+        return NameIndex(spark, path).matching(query, SearchOptions(**options), NOW).select(*SHOWN)
+
+
+_by_index("name_substring_indexed", "report", "contains(lower(file_name), 'report')")
+_by_index("wildcard_star_indexed", "*rt_*7*.mp?", r"regexp_matches(lower(file_name), '^.*rt_.*7.*\.mp.$')")
+_by_index("or_groups_indexed", "report mp3 | 文档1 | order 99 !7", "(contains(lower(file_name), 'report') AND contains(lower(file_name), 'mp3')) OR contains(file_name, '文档1') OR (contains(lower(file_name), 'order') AND contains(lower(file_name), '99') AND NOT contains(lower(file_name), '7'))")
+_by_index("rare_name_indexed", "test 12 | _777 size:>1kb", "(contains(lower(file_name), 'test') AND contains(lower(file_name), '12') OR contains(file_name, '_777')) AND (is_directory OR size > 1024)")
+_by_index("case_indexed", "case: Report_1 | ORDER", "contains(file_name, 'Report_1') OR contains(file_name, 'ORDER')")
+_by_index("short_term_indexed", "7 | report", "contains(file_name, '7') OR contains(lower(file_name), 'report')")
+
+
 def _page(name: str, query: str, where: str, order: str, spec: SortSpec, limit: int = 1000, offset: int = 0) -> None:
     """A query that returns one page of sorted results, with its place in it."""
     shown = ", ".join(SHOWN)
@@ -286,6 +311,34 @@ def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.child_counts(tree).where("child_files + child_folders > 0").select("full_path", "child_files", "child_folders")
 
 
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with rows for the folders that they lie in, and their names cut short, so that some are equal."""
+    entries = fixtures.files(spark, sf_dir).withColumn("file_name", F.regexp_replace("file_name", "[0-9]{2}(?=\\.|$)", ""))
+    folders = entries.select("parent_path").distinct().select(F.col("parent_path").alias("full_path"), F.substring_index("parent_path", "/", -1).alias("file_name"), F.substring_index("parent_path", "/", 3).alias("parent_path"), F.lit(True).alias("is_directory"))
+    return entries.unionByName(folders, allowMissingColumns=True)
+
+
+_TREE = r"""entries AS (SELECT * REPLACE (regexp_replace(file_name, '[0-9]{2}(\.|$)', '\1') AS file_name) FROM file_entries),
+tree AS (SELECT full_path, file_name, parent_path, is_directory FROM entries UNION ALL
+  SELECT DISTINCT parent_path, regexp_extract(parent_path, '([^/]*)$', 1), regexp_extract(parent_path, '^(/[^/]*/[^/]*)', 1), true FROM entries),
+inside AS (SELECT parent_path AS folder, count(*) AS n, count_if(is_directory) AS d FROM tree GROUP BY parent_path)"""
+
+
+def _related(name: str, query: str, where: str) -> None:
+    """A query over the tree, of functions that look at other rows."""
+
+    @registered(f"SELECT * FROM (WITH {_TREE}\nSELECT full_path, file_name FROM tree LEFT JOIN inside ON folder = full_path WHERE {where}) x", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.matching(_tree(spark, sf_dir), query, now=NOW).select("full_path", "file_name")
+
+
+_NAMES = "NOT is_directory AND lower(file_name) IN (SELECT lower(file_name) FROM tree WHERE NOT is_directory GROUP BY lower(file_name) HAVING count(*) > 1)"
+_related("dupe_names", "dupe: report | 文档", f"{_NAMES} AND (contains(lower(file_name), 'report') OR contains(file_name, '文档'))")
+_related("child_count", "childcount:>10", "is_directory AND coalesce(n, 0) > 10")
+_related("child_folders", "childfoldercount:1..8 childfilecount:>=20", "is_directory AND coalesce(d, 0) BETWEEN 1 AND 8 AND coalesce(n - d, 0) >= 20")
+_related("child_name", "child:MP3 folder: p | o", "is_directory AND (contains(lower(file_name), 'p') OR contains(lower(file_name), 'o')) AND full_path IN (SELECT parent_path FROM tree WHERE contains(lower(file_name), 'mp3'))")
+
+
 _CHANGES = """SELECT coalesce(d.path, k.path) AS path, CASE WHEN k.path IS NULL THEN 'new' WHEN d.path IS NULL THEN 'deleted' ELSE 'modified' END AS change
 FROM snapshot_known k FULL OUTER JOIN snapshot_disk d ON k.path = d.path
 WHERE k.path IS NULL OR d.path IS NULL OR k.mtime <> d.mtime OR k.md5 IS DISTINCT FROM d.md5"""

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.schema import WATCH_EVENT
 
+#: Touched paths that may be sent to every task.
+SENT = 1_000_000
+
 
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each path (by time, then number); combined before the shuffle, so a busy path is a row a task."""
@@ -21,17 +24,27 @@ def latest(events: DataFrame) -> DataFrame:
     return last.select("path", "e.seq", "e.ts", "e.kind")
 
 
-def _ancestors(path: Column) -> Column:
-    """A path and the folders above it."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+def touched_by(files: DataFrame, touched: DataFrame, name: str = "_touched") -> DataFrame:
+    """``files`` with a flag: whether a row is one of the touched paths or lies below one.
+
+    A touched path of k parts can only be the first k parts of a file's path, so each number of parts that occurs
+    among the touched paths is one equi-join with them. As a rule they are few and sent to every task, and
+    the files stay where they are; nothing is made of the folders above every file.
+    """
+    roots = touched.select(F.col("path").alias("_root")).where(F.col("_root").isNotNull()).groupBy("_root").agg(F.size(F.split("_root", "/")).alias("_parts"))
+    counts = {r["_parts"]: r["n"] for r in roots.groupBy("_parts").agg(F.count("*").alias("n")).collect()}  # a row for each depth
+    few = sum(counts.values()) <= SENT
+    out = files.withColumn(name, F.lit(False))
+    for parts in sorted(counts):
+        own = roots.where(F.col("_parts") == parts).select("_root", F.lit(True).alias("_hit"))
+        joined = out.join(F.broadcast(own) if few else own, F.substring_index("full_path", "/", parts) == F.col("_root"), "left")
+        out = joined.withColumn(name, F.col(name) | F.col("_hit").isNotNull()).drop("_root", "_hit")
+    return out
 
 
 def without(files: DataFrame, touched: DataFrame) -> DataFrame:
-    """Files that are neither a touched path nor below one: an equi-join on each path's folders, no scan of all pairs."""
-    keyed = files.select("full_path").distinct().select("full_path", F.explode(_ancestors(F.col("full_path"))).alias("path"))
-    hit = keyed.join(touched.select("path").distinct(), "path", "left_semi").select("full_path").distinct()
-    return files.join(hit, "full_path", "left_anti")
+    """Files that are neither a touched path nor below one."""
+    return touched_by(files, touched).where("NOT _touched").drop("_touched")
 
 
 def apply_events(files: DataFrame, events: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
@@ -40,10 +53,8 @@ def apply_events(files: DataFrame, events: DataFrame, scanned: DataFrame | None
     out = without(files, last)
     if scanned is None:
         return out
-    live = last.where(F.col("kind") != "removed").select("path").distinct()
-    keyed = scanned.select("full_path").distinct().select("full_path", F.explode(_ancestors(F.col("full_path"))).alias("path"))
-    wanted = keyed.join(live, "path", "left_semi").select("full_path").distinct()
-    return out.unionByName(scanned.join(wanted, "full_path", "left_semi").dropDuplicates(["full_path"]).select(*files.columns))
+    wanted = touched_by(scanned, last.where(F.col("kind") != "removed")).where("_touched")
+    return out.unionByName(wanted.dropDuplicates(["full_path"]).select(*files.columns))
 
 
 def follow(events: DataFrame, load: Callable[[], DataFrame], scan: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str, **trigger):

@@ -94,7 +94,8 @@ ROWS = [
         ("type:exe", []),
         ("type:nope", []),
         ("filelist:x", []),
-        ("dupe: child:q café", ["naïve café.pdf"]),
+        ("frn:1 content:q café", ["naïve café.pdf"]),
+        ("dupe: child:q café", []),
         ("http://x", []),
         ("a+?(1*.rs", ["a+b(1).rs"]),
         ("*.mp3", ["foo.MP3"]),
@@ -110,6 +111,7 @@ def test_examples(spark, text, expected):
 
 def test_historical_readings(spark):
     assert names(spark, ROWS, "*.MP3", compat=True) == []
+    assert names(spark, ROWS, "dupe: child:q café", compat=True) == ["naïve café.pdf"]  # they hold for every row
     assert "naïve café.pdf" in names(spark, ROWS, "size:1kb..2mb", compat=True)  # its second bound is open
     assert "naïve café.pdf" not in names(spark, ROWS, "size:1kb..2mb")
     df = spark.createDataFrame([{**r, "file_ord": i} for i, r in enumerate(ROWS)], FILE_ENTRY)
