@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_RUN = re.compile(r"[^\W_]+")
-_HAN = re.compile(r"[㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+")
+RUNS = re.compile(r"[^\W_]+")
+HAN = re.compile("[㐀-鿿豈-﫿]+")
+HAN_PARTS = re.compile(r"[㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+")
 _PARTS = r"([㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+)"
 
 
@@ -43,9 +44,9 @@ def segment(text: str, dictionary: bool = True) -> list[str]:
         except ImportError:
             jieba = None
     out = []
-    for run in _RUN.findall(text.lower()):
-        for part in _HAN.findall(run):
-            if not _HAN.match(part) or not "㐀" <= part[0] <= "﫿":
+    for run in RUNS.findall(text.lower()):
+        for part in HAN_PARTS.findall(run):
+            if not HAN.match(part):
                 out.append(part)
             elif jieba:
                 out += [w for w in jieba.cut(part) if w.strip()]

@@ -26,6 +26,8 @@ SNIPPET_BYTES, HIT_BEFORE, HIT_EXTRA = 500, 250, 500
 
 def query_terms(text: str, tokenizer=tokens.words) -> list[str]:
     """The driver's reading of a tokenizer: a run of Han characters becomes the terms that pages hold, side by side."""
+    if hasattr(tokenizer, "terms"):
+        return tokenizer.terms(text)
     return tokens.words_of(text) if tokenizer is tokens.words else tokens.segment(text)
 
 

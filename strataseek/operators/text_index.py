@@ -51,13 +51,14 @@ class Raced(RuntimeError):
 
 @dataclass
 class State:
-    """Version, segments {id: {seq, pages, tokens}}, deletions {id: {seq, files}}, losses {id: {segment: [pages, tokens]}}."""
+    """Version, the tokenizer's name, segments {id: {seq, pages, tokens}}, deletions {id: {seq, files}}, losses {id: {segment: [pages, tokens]}}."""
 
     version: int = 0
     seq: int = 0
     segments: dict = field(default_factory=dict)
     gone: dict = field(default_factory=dict)
     lost: dict = field(default_factory=dict)
+    tokenizer: str = ""
 
 
 def postings_of(sized: DataFrame) -> DataFrame:
@@ -109,6 +110,10 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, tokenizer: Callable[[Column], Column] = tokens.words):
         self.spark, self.path, self.tokenizer = spark, path.rstrip("/"), tokenizer
         self.state = self._last_state()
+        name = getattr(tokenizer, "name", "")
+        if self.state.version and self.state.tokenizer != name:
+            raise ValueError("the index was made with another tokenizer")
+        self.state.tokenizer = name
         #: Buckets read by the last search for the best pages, and buckets with any of its terms.
         self.read: tuple[int, int] | None = None
 

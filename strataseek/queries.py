@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek import fixtures
-from strataseek.functions import formatting, paths
+from strataseek.functions import formatting, paths, tokens
+from strataseek.functions.segment import Segmenter
 from strataseek.operators import fulltext, history, incremental, listing, search
 from strataseek.operators.name_index import NameIndex
 from strataseek.operators.text_index import TextIndex
@@ -444,10 +445,10 @@ def _scored(terms: list[str], matches: str, scores: str | None = None) -> str:
 WHERE {matches}"""
 
 
-def _index(pages: DataFrame) -> TextIndex:
+def _index(pages: DataFrame, tokenizer: Callable = tokens.words) -> TextIndex:
     """An index of the pages, saved and opened again."""
-    path = TextIndex.create(pages.select("file_id", "location", "body"), scratch.new_path(pages.sparkSession, "index")).path
-    return TextIndex(pages.sparkSession, path)
+    path = TextIndex.create(pages.select("file_id", "location", "body"), scratch.new_path(pages.sparkSession, "index"), tokenizer).path
+    return TextIndex(pages.sparkSession, path, tokenizer)
 
 
 def _text(name: str, query: str, terms: list[str], matches: str, scores: str | None = None, indexed: bool = False, plain: bool = False) -> None:
@@ -571,6 +572,32 @@ for _name, _query in (("text_han_word", "文档"), ("text_han_phrase", "文档
             return _chinese(spark, sf_dir, query, indexed)
 
 
+#: Phrases, and the words of a dictionary of one to four signs, some of which overlap.
+_PHRASES = ("我们学习文档检索系统", "检索系统的文档", "学习检索方法", "系统研究生命起源")
+_COUNTS = {"我们": 90, "学习": 60, "文档": 40, "检索": 20, "系统": 50, "检索系统": 30, "方法": 40, "研究": 30, "研究生": 20, "生命": 20, "起源": 10, "命": 3, "的": 200}
+
+
+def _segmented(spark: SparkSession, sf_dir: str, query: str, indexed: bool) -> DataFrame:
+    words = Segmenter.of(spark.createDataFrame(list(_COUNTS.items()), "word string, count long"))
+    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.pmod("file_ord", F.lit(4)) + 1).cast("int"))
+    pages = fixtures.files(spark, sf_dir).select(F.col("file_ord").alias("file_id"), F.lit(1).alias("location"), F.concat("file_name", F.lit(" "), phrase).alias("body"))
+    return (_index(pages, words).rank(query) if indexed else fulltext.rank(pages, query, words)).select("file_id")
+
+
+# a word is found where the best path has it, not inside a longer one or across two
+for _name, _query, _where in (
+    ("text_segmented_word", "检索", "file_ord % 4 = 2"),
+    ("text_segmented_long", "检索系统 AND NOT 的", "file_ord % 4 = 0"),
+    ("text_segmented_across", "研究生 方法", "file_ord % 4 = 2"),
+    ("text_segmented_phrase", "系统研究生命", "file_ord % 4 = 3"),
+):
+    for _indexed in (False, True):
+
+        @registered(f"SELECT file_ord AS file_id FROM file_entries WHERE {_where}", _name + "_indexed" * _indexed)
+        def _(spark: SparkSession, sf_dir: str, query: str = _query, indexed: bool = _indexed) -> DataFrame:
+            return _segmented(spark, sf_dir, query, indexed)
+
+
 def _rank_of(where: str) -> str:
     left = _scored(["trash", "loser"], "f0 + f1 > 0").replace("doc_pages", f"(SELECT * FROM doc_pages WHERE {where}) u")
     return f"SELECT file_id, location, round(raw, 4) AS score FROM ({left}) r"
