@@ -27,10 +27,14 @@ from pyspark.sql import types as T
 from strataseek.llm.common import Memo, map_batches, texts
 
 
+#: Words that a worker process remembers, where a caller names no number.
+MEMO = 400_000
+
+
 class ByteBPE:
-    """The merges of a rank file, by longest match and backtracking."""
+    """The merges of a rank file, by longest match and backtracking. ``memo``: words whose ids are remembered, some 500 bytes each with their parts."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memo: int = MEMO):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
@@ -40,9 +44,9 @@ class ByteBPE:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.split = regex.compile(pattern).findall
-        self.compatible = Memo(self._compatible, 500_000)
-        self.piece_ids = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), 200_000)
-        self.segment_ids = Memo(self._segment, 400_000)
+        self.compatible = Memo(self._compatible, memo * 5 // 4)
+        self.piece_ids = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), memo // 2)
+        self.segment_ids = Memo(self._segment, memo)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merges by rank, lowest and leftmost first; quadratic, for short input."""
@@ -130,9 +134,9 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, pattern: str) -> ByteBPE:
+def load(path: str, pattern: str, memo: int = MEMO) -> ByteBPE:
     """One codec a worker process; tasks that follow reuse its memo."""
-    return ByteBPE(path, pattern)
+    return ByteBPE(path, pattern, memo)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -157,13 +161,16 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: l
     return map_batches(df.select(*dict.fromkeys([*keep, ids_col])), make, [("decoded", T.BinaryType())], keep)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """Encode and decode in one pass: ``n_tokens``, digests of the ids and of the decoded bytes, and the ids if asked."""
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] = ("doc_id",), with_ids: bool = False, memo: int = MEMO) -> DataFrame:
+    """Encode and decode in one pass: ``n_tokens``, digests of the ids and of the decoded bytes, and the ids if asked.
+
+    A worker that serves other operators too should get a smaller ``memo``: it is kept between tasks.
+    """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     fields += [("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
     def make():
-        codec = load(path, pattern)
+        codec = load(path, pattern, memo)
         shown = {i: str(i) for i in codec.bytes_of}.__getitem__
 
         def fn(batch):
