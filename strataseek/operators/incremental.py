@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.operators.listing import numbered
 
 
+def save_snapshot(files: DataFrame, path: str, buckets: int = 200) -> DataFrame:
+    """Write a snapshot (path, mtime, md5, ...) in buckets of its paths, so that it is compared with others of as many buckets where it lies."""
+    name = f"snapshot_{uuid.uuid4().hex}"
+    files.write.bucketBy(buckets, "path").sortBy("path").option("path", path).format("parquet").saveAsTable(name)
+    return files.sparkSession.table(name)
+
+
+def open_snapshot(spark: SparkSession, path: str, buckets: int = 200) -> DataFrame:
+    """A snapshot that has been saved in so many buckets."""
+    name = f"snapshot_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (path) SORTED BY (path) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
 def compare_index(known: DataFrame, disk: DataFrame) -> DataFrame:
     """Numbers of new, modified and deleted paths; both sides have path, mtime, md5."""
     return changes(known, disk).agg(*(F.count_if(F.col("change") == c).alias(f"{c}_count") for c in ("new", "modified", "deleted")))
@@ -26,8 +44,11 @@ def changes(known: DataFrame, disk: DataFrame) -> DataFrame:
 def to_index(disk: DataFrame, known: DataFrame) -> DataFrame:
     """Files on disk whose time or fingerprint the index doesn't have; what both sides lack is equal."""
     k = known.select(F.col("path").alias("_path"), F.col("mtime").alias("_mtime"), F.col("md5").alias("_md5"))
-    same = (disk["path"] == k["_path"]) & disk["mtime"].eqNullSafe(k["_mtime"]) & disk["md5"].eqNullSafe(k["_md5"])
-    return disk.join(k, same, "left_anti")
+
+    def equal(a: Column, b: Column) -> Column:  # said so that it is no key of the join: snapshots lie by path
+        return F.coalesce(a == b, a.isNull() & b.isNull())
+
+    return disk.join(k, (disk["path"] == k["_path"]) & equal(disk["mtime"], k["_mtime"]) & equal(disk["md5"], k["_md5"]), "left_anti")
 
 
 def sweep(known: DataFrame, disk: DataFrame) -> DataFrame:

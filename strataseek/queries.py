@@ -16,7 +16,7 @@ from strataseek.operators.name_index import NameIndex
 from strataseek.operators.text_index import TextIndex
 from strataseek.plans.options import SearchOptions, SortField, SortSpec
 from strataseek.sources import scratch, sinks
-from strataseek.streaming import watch
+from strataseek.streaming import counters, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -350,6 +350,15 @@ def compare_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.compare_index(fixtures.view(spark, sf_dir, "snapshot_known"), fixtures.view(spark, sf_dir, "snapshot_disk"))
 
 
+@registered(_CHANGES)
+def index_changes_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of snapshots saved in buckets, the known one opened again."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    incremental.save_snapshot(fixtures.view(spark, sf_dir, "snapshot_known"), known := scratch.new_path(spark, "known"), buckets)
+    disk = incremental.save_snapshot(fixtures.view(spark, sf_dir, "snapshot_disk"), scratch.new_path(spark, "disk"), buckets)
+    return incremental.changes(incremental.open_snapshot(spark, known, buckets), disk)
+
+
 @registered(_CHANGES)
 def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changes(fixtures.view(spark, sf_dir, "snapshot_known"), fixtures.view(spark, sf_dir, "snapshot_disk"))
@@ -406,6 +415,28 @@ def search_history_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.first_searches(fixtures.view(spark, sf_dir, "search_log"), 20)
 
 
+def _streamed(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The events replayed as a stream in four parts, stopped and started again after each; an owner is a customer's folder."""
+    events = fixtures.view(spark, sf_dir, "watch_events").withColumn("owner", F.substring_index("path", "/", 3))
+    folder, schema = scratch.new_path(spark, "counters"), "seq long, ts timestamp, path string, kind string, owner string"
+    events = events.select("seq", F.col("ts").cast("timestamp").alias("ts"), "path", "kind", "owner")
+    for part in range(4):
+        events.where(F.col("seq") % 4 == part).write.mode("append").parquet(f"{folder}/events")
+        counters.count(spark.readStream.schema(schema).parquet(f"{folder}/events"), folder, most)
+    return counters.current(spark, folder)
+
+
+@registered(f"{_RUNS} ORDER BY run_count DESC, path LIMIT 100")
+def history_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.most_run(_streamed(spark, sf_dir, 0).drop("owner"), 100)
+
+
+@registered(f"{_RUNS} ORDER BY run_count DESC, path LIMIT 100")
+def history_streamed_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With state of its own and a bound that no owner reaches."""
+    return history.most_run(_streamed(spark, sf_dir, 1000).drop("owner"), 100)
+
+
 _LATEST = "SELECT path, seq, ts, kind FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS place FROM watch_events WHERE kind <> 'opened') e WHERE place = 1"
 
 
