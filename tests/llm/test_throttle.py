@@ -57,17 +57,17 @@ def run(frame, **how):
     return ordered(tuple(r) for r in throttle.throttle(frame, **how).select(*COLUMNS).collect())
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_given_clicks(spark, sf, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "batches"), [(False, 10), (True, 4)])
+def test_given_clicks(spark, sf, monkeypatch, hot, batches):
     """All given clicks; with low bounds the frequent clients are split into lanes."""
     if hot:
         monkeypatch.setattr(throttle, "HOT", 150)
         monkeypatch.setattr(throttle, "LANE", 40)
         monkeypatch.setattr(throttle, "BUCKET", 1000)
     frame = spark.read.parquet(f"{sf}/clicks.parquet")
-    want = plain([tuple(r) for r in frame.collect()])
+    want = plain([tuple(r) for r in frame.collect()], batches)
     assert {r[1] for r in want} == {"late", "admitted", "throttled"}
-    assert run(frame) == ordered(want)
+    assert run(frame, batches=batches) == ordered(want)
 
 
 def test_awkward(spark, monkeypatch):
@@ -83,8 +83,8 @@ def test_awkward(spark, monkeypatch):
     rows += [(600 + i, day + timedelta(hours=7), day + timedelta(hours=7), 1, "k", None, "y" * 100_000) for i in range(3)]
     rows.append((700, datetime(1969, 12, 31, 23, 30), day, 2, None, None, None))
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = throttle.throttle(frame.withColumns({"bucket": F.lit(1), "hour": F.lit("x"), "batch": F.lit(3), "client": F.lit(0), "us": F.lit(None).cast("int")})).select(*COLUMNS)
-    assert ordered(tuple(r) for r in got.collect()) == ordered(plain(rows))
+    frame = frame.withColumns({"bucket": F.lit(1), "hour": F.lit("x"), "batch": F.lit(3), "client": F.lit(0), "us": F.lit(None).cast("int")})
+    assert run(frame, batches=5) == ordered(plain(rows, 5))
 
 
 def test_empty(spark):
