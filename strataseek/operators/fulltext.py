@@ -21,6 +21,8 @@ from strataseek.plans.text_query import Leaf, Node, TextQuery
 K1, B = 1.2, 0.75
 #: Pages that a search ranks, and ranked pages (three numbers each) that may be sent to every task.
 TOP, SENT = 500, 100_000
+#: Tables of queries that stay cached.
+KEPT = 4
 SNIPPET_BYTES, HIT_BEFORE, HIT_EXTRA = 500, 250, 500
 
 
@@ -36,7 +38,12 @@ _kept: list[DataFrame] = []
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A narrow table that is read several times: cached by the executors (what is lost with one is computed again) until ``release``."""
+    """A narrow table that is read several times: cached by the executors until ``release`` or until ``KEPT`` later ones are.
+
+    What is lost with an executor, or read after it was let go, is computed again.
+    """
+    while len(_kept) >= KEPT:
+        _kept.pop(0).unpersist()
     _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
     return _kept[-1]
 

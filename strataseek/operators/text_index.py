@@ -417,7 +417,7 @@ def refresh(spark: SparkSession, root: str, known: DataFrame, index: TextIndex)
     wanted = todo.select("path", "file_id")
     parts = []
     if 0 < n <= LITERALS:
-        parts.append((page_sources.contents(spark, [r["path"] for r in wanted.collect()]), wanted))
+        parts.append((page_sources.documents_of(spark, [r["path"] for r in wanted.collect()]).select("path", "content"), wanted))
     else:
         shares = -(-n // SENT)
         parts += [(disk.select("path", "content"), wanted.where(F.pmod(F.xxhash64("path"), F.lit(shares)) == k)) for k in range(shares)]

@@ -165,15 +165,20 @@ def eligible(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(wanted).alias("files"))
 
 
-def documents(spark: SparkSession, root: str) -> DataFrame:
-    """Indexable files below a folder: path, filename, mtime (epoch seconds), file_size, md5 (the fingerprint), content."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _described(found: DataFrame) -> DataFrame:
     name = paths.file_name(F.col("path"))
     own = found.where(F.lower(paths.extension(name)).isin(INDEXABLE))
     return own.select("path", name.alias("filename"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("file_size"), formatting.fingerprint(F.col("content")).alias("md5"), "content")
 
 
-def contents(spark: SparkSession, files: list[str]) -> DataFrame:
-    """``path, content`` of some files, by their paths as ``documents`` gives them."""
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """Indexable files below a folder: path, filename, mtime (epoch seconds), file_size, md5 (the fingerprint), content."""
+    return _described(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+
+
+def documents_of(spark: SparkSession, files: list[str]) -> DataFrame:
+    """As ``documents``, of some files by their paths; all of them exist."""
+    if not files:
+        return _described(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"))
     escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]  # paths are read as patterns
-    return spark.read.format("binaryFile").load(escaped).select("path", "content")
+    return _described(spark.read.format("binaryFile").load(escaped))

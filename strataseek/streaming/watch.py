@@ -12,10 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataseek.operators.incremental import assign_ids
+from strataseek.operators.text_index import TextIndex
 from strataseek.schema import WATCH_EVENT
+from strataseek.sources.pages import documents_of, extract
+from strataseek.sources.scratch import files_of, written
 
-#: Touched paths that may be sent to every task.
-SENT = 1_000_000
+#: Touched paths that may be sent to every task, and documents that are read at once.
+SENT, AT_ONCE = 1_000_000, 1000
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -70,6 +74,37 @@ def follow(events: DataFrame, load: Callable[[], DataFrame], scan: Callable[[Dat
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def follow_documents(events: DataFrame, index: TextIndex, load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+    """Keep a full-text index and its table of files (file_id, path, filename, mtime, md5, file_size) up to date with a stream of events.
+
+    Of each batch only the touched documents are read, ``AT_ONCE`` at a time; those that are removed, or gone by then, go with
+    all that is below them. A batch that is repeated after a failure puts the same pages in the place of its own.
+    """
+    spark, names = index.spark, ["file_id", "path", "filename", "mtime", "md5", "file_size"]
+
+    def step(batch: DataFrame, number: int) -> None:
+        last = written(latest(batch).select("path", "kind"), "touched")
+        n = last.count()
+        for share in range(shares := -(-n // AT_ONCE)):
+            own = last.where(F.pmod(F.xxhash64("path"), F.lit(shares)) == share).collect()
+            there, gone = [], []
+            for path, kind in own:
+                system, target = files_of(spark, path)
+                whole = system.makeQualified(target).toString()
+                is_file = kind != "removed" and system.exists(target) and system.getFileStatus(target).isFile()
+                (there if is_file else gone).append(whole)
+            files = load()
+            found = documents_of(spark, there)
+            ids = written(assign_ids(files.select("path", "file_id"), found.select(*(c for c in names if c != "file_id"))), "documents").select(*names)
+            pages = extract(found.select("path", "content")).where("error IS NULL").join(F.broadcast(ids.select("path", "file_id")), "path")
+            left = touched_by(files.withColumn("full_path", F.col("path")), spark.createDataFrame([(p,) for p in gone], "path string"))
+            stale = left.where("_touched").select("file_id").unionByName(ids.select("file_id"))
+            index.upsert(pages.select("file_id", "location", F.col("text").alias("body")), stale)
+            save(files.join(stale, "file_id", "left_anti").select(*names).unionByName(ids), number)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def rebuild(spark: SparkSession, make: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1800 seconds"):
     """Make the table anew again and again; ``save`` gets it with the turn's number, and writes a new version."""
     ticks = spark.readStream.format("rate").load()

@@ -1,6 +1,7 @@
 """The saved index of segments: against a scan of the pages that count, over upserts, compactions and racing writers."""
 
 import random
+from datetime import datetime
 from functools import reduce
 
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from strataseek.operators import fulltext, text_index
 from strataseek.operators.text_index import Raced, TextIndex
+from strataseek.schema import WATCH_EVENT
 from strataseek.sources import pages as page_sources
+from strataseek.streaming import watch
 
 PAGES = "file_id long, location long, body string"
 QUERIES = ("alpha beta", "alpha AND beta", '"alpha beta"', "+gamma -alpha", "(alpha OR delta) AND NOT beta", "al*", "*ta", "g?mma", "*et*", "zzz", "NOT alpha", "文档", "检", "文档检索", "*")
@@ -144,3 +147,28 @@ def test_contents_are_not_shuffled(spark, tmp_path):
     own = spark.range(1).select(F.lit("x").alias("path"), F.lit(1).alias("file_id"))
     plan = page_sources.extract(disk.select("path", "content").join(F.broadcast(own.select("path")), "path", "left_semi"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_following_documents(spark, tmp_path):
+    """Events of documents keep the index up to date, batch by batch, a restart and a vanished file included."""
+    root, names = tmp_path / "docs", "file_id long, path string, filename string, mtime long, md5 string, file_size long"
+    (root / "sub").mkdir(parents=True)
+    index, tables = TextIndex(spark, str(tmp_path / "ix")), [spark.createDataFrame([], names)]
+
+    def save(files, number):
+        tables.append(spark.createDataFrame(files.collect(), names))
+
+    def happen(seq, *events):
+        rows = [(100 * seq + i, datetime(2024, 1, 1, seq), f"{root}/{p}", k) for i, (p, k) in enumerate(events)]
+        spark.createDataFrame(rows, WATCH_EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        watch.follow_documents(watch.event_stream(spark, f"{tmp_path}/events"), index, lambda: tables[-1], save, str(tmp_path / "checkpoint")).awaitTermination()
+        return sorted(r["filename"] for r in tables[-1].collect())
+
+    found = lambda q: sorted(r["filename"] for r in index.rank(q).join(tables[-1], "file_id").collect())
+    for name, text in {"a.txt": "alpha", "sub/b.txt": "beta alpha", "c.bin": "alpha"}.items():
+        (root / name).write_text(text)
+    assert happen(1, ("a.txt", "added"), ("sub/b.txt", "added"), ("c.bin", "added"), ("gone.txt", "added")) == ["a.txt", "b.txt"]
+    assert found("alpha") == ["a.txt", "b.txt"]
+    (root / "a.txt").write_text("gamma")
+    assert happen(2, ("a.txt", "modified"), ("sub", "removed")) == ["a.txt"]
+    assert found("alpha") == [] and found("gamma") == ["a.txt"] and index.totals() == (1, 1)
