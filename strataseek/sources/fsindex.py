@@ -14,11 +14,17 @@ import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from strataseek.schema import ATTRIBUTE_BITS, FILE_ENTRY, WATCH_EVENT
+from strataseek.operators.listing import numbered
+from strataseek.schema import ATTRIBUTE_BITS, ATTRIBUTES, FILE_ENTRY, WATCH_EVENT
+from strataseek.sources.scratch import written
 
 #: Rows that one partition may number.
 PLACES = 1 << 40
@@ -207,3 +213,52 @@ def index_folder(spark: SparkSession, path: str, include_hidden: bool = False, f
     """Files and folders below a root, the root included; hidden subtrees only if asked for."""
     register(spark)
     return spark.read.format("fsindex").options(path=path, hidden=str(include_hidden), fast=str(fast), depth=str(depth)).load()
+
+
+#: Folders that a task lists in a round of a walk by levels, about.
+FOLDERS = 200
+_LISTED = T.StructType([T.StructField("_key", T.ArrayType(T.StringType())), *FILE_ENTRY.fields])
+
+
+def _listing(hidden: bool, fast: bool):
+    """Folders (full_path, _key) -> the rows of what lies directly in them; a key is the names from the root on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for folder, key in zip(frame["full_path"], frame["_key"], strict=True):
+                try:
+                    with os.scandir(folder) as found:
+                        inside = [e.path for e in found if hidden or not e.name.startswith(".")]
+                except OSError:
+                    continue
+                rows += [([*key, r[2]], *r) for r in (entry(p, 0, fast) for p in inside) if r]
+            out = pd.DataFrame(rows, columns=_LISTED.names)
+            out["attributes"] = [dict(zip(ATTRIBUTES.names, a, strict=True)) for a in out["attributes"]]
+            yield out
+
+    return run
+
+
+def index_by_levels(spark: SparkSession, path: str, include_hidden: bool = False, fast: bool = False, depth: int = -1) -> DataFrame:
+    """As ``index_folder``, for trees of any shape: the folders of each level are dealt out anew, so no task walks a subtree alone.
+
+    A level is written when it has been listed; the rows are numbered in the order of the walk in the end, by ranges.
+    """
+    level = spark.createDataFrame([([str(i).zfill(6)], *entry(os.path.abspath(p), 0, fast)) for i, p in enumerate(x for x in path.split(";") if x) if os.path.lexists(p)], _LISTED)
+    levels = [written(level, "tree-level")]
+    while depth != len(levels) - 1:
+        folders = levels[-1].where("is_directory").select("full_path", "_key")
+        n = folders.count()
+        if not n:
+            break
+        dealt = folders.repartition(max(1, min(n, spark.sparkContext.defaultParallelism), n // FOLDERS))
+        levels.append(written(dealt.mapInPandas(_listing(include_hidden, fast), _LISTED), "tree-level"))
+    rows = reduce(DataFrame.unionByName, levels)
+    # a root's own files come before its subfolders
+    deep = (F.size("_key") > 2) | ((F.size("_key") == 2) & F.col("is_directory"))
+    # names joined by a sign that sorts before all others keep the order of the lists
+    order = [F.col("_key")[0], deep, F.array_join("_key", "\0")]
+    keyed = rows.withColumns({f"_order{i}": c for i, c in enumerate(order)}).drop("file_ord", "_key")
+    out = numbered(keyed, [F.col(f"_order{i}") for i in range(len(order))], "file_ord", first=0)
+    return out.select(*FILE_ENTRY.names)

@@ -373,6 +373,22 @@ def test_events(spark):
     assert sorted(r["full_path"] for r in again.collect()) == sorted(got)
 
 
+def test_walk_by_levels(spark, tree, tmp_path):
+    """The same rows in the same order as the walk by subtrees; a single deep folder is listed by several tasks."""
+    for how in ({}, {"include_hidden": True}, {"depth": 1}, {"depth": 0}):
+        want = fsindex.index_folder(spark, str(tree), **how).orderBy("file_ord").drop("file_ord", "date_accessed").collect()
+        got = fsindex.index_by_levels(spark, str(tree), **how).orderBy("file_ord")
+        assert got.drop("file_ord", "date_accessed").collect() == want
+        assert [r["file_ord"] for r in got.collect()] == list(range(len(want)))
+    deep = tmp_path / "root" / "only"
+    for i in range(12):
+        (deep / f"d{i}").mkdir(parents=True)
+        (deep / f"d{i}" / "f.txt").write_text("x")
+    paths = lambda df: [r["full_path"] for r in df.orderBy("file_ord").collect()]
+    assert paths(fsindex.index_by_levels(spark, str(tmp_path / "root"))) == paths(fsindex.index_folder(spark, str(tmp_path / "root")))
+    assert fsindex.index_by_levels(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_following_a_tree(spark, tree, tmp_path):
     fsindex.register(spark)
     state, version = tmp_path / "state", [spark.createDataFrame([], FILE_ENTRY)]
