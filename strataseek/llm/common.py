@@ -106,7 +106,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in (p for b in batches for p in portions(b, rows, most)):
+        for batch in (p for b in batches for p in (portions(b, rows, most) if most < 1 << 60 else (b.slice(at, rows) for at in range(0, b.num_rows, rows)))):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, (_, t) in zip(fn(batch), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns + made, names=kept + [n for n, _ in arrow])

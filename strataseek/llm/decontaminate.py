@@ -23,8 +23,8 @@ case (A-Z) without punctuation at their ends.
 The index of the benchmark has a checked size; a larger benchmark is taken in
 blocks, one after another, each against all documents. Null and empty texts hold no words, on
 either side; a repeated row gets its own results, and so does an item that the benchmark repeats. Empty
-tables give no rows, or leave the documents as they are. Columns other than the id and text are not
-read, whatever their names. Of several runs at the same distance the first counts.
+tables give no rows, or leave the documents as they are. A very long text is searched whole, by itself: batches are
+bounded by the bytes of their texts. Columns other than the id and text are not read, whatever their names. Of several runs at the same distance the first counts.
 """
 
 from __future__ import annotations

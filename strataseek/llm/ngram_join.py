@@ -26,7 +26,9 @@ times its transpose) is never formed whole:
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with words, but fewer than ``gram``,
 has that sequence as its one n-gram; an empty or null text has none and links with nothing
 (its component is itself). Rows with a null id take part, but name no component; a
-component without any id has a null one. Repeated rows get equal results, each its own.
+component without any id has a null one. Repeated rows get equal results, each its own. A very long
+text is one row of the matrix, made in a batch by itself. An empty table gives no rows. Only the id and
+text are read for the sets, whatever other columns are called; ``keep_one`` passes all of them on.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ text. Texts are read once: their numbers and features go to a written table.
 
 Null and empty texts have no words, only the size. Equal rows score alike, count once in the sample, and a score of exactly 0.5
 keeps them; where a table is one text over and over, its labellers' posterior decides alone. Only the id and text are read,
-whatever other columns are called. An empty table gives an empty result.
+whatever other columns are called. A very long text is one row's work, of features bounded by its different word shapes.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ the splits' counts are summed up.
 
 A null text has no bytes (its size is 1), length 0 and checksum 0; a null or
 missing language sorts as the empty one. An id that is no whole number goes by its hash where a group is cut. Equal rows get slots
-of their own. Only id, text and language are read, whatever other columns are called. An empty table gives an empty result.
+of their own. A very long text is read once, for its numbers, and stays whole in its shard. Only id, text and language are read, whatever other columns are called. An empty table gives an empty result.
 
 The tree becomes nested conditions: meant for thousands of shards, not for millions. A cut that ``LOOSE`` lets pass misses by 2 % of its
 node's bytes; over the levels a shard is off by some 12 % at worst, and only where groups of copies hold that much of it.
