@@ -4,7 +4,8 @@ import re
 from collections import defaultdict
 from itertools import permutations
 
-from strataseek.llm import filter_audit
+from strataseek.llm import filter_audit, queries
+from tests.conftest import rows_of
 
 DOCS = "doc_id long, text string, source string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -68,6 +69,10 @@ def test_given_documents(spark, sf):
     assert run(spark, docs, labels) == plain(docs, labels)
 
 
+def test_query(spark, duck, sf):
+    assert rows_of(queries.op12_filter_audit(spark, sf).toPandas()) == rows_of(duck.execute(queries.oracle_sql()["op12_filter_audit"]).df())
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, 1, 1)]) == []
 
