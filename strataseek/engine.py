@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
@@ -11,11 +11,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.functions import formatting
-from strataseek.operators import history, search
+from strataseek.functions import formatting, tokens
+from strataseek.operators import fulltext, history, search
+from strataseek.operators.text_index import TextIndex
 from strataseek.plans.options import SearchOptions, SortSpec, parse_dir_sort, parse_sort_name
 from strataseek.schema import FILE_ENTRY
 from strataseek.sources import file_list, fsindex, sinks
+from strataseek.sources.scratch import files_of
+from strataseek.sources.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -224,7 +227,7 @@ def run_command(engine: Engine, args: list[str]) -> DataFrame | int | str | None
         if kind == "efu":
             sinks.write_file_list(found, path)
         elif kind == "csv":
-            found.select("file_name", "full_path", "size", "date_modified").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+            found.select("file_name", "full_path", "size", "date_modified").write.mode("overwrite").csv(path, header=True, escape='"')
         else:
             sinks.write_paths(found, path, kind)
     if c.highlight:
@@ -233,40 +236,32 @@ def run_command(engine: Engine, args: list[str]) -> DataFrame | int | str | None
 
 
 class Catalog:
-    """Document databases below a base folder: a small table of versions, the newest counts."""
-
-    SCHEMA = "version long, id string, name string, description string, root_dir string, created_at timestamp, active boolean"
+    """Document databases below a base folder: a small state of numbered versions, one writer at a time."""
 
     def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base, self.path = spark, base.rstrip("/"), f"{base.rstrip('/')}/catalog"
-
-    def _rows(self) -> list[dict]:
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            return []
-        table = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        last = table.agg(F.max("version")).first()[0]
-        return [r.asDict() for r in table.where(F.col("version") == last).orderBy("created_at", "id").collect()]
-
-    def _save(self, rows: list[dict], version: int) -> None:
-        empty = [{"id": None}] if not rows else rows
-        data = [(version, *(r.get(k) for k in ("id", "name", "description", "root_dir", "created_at", "active"))) for r in empty]
-        self.spark.createDataFrame(data, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self.spark, self.base = spark, base.rstrip("/")
+        self.versions = Versions(spark, f"{self.base}/catalog")
 
     def databases(self) -> list[dict]:
-        return [r for r in self._rows() if r["id"]]
+        _, state = self.versions.last()
+        rows = [{**r, "created_at": datetime.fromisoformat(r["created_at"])} for r in state["databases"]] if state else []
+        return sorted(rows, key=lambda r: (r["created_at"], r["id"]))
+
+    def _change(self, change: Callable[[list[dict]], list[dict]]) -> None:
+        """Write the state that follows from the last; ``Raced`` if another writer was first."""
+        number, _ = self.versions.last()
+        rows = change(self.databases())
+        self.versions.commit(number + 1, {"databases": [{**r, "created_at": r["created_at"].isoformat()} for r in rows]})
 
     def create(self, name: str, root_dir: str, description: str = "") -> str:
-        rows = self._rows()
         ident = f"db_{uuid.uuid4().hex}"
         new = {"id": ident, "name": name, "description": description, "root_dir": root_dir, "created_at": datetime.now(), "active": False}
-        self._save([*(r for r in rows if r["id"]), new], max((r["version"] for r in rows), default=0) + 1)
+        self._change(lambda rows: [*rows, new])
         return ident
 
     def activate(self, ident: str) -> str:
         """Make a database the active one; its folder."""
-        rows = self._rows()
-        self._save([{**r, "active": r["id"] == ident} for r in rows if r["id"]], max(r["version"] for r in rows) + 1)
+        self._change(lambda rows: [{**r, "active": r["id"] == ident} for r in rows])
         return self.folder(ident)
 
     def active(self) -> dict | None:
@@ -274,10 +269,17 @@ class Catalog:
 
     def delete(self, ident: str) -> None:
         """Forget a database and remove its folder."""
-        rows = self._rows()
-        self._save([r for r in rows if r["id"] and r["id"] != ident], max((r["version"] for r in rows), default=0) + 1)
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder(ident))
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self._change(lambda rows: [r for r in rows if r["id"] != ident])
+        system, target = files_of(self.spark, self.folder(ident))
+        system.delete(target, True)
 
     def folder(self, ident: str) -> str:
         return f"{self.base}/{ident}"
+
+    def index(self, ident: str, tokenizer: Callable = tokens.words) -> TextIndex:
+        """The full-text index of a database, empty at first."""
+        return TextIndex(self.spark, f"{self.folder(ident)}/index", tokenizer)
+
+    def documents(self, ident: str, tokenizer: Callable = tokens.words) -> int:
+        """The number of documents that a database has pages of."""
+        return fulltext.file_count(self.index(ident, tokenizer).pages()).first()[0]

@@ -32,7 +32,7 @@ from strataseek.functions import tokens
 from strataseek.operators import fulltext, incremental
 from strataseek.plans.text_query import Leaf, Node, TextQuery
 from strataseek.sources import pages as page_sources
-from strataseek.sources.scratch import files_of
+from strataseek.sources.versions import Versions
 
 #: File ids that share a bucket: the unit that a search for the best pages skips or reads.
 BUCKET = 256
@@ -45,10 +45,6 @@ TIER = 4
 ENTRY = "array<struct<file_id: bigint, location: bigint, dl: bigint, positions: array<int>>>"
 
 
-class Raced(RuntimeError):
-    """Another writer committed first; load the index again and repeat."""
-
-
 @dataclass
 class State:
     """Version, the tokenizer's name, segments {id: {seq, pages, tokens}}, deletions {id: {seq, files}}, losses {id: {segment: [pages, tokens]}}."""
@@ -109,6 +105,7 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str, tokenizer: Callable[[Column], Column] = tokens.words):
         self.spark, self.path, self.tokenizer = spark, path.rstrip("/"), tokenizer
+        self.versions = Versions(spark, f"{self.path}/state")
         self.state = self._last_state()
         name = getattr(tokenizer, "name", "")
         if self.state.version and self.state.tokenizer != name:
@@ -128,27 +125,12 @@ class TextIndex:
     # state
 
     def _last_state(self) -> State:
-        system, folder = files_of(self.spark, f"{self.path}/state")
-        if not system.exists(folder):
-            return State()
-        last = max((int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()), default=0)
-        if not last:
-            return State()
-        text = self.spark.read.text(f"{self.path}/state/{last:08d}", wholetext=True).first()[0]
-        return State(**json.loads(text))
+        _, state = self.versions.last()
+        return State(**state) if state else State()
 
     def _commit(self, state: State) -> None:
-        """Write the next state. The file must not exist: of two writers that began at one state, the second fails and has changed nothing."""
         state.version = self.state.version + 1
-        system, target = files_of(self.spark, f"{self.path}/state/{state.version:08d}")
-        try:
-            out = system.create(target, False)
-        except Exception as e:
-            if system.exists(target):
-                raise Raced(f"version {state.version} of {self.path} has been written by another") from e
-            raise
-        out.write(bytearray(json.dumps(state.__dict__).encode()))
-        out.close()
+        self.versions.commit(state.version, state.__dict__)
         self.state = state
 
     def _next(self) -> State:

@@ -17,7 +17,8 @@ INVENTORY_HEADINGS = ("序号", "文件名", "扩展名", "文件地址", "创
 
 
 def write_file_list(files: DataFrame, path: str) -> None:
-    file_list.from_entries(files).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    """A file list, a part file for each partition; sorted rows stay in order of the parts."""
+    file_list.from_entries(files).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
 def result_rows(results: DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def result_rows(results: DataFrame, meta: DataFrame | None = None) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, meta: DataFrame | None = None) -> None:
-    result_rows(results, meta).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    result_rows(results, meta).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def inventory_rows(inventory: DataFrame) -> DataFrame:
@@ -82,13 +83,13 @@ def write_merged(blocks: DataFrame, path: str) -> None:
 
 
 def write_paths(files: DataFrame, path: str, kind: str = "txt") -> None:
-    """Extension: one full path a line; playlists begin with their mark."""
+    """Extension: one full path a line, in order over the part files; playlists begin with their mark."""
     lines = files.orderBy("file_ord").select(F.col("full_path").alias("value"))
     if kind in ("m3u", "m3u8"):
         first = files.sparkSession.createDataFrame([("#EXTM3U", 0)], "value string, o int")
         numbered = files.select(F.col("full_path").alias("value"), F.lit(1).alias("o"), "file_ord")
         lines = first.withColumn("file_ord", F.lit(0).cast("long")).unionByName(numbered).orderBy("o", "file_ord").select("value")
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    lines.write.mode("overwrite").text(path)
 
 
 def json_rows(files: DataFrame, most: int = 100) -> DataFrame:

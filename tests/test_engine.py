@@ -1,7 +1,10 @@
 """The engine object, the command line and the catalogue."""
 
+import pytest
+
 from strataseek.engine import Catalog, Engine, Source, file_parts, parse_command, run_command
 from strataseek.plans.options import SortField, SortSpec
+from strataseek.sources.versions import Raced
 
 
 def test_engine(spark, tmp_path):
@@ -49,5 +52,13 @@ def test_catalog(spark, tmp_path):
     assert catalog.active()["name"] == "two" and {r["id"] for r in catalog.databases()} == {a, b}
     catalog.delete(b)
     assert [r["id"] for r in catalog.databases()] == [a] and catalog.active() is None
+    # documents of a database, and a second writer
+    assert catalog.documents(a) == 0
+    catalog.index(a).upsert(spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "file_id long, location long, body string"))
+    assert catalog.documents(a) == 2
+    other, last = Catalog(spark, str(tmp_path / "base")), catalog.versions.last
+    other.versions.last = lambda: (last()[0] - 1, last()[1])  # has read the state before another wrote
+    with pytest.raises(Raced):
+        other.create("late", "/r3")
     catalog.delete(a)
     assert catalog.databases() == []

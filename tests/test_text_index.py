@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.operators import fulltext, text_index
-from strataseek.operators.text_index import Raced, TextIndex
+from strataseek.operators.text_index import TextIndex
 from strataseek.schema import WATCH_EVENT
 from strataseek.sources import pages as page_sources
+from strataseek.sources.versions import Raced
 from strataseek.streaming import watch
 
 PAGES = "file_id long, location long, body string"
