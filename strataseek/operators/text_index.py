@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strataseek.functions import tokens
 from strataseek.operators import fulltext, incremental
-from strataseek.plans.text_query import Leaf, Node, TextQuery
+from strataseek.plans.text_query import TextQuery
 from strataseek.sources import pages as page_sources
 from strataseek.sources.versions import Versions
 

@@ -279,6 +279,24 @@ def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.merged_text(listing.sources(fixtures.files(spark, sf_dir), "/data"), F.concat(F.lit("size "), F.col("size").cast("string")))
 
 
+@registered(
+    """SELECT path AS relative_path, concat('===== 文件: ', path, ' =====\n路径: /data/', path, '\n文件名: ', filename, '\n--- 代码 ---\n', coalesce(body, '[读取失败: empty]'), '\n--- 结束 ---\n\n') AS block
+FROM doc_pages WHERE contains(lower(path), 'doc_1')"""
+)
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged contents: whole texts of documents, those whose path has a word in it."""
+    pages = fixtures.view(spark, sf_dir, "doc_pages")
+    files = pages.select(F.concat(F.lit("/data/"), "path").alias("full_path"), F.col("filename").alias("file_name"), F.lit("TXT").alias("extension"), F.lit(False).alias("is_directory"), F.col("body").alias("content"))
+    return listing.merged_text(listing.sources(files, "/data", "DOC_1"), error=F.lit("empty"))
+
+
+@registered("SELECT file_ord, full_path, size, is_directory FROM file_entries WHERE file_ord % 10 = 0 AND (is_directory OR size > 1024)")
+def root_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without a folder above them, made of every tenth row."""
+    files = fixtures.files(spark, sf_dir).withColumn("parent_path", F.when(F.col("file_ord") % 10 == 0, "").otherwise(F.col("parent_path")))
+    return search.matching(files, "root: size:>1kb", now=NOW).select(*SHOWN)
+
+
 @registered("SELECT string_agg(full_path, chr(10) ORDER BY file_ord) AS text FROM (SELECT * FROM file_entries ORDER BY file_ord LIMIT 50) f")
 def clipboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.clipboard(fixtures.files(spark, sf_dir))
