@@ -25,7 +25,6 @@ parsed twice, once for its numbers and once for its text, and never shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
