@@ -689,7 +689,7 @@ _PLAIN = "regexp_replace(body, '[^\\x00-\\x7F]', '?', 'g')"
 
 
 @registered(f"""SELECT file_id, keyword, substr(b, greatest(begins - 250, 0) + 1, length(keyword) + 500) AS snippet FROM (
-  SELECT file_id, b, keyword, CAST(length(array_to_string(parts[:k], keyword)) AS BIGINT) AS begins FROM (
+  SELECT file_id, b, keyword, CAST(list_sum(list_transform(parts[:k], lambda x: length(x))) + (k - 1) * length(keyword) AS BIGINT) AS begins FROM (
     SELECT file_id, b, keyword, string_split(b, keyword) AS parts, unnest(range(1, len(string_split(b, keyword)))) AS k
     FROM (SELECT d.file_id, lower({_PLAIN}) AS b FROM ({_scored(['trash', 'loser'], 'f0 + f1 > 0')} ORDER BY raw DESC, file_id LIMIT 500) r JOIN doc_pages d ON d.file_id = r.file_id) t, (VALUES ('trash'), ('loser')) w(keyword)) u) h""".replace("FROM doc_pages WHERE", f"FROM (SELECT * REPLACE ({_PLAIN} AS body) FROM doc_pages) pl WHERE"))
 def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
