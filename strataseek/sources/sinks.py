@@ -17,8 +17,8 @@ INVENTORY_HEADINGS = ("序号", "文件名", "扩展名", "文件地址", "创
 
 
 def write_file_list(files: DataFrame, path: str) -> None:
-    """A file list, a part file for each partition; sorted rows stay in order of the parts."""
-    file_list.from_entries(files).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    """A file list in order of the scan, over as many part files as its size asks for."""
+    file_list.from_entries(files.orderBy("file_ord")).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
 def result_rows(results: DataFrame, meta: DataFrame | None = None) -> DataFrame:
