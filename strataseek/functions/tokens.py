@@ -18,16 +18,20 @@ _PARTS = r"([㐀-鿿豈-﫿]+|[^㐀-鿿豈-﫿]+)"
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, runs of Han characters as their overlapping pairs; stays in the JVM."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    plain = F.filter(F.split(spaced, " "), lambda t: t != "")
     han = F.lit(r"^[㐀-鿿豈-﫿]")
 
     def pairs(part: Column) -> Column:
         last = F.greatest(F.char_length(part) - 1, F.lit(1))
         return F.when(F.regexp_like(part, han), F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(part, i, F.lit(2)))).otherwise(F.array(part))
 
-    parted = F.flatten(F.transform(plain, lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_PARTS)), pairs))))
-    return F.when(F.regexp_like(spaced, F.lit("[㐀-鿿豈-﫿]")), parted).otherwise(plain)
+    def of(spaced: Column) -> Column:
+        plain = F.array_remove(F.split(spaced, " "), "")
+        parted = F.flatten(F.transform(plain, lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_PARTS)), pairs))))
+        return F.when(F.regexp_like(spaced, F.lit("[㐀-鿿豈-﫿]")), parted).otherwise(plain)
+
+    # the array of one binds the text to a name, so that it is folded once
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return F.transform(F.array(spaced), of)[0]
 
 
 def words_of(text: str) -> list[str]:

@@ -2,9 +2,11 @@
 
 A segment is a folder of Parquet tables, never changed once written:
 
-* ``pages``: file_id, location, body, dl (tokens), bucket (a range of file ids)
-* ``postings``: a row for each term and bucket, sorted by both: ``n`` pages, the largest frequency and the least length in
-  it (what a score in it can't exceed follows from these), and the entries: file_id, location, dl, positions
+* ``pages``: file_id, location, body, bucket (a range of file ids)
+* ``postings``: a row for each term and bucket, several where a bucket's pages were not inverted together: ``n`` pages, the
+  largest frequency and the least length in it (what a score in it can't exceed follows from these), the occurrences, and the
+  entries: file_id, location, dl (tokens of the page), positions. A file has the postings of a share of the pages, sorted by term
+  and bucket; none are shuffled, and a lookup reads a term's place in each file
 * ``terms`` and ``endings``: the dictionary with page counts, sorted by term, and by the term read backwards
 
 A commit adds a segment of the changed pages, a list of the files whose older pages no longer count (``gone``), and the
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import tokens
-from strataseek.operators import fulltext, incremental
+from strataseek.operators import fulltext, incremental, inverted
 from strataseek.plans.text_query import TextQuery
 from strataseek.sources import pages as page_sources
 from strataseek.sources.versions import Versions
@@ -43,6 +45,7 @@ ROUNDS = (16, 256)
 #: A tier of compaction: segments whose sizes differ by no more than this factor, merged when there are as many.
 TIER = 4
 ENTRY = "array<struct<file_id: bigint, location: bigint, dl: bigint, positions: array<int>>>"
+POSTINGS = f"term string, bucket bigint, n bigint, most int, shortest bigint, occurrences bigint, entries {ENTRY}"
 
 
 @dataclass
@@ -57,24 +60,9 @@ class State:
     tokenizer: str = ""
 
 
-def postings_of(sized: DataFrame) -> DataFrame:
-    """Postings rows of pages (file_id, location, bucket, dl, tokens).
-
-    A page's tokens are sorted and cut into runs of one term where the page is, so that what is shuffled, once, is a row
-    for each term of a page.
-    """
-    sorted_ = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("i"))))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k)["t"] != F.get(s, k - 1)["t"]))
-        # the array of one binds the starts to a name
-        return F.transform(F.array(starts), lambda a: F.transform(a, lambda k, j: F.struct(F.get(s, k)["t"].alias("term"), F.transform(F.slice(s, k + 1, F.coalesce(F.get(a, j + 1), F.size(s)) - k), lambda x: x["i"]).alias("positions"))))[0]
-
-    each = sized.where(F.size("tokens") > 0).select("file_id", "location", "bucket", "dl", F.inline(F.transform(F.array(sorted_), runs)[0]))
-    dealt = each.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
-    entries = F.sort_array(F.collect_list(F.struct("file_id", "location", "dl", "positions")))
-    grouped = dealt.groupBy("term", "bucket").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min("dl").alias("shortest"), entries.alias("entries"))
-    return grouped.sortWithinPartitions("term", "bucket")
+def postings_of(paged: DataFrame) -> DataFrame:
+    """Postings rows of pages (file_id, location, bucket, tokens), in no order: several of a term and bucket where its pages were not met together."""
+    return paged.select("file_id", "location", "bucket", "tokens").mapInArrow(inverted.pages, POSTINGS)
 
 
 def pattern_bounds(pattern: str) -> tuple[str, str]:
@@ -148,21 +136,18 @@ class TextIndex:
     def _write_segment(self, pages: DataFrame, seq: int) -> tuple[str, dict]:
         """A new segment of pages (file_id, location, body); blank ones are left out."""
         name = f"segment-{uuid.uuid4().hex}"
-        tokens_ = self.tokenizer(F.col("body"))
-        own = pages.where(F.trim("body") != "").select("file_id", "location", "body", F.expr(f"file_id - pmod(file_id, {BUCKET})").alias("bucket"), F.size(tokens_).cast("long").alias("dl"))
+        own = pages.where(F.trim("body") != "").select("file_id", "location", "body", F.expr(f"file_id - pmod(file_id, {BUCKET})").alias("bucket"))
         own.repartitionByRange("file_id", "location").sortWithinPartitions("file_id", "location").write.parquet(f"{self.path}/{name}/pages")
         # from what was written: texts may have come from files that are dear to read
-        sized = self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages").withColumn("tokens", tokens_)
-        return name, self._finish_segment(name, postings_of(sized), seq)
-
-    def _finish_segment(self, name: str, postings: DataFrame, seq: int) -> dict:
-        postings.write.parquet(f"{self.path}/{name}/postings")
-        terms = self.spark.read.parquet(f"{self.path}/{name}/postings").groupBy("term").agg(F.sum("n").alias("df"))
+        paged = self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages").withColumn("tokens", self.tokenizer(F.col("body")))
+        postings_of(paged).sortWithinPartitions("term", "bucket").write.parquet(f"{self.path}/{name}/postings")
+        postings = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
+        terms = postings.groupBy("term").agg(F.sum("n").alias("df"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/terms")
         ending = self.spark.read.parquet(f"{self.path}/{name}/terms").select(F.reverse("term").alias("ending"), "term")
         ending.repartitionByRange("ending").sortWithinPartitions("ending").write.parquet(f"{self.path}/{name}/endings")
-        n, total = self.spark.read.parquet(f"{self.path}/{name}/pages").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return {"seq": seq, "pages": n, "tokens": total}
+        total = postings.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
+        return name, {"seq": seq, "pages": self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages").count(), "tokens": total}
 
     def upsert(self, changed: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Put the pages of changed files in the place of their old ones, and leave gone files out.
@@ -190,10 +175,13 @@ class TextIndex:
         if not n:
             return
         old = self.pages().join(self._sent(files, n), "file_id", "left_semi")
-        counted = old.select("segment", "dl", self.tokenizer(F.col("body")).alias("tokens"))
-        each = counted.select("segment", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df"))
+        # the array of one binds the tokens to a name; a page's number of tokens goes with its first term
+        terms = F.transform(F.array(self.tokenizer(F.col("body"))), lambda ts: F.transform(F.array_distinct(ts), lambda t, i: F.struct(t.alias("term"), F.when(i == 0, F.size(ts)).otherwise(0).alias("tokens"))))[0]
+        each = old.select("segment", F.inline(terms)).groupBy("segment", "term").agg(F.count("*").alias("df"), F.sum("tokens").alias("tokens"))
         each.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/lost")
-        pages = {r[0]: [r[1], r[2]] for r in old.groupBy("segment").agg(F.count("*"), F.sum("dl")).collect()}  # a row a segment
+        lost = self.spark.read.schema("segment string, tokens bigint").parquet(f"{self.path}/{name}/lost")
+        lengths = dict(lost.groupBy("segment").agg(F.sum("tokens")).collect())  # a row a segment
+        pages = {r[0]: [r[1], lengths.get(r[0], 0)] for r in old.groupBy("segment").agg(F.count("*")).collect()}
         if pages:
             state.gone[name] = {"seq": state.seq, "files": n}
             state.lost[name] = pages
@@ -209,13 +197,8 @@ class TextIndex:
         if len(chosen) < 2 and not (chosen and self.state.gone):
             return False
         state = self._next()
-        name = f"segment-{uuid.uuid4().hex}"
-        self.pages(chosen).drop("segment", "seq").repartitionByRange("file_id", "location").sortWithinPartitions("file_id", "location").write.parquet(f"{self.path}/{name}/pages")
-        each = self._live(self._table("postings", chosen, f"term string, bucket bigint, entries {ENTRY}").select("term", "bucket", "segment", "seq", F.inline("entries")))
-        dealt = each.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
-        entries = F.sort_array(F.collect_list(F.struct("file_id", "location", "dl", "positions")))
-        merged = dealt.groupBy("term", "bucket").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min("dl").alias("shortest"), entries.alias("entries"))
-        facts = self._finish_segment(name, merged.sortWithinPartitions("term", "bucket"), state.seq)
+        # inverting the pages that count costs less than to take the postings apart and group them again
+        name, facts = self._write_segment(self.pages(chosen), state.seq)
         for s in chosen:
             del state.segments[s]
         if facts["pages"]:
@@ -241,9 +224,9 @@ class TextIndex:
         return rows.join(small, (F.col("file_id") == F.col("_file")) & (F.col("seq") < F.col("_at")), "left_anti")
 
     def pages(self, segments: list[str] | None = None) -> DataFrame:
-        """The pages that count: file_id, location, body, bucket, dl, segment, seq."""
+        """The pages that count: file_id, location, body, bucket, segment, seq."""
         ids = list(self.state.segments) if segments is None else segments
-        return self._live(self._table("pages", ids, "file_id bigint, location bigint, body string, bucket bigint, dl bigint"))
+        return self._live(self._table("pages", ids, "file_id bigint, location bigint, body string, bucket bigint"))
 
     def totals(self) -> tuple[int, int]:
         """Pages and tokens that count."""
@@ -311,7 +294,7 @@ class TextIndex:
             norm = fulltext.K1 * (1 - fulltext.B + fulltext.B * F.col("shortest") / F.lit(avgdl))
             tf = F.col("most")
             part = sum(idf[t] for t in leaf.terms) * tf * (fulltext.K1 + 1) / (tf + norm)
-            # a phrase begins no oftener than its rarest word stands there; pages of one bucket may lie in several segments
+            # a phrase begins no oftener than its rarest word stands there; pages of one bucket may lie in several rows
             by_term = own.groupBy("bucket", "term").agg(F.max(part).alias("bound"))
             parts.append(by_term.groupBy("bucket").agg(F.min("bound").alias("bound"), F.count("*").alias("n")).where(F.col("n") == len(set(leaf.terms))).drop("n"))
         return reduce(DataFrame.unionByName, parts).groupBy("bucket").agg(F.sum("bound").alias("bound"))

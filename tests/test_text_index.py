@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.operators import fulltext, text_index
+from strataseek.operators import fulltext, inverted, text_index
 from strataseek.operators.text_index import TextIndex
 from strataseek.schema import WATCH_EVENT
 from strataseek.sources import pages as page_sources
@@ -55,6 +55,26 @@ def test_upserts_and_compaction(spark, tmp_path):
     assert sorted(map(tuple, index.pages().select("file_id", "location", "body").collect())) == sorted(map(tuple, current.where(F.trim("body") != "").collect()))
 
 
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Texts are cut once and postings made where the pages are read, in portions of any size; a page without a number of its own counts too."""
+    odd = [(None, 1, "alpha beta"), (-3, 2, "beta alpha beta"), (-3, 1, "alpha"), (7, 1, "!!!"), (9, 1, "学习文档 alpha")]
+    current = spark.createDataFrame([*pages(spark, 4, range(-300, 300, 7)).collect(), *odd], PAGES)
+    own = current.where("trim(body) <> ''").select("*", F.expr("file_id - pmod(file_id, 256)").alias("bucket"), text_index.tokens.words(F.col("body")).alias("tokens"))
+    plan = text_index.postings_of(own)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    monkeypatch.setattr(inverted, "PORTION", 20)  # buckets in several portions
+    rows = [r for b in own.coalesce(1).toArrow().select(["file_id", "location", "bucket", "tokens"]).to_batches() for p in inverted.pages([b]) for r in p.to_pylist()]
+    assert len({(r["term"], r["bucket"]) for r in rows}) < len(rows)
+    assert all(r["n"] == len(r["entries"]) and r["most"] == max(len(e["positions"]) for e in r["entries"]) and r["shortest"] == min(e["dl"] for e in r["entries"]) for r in rows)
+    got = sorted((r["term"], str(e["file_id"]), e["location"], e["dl"], p) for r in rows for e in r["entries"] for p in e["positions"])
+    want = sorted((t, str(r["file_id"]), r["location"], len(r["tokens"]), i) for r in own.collect() for i, t in enumerate(r["tokens"]))
+    assert got == want and sum(r["occurrences"] for r in rows) == len(want)
+    index = TextIndex.create(current, str(tmp_path / "ix"))
+    assert index.totals() == (own.count(), len(want))
+    ranked = lambda f: sorted((str(r["file_id"]), r["location"], round(r["score"], 9)) for r in f.collect())
+    assert ranked(index.rank("beta alpha")) == ranked(fulltext.rank(current, "beta alpha"))
+
+
 def test_tiers(spark, tmp_path):
     """Four segments of like size become one; a large one is left as it is."""
     index = TextIndex.create(pages(spark, 9, range(400)), str(tmp_path / "ix"))
