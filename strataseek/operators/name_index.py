@@ -1,8 +1,9 @@
 """An index of the trigrams of file names, so that a search reads the names that can match, and not all.
 
-A name's folded letters in threes (with the name's rows in blocks of ``BLOCK`` ids) are written sorted by trigram, a row for
-each trigram and block with the rows of the block that have it. A query is read into a condition of trigrams: a term must
-have all of its own, a group all terms, one of the groups must hold. Blocks are intersected each by itself; the rows that
+A name's folded letters in threes (with the name's rows in blocks of ``BLOCK`` ids) are written where the names are read, each
+file sorted by trigram, a row for each trigram and block with the rows of the block that have it; a block whose names are not
+read together comes in pieces. A query is read into a condition of trigrams: a term must
+have all of its own, a group all terms, one of the groups must hold. Pieces of blocks are intersected each by itself; the rows that
 are left are read from the table of files, which is sorted by block, and the query's own condition decides. A group without a
 term of three letters, or a search of paths or by regular expression, reads everything.
 """
@@ -16,13 +17,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.operators import search
+from strataseek.operators import inverted, search
 from strataseek.plans import relational
 from strataseek.plans.options import SearchOptions
 from strataseek.plans.query import Term, parse
 
 #: Ids of a block; trigrams of a query that are looked up (more would only save verification); blocks that go into the filter as literals.
 BLOCK, MOST, LITERALS = 4096, 64, 1000
+#: Rows that one file of ``files`` is to have, so that a task's memory doesn't grow with the table.
+SHARE = 250_000
+GRAMS = "gram string, block bigint, piece bigint, rows array<bigint>"
 
 
 def trigrams(text: str) -> set[str]:
@@ -51,27 +55,30 @@ class NameIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.files = spark.read.parquet(f"{path}/files")
-        self.grams = spark.read.schema("gram string, block bigint, rows array<bigint>").parquet(f"{path}/grams")
+        self.grams = spark.read.schema(GRAMS).parquet(f"{path}/grams")
 
     @staticmethod
     def build(files: DataFrame, path: str) -> None:
         """Write the index of files (with ``file_ord``, different for each row)."""
         block = F.expr(f"file_ord - pmod(file_ord, {BLOCK})").alias("block")
-        files.select("*", block).repartitionByRange("block").sortWithinPartitions("block", "file_ord").write.parquet(f"{path}/files")
+        own = files.select("*", block)
+        shares = files.count() // SHARE
+        # a few are left to Spark
+        dealt = own.repartitionByRange(shares, "block") if shares > 1 else own.repartitionByRange("block")
+        dealt.sortWithinPartitions("block", "file_ord").write.parquet(f"{path}/files")
         name = F.lower("file_name")
         long = F.char_length(name) >= 3
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
-        each = files.where(long).select("file_ord", block, F.explode(grams).alias("gram"))
-        dealt = each.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
-        dealt.groupBy("gram", "block").agg(F.sort_array(F.collect_list("file_ord")).alias("rows")).sortWithinPartitions("gram", "block").write.parquet(f"{path}/grams")
+        each = files.sparkSession.read.parquet(f"{path}/files").where(long).select("file_ord", "block", grams.alias("grams"))
+        each.mapInArrow(inverted.names, GRAMS).sortWithinPartitions("gram", "block").write.parquet(f"{path}/grams")
 
     def _rows(self, asked: list[list[str]]) -> DataFrame:
-        """``block, rows``: the rows of each block that have all trigrams of one of the lists."""
+        """``block, rows``: the rows of each piece of a block that have all trigrams of one of the lists."""
         all_ = sorted({g for x in asked for g in x})
-        held = self.grams.where(F.col("gram").isin(all_)).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "rows"))).alias("of"))
+        held = self.grams.where(F.col("gram").isin(all_)).groupBy("block", "piece").agg(F.map_from_entries(F.collect_list(F.struct("gram", "rows"))).alias("of"))
 
         def having(grams: list[str]) -> Column:
-            # a trigram that the block hasn't got leaves no row
+            # a trigram that the piece hasn't got leaves no row
             each = [F.coalesce(F.try_element_at("of", F.lit(g)), F.array()) for g in grams]
             return reduce(F.array_intersect, each)
 
@@ -99,7 +106,7 @@ class NameIndex:
         rows = self.candidates(text, options)
         if rows is None:
             return search.matching(self.files, text, options, now).drop("block")
-        blocks = [r[0] for r in rows.select("block").limit(LITERALS + 1).collect()]
+        blocks = [r[0] for r in rows.select("block").distinct().limit(LITERALS + 1).collect()]
         few = len(blocks) <= LITERALS
         files = self.files.where(F.col("block").isin(blocks)) if few else self.files
         ids = rows.select(F.explode("rows").alias("file_ord"))

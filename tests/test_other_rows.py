@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from strataseek.operators import incremental, search
+from strataseek.operators import incremental, inverted, name_index, search
 from strataseek.operators.name_index import NameIndex, required
 from strataseek.plans.options import SearchOptions
 from strataseek.plans.query import Term
@@ -72,6 +72,22 @@ def test_trigram_index(spark, tmp_path, monkeypatch):
     assert ids(index.matching("alpha", now=NOW)) == [100, 300]
 
 
+def test_trigrams_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Trigrams are grouped where the names are read, blocks in pieces; files follow the number of rows."""
+    monkeypatch.setattr(inverted, "PORTION", 50)
+    rows = [(f"/r/{w}{i}", i, False, NOW) for i in range(100) for w in ("report-", "Füller_")]
+    files = table(spark, rows).withColumn("file_ord", F.col("file_ord") * 100)
+    monkeypatch.setattr(name_index, "SHARE", 20)
+    NameIndex.build(files, str(tmp_path / "ix"))
+    assert len(list((tmp_path / "ix" / "files").glob("*.parquet"))) > 4  # blocks
+    index = NameIndex(spark, str(tmp_path / "ix"))
+    pieces = [r for b in index.files.coalesce(1).select("file_ord", "block", F.array(F.lit("rep"), F.substring("file_name", 1, 3)).alias("grams")).toArrow().to_batches() for p in inverted.names([b]) for r in p.to_pylist()]
+    assert len({(r["gram"], r["block"]) for r in pieces}) < len(pieces)
+    for text in ("report-1", "FÜLLER_ 7 | port-99", "rep 9"):
+        want = sorted(r["file_ord"] for r in search.matching(files, text, now=NOW).collect())
+        assert want and sorted(r["file_ord"] for r in index.matching(text, now=NOW).collect()) == want, text
+
+
 def test_required_trigrams():
     exact, case, word = SearchOptions(), SearchOptions(match_case=True), SearchOptions(match_whole_word=True)
     assert required(Term("AbCd"), exact) == {"abc", "bcd"} and required(Term("ab"), exact) is None and required(Term("!abcd"), exact) is None
