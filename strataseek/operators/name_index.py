@@ -69,7 +69,7 @@ class NameIndex:
         name = F.lower("file_name")
         long = F.char_length(name) >= 3
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
-        each = files.sparkSession.read.parquet(f"{path}/files").where(long).select("file_ord", "block", grams.alias("grams"))
+        each = files.sparkSession.read.parquet(f"{path}/files").where(long).select(F.col("file_ord").cast("long").alias("file_ord"), F.col("block").cast("long").alias("block"), grams.alias("grams"))
         each.mapInArrow(inverted.names, GRAMS).sortWithinPartitions("gram", "block").write.parquet(f"{path}/grams")
 
     def _rows(self, asked: list[list[str]]) -> DataFrame:

@@ -62,7 +62,7 @@ class State:
 
 def postings_of(paged: DataFrame) -> DataFrame:
     """Postings rows of pages (file_id, location, bucket, tokens), in no order: several of a term and bucket where its pages were not met together."""
-    return paged.select("file_id", "location", "bucket", "tokens").mapInArrow(inverted.pages, POSTINGS)
+    return paged.select(*(F.col(c).cast("long").alias(c) for c in ("file_id", "location", "bucket")), "tokens").mapInArrow(inverted.pages, POSTINGS)
 
 
 def pattern_bounds(pattern: str) -> tuple[str, str]:

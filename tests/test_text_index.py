@@ -75,6 +75,11 @@ def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert ranked(index.rank("beta alpha")) == ranked(fulltext.rank(current, "beta alpha"))
 
 
+def test_numbers_of_other_widths(spark, tmp_path):
+    small = spark.sql("SELECT CAST(id AS INT) AS file_id, 1 AS location, CONCAT('alpha w', id) AS body FROM range(5)")
+    assert TextIndex.create(small, str(tmp_path / "ix")).rank("alpha").count() == 5
+
+
 def test_tiers(spark, tmp_path):
     """Four segments of like size become one; a large one is left as it is."""
     index = TextIndex.create(pages(spark, 9, range(400)), str(tmp_path / "ix"))
