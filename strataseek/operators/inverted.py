@@ -1,6 +1,7 @@
 """Inversion of rows of terms where they are read, a portion of rows at a time: a row for each term and group of ids, not for each term of a row.
 
-A helper of the saved indexes; it runs in ``mapInArrow``. Spark deals the rows out, sorts what comes of them and writes it.
+A helper of the saved indexes; it runs in ``mapInArrow``. What comes of a portion is sorted; Spark deals the rows out and writes
+the portions one after the other, so that a task's memory is that of a portion, whatever its share of the rows.
 """
 
 from __future__ import annotations
@@ -11,18 +12,40 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Terms that are inverted at once, which bounds a task's memory; a row of more comes by itself.
-PORTION = 1_000_000
+#: Terms that are inverted at once, which bounds a task's memory; a row of more comes by itself. Rows that are handed back at once.
+PORTION, HANDED = 4_000_000, 50_000
+#: How to write what comes of portions: pages of so few rows that a lookup reads a term's place in each portion.
+WRITTEN = {"parquet.page.row.count.limit": "2000"}
 
 
 def portions(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[pa.RecordBatch]:
-    """Slices of batches of up to ``PORTION`` elements of the column ``lists``."""
+    """The rows in order, in batches of up to ``PORTION`` elements of the column ``lists``: large batches cut, small ones put together."""
+    held, n = [], 0
     for batch in batches:
         ends, at = np.cumsum(_sizes(batch.column(lists))), 0
         while at < batch.num_rows:
-            upto = max(at + 1, int(np.searchsorted(ends, PORTION + (ends[at - 1] if at else 0), side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
+            before = int(ends[at - 1]) if at else 0
+            upto = int(np.searchsorted(ends, PORTION - n + before, side="right"))
+            if upto <= at:
+                if held:
+                    yield _joined(held)
+                    held, n = [], 0
+                    continue
+                upto = at + 1
+            held.append(batch.slice(at, upto - at))
+            n, at = n + int(ends[upto - 1]) - before, upto
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def _handed(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    made = pa.RecordBatch.from_pydict(columns)
+    for at in range(0, made.num_rows, HANDED):
+        yield made.slice(at, HANDED)
 
 
 def _sizes(lists: pa.Array) -> np.ndarray:
@@ -46,7 +69,7 @@ def _by_term(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndar
     """The different terms, and of each term of the lists, by terms: its number, its row, its place in the row."""
     sizes, flat = _sizes(lists), lists.flatten()
     encoded = flat.dictionary_encode("encode")
-    order = pc.sort_indices(encoded.dictionary)  # what leaves a portion sorted is soon sorted by Spark
+    order = pc.sort_indices(encoded.dictionary)
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(len(order))
     # number and place in one integer: sorted faster than by an order of places
@@ -83,7 +106,7 @@ def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "occurrences": pa.array(np.add.reduceat(times, rows)),
             "entries": _cut(rows, entries),
         }
-        yield pa.RecordBatch.from_pydict(made)
+        yield from _handed(made)
 
 
 def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,4 +124,4 @@ def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "piece": ids.take(pa.array(np.zeros(len(first), np.int64))),
             "rows": _cut(first, ids.take(pa.array(row))),
         }
-        yield pa.RecordBatch.from_pydict(made)
+        yield from _handed(made)

@@ -5,8 +5,8 @@ A segment is a folder of Parquet tables, never changed once written:
 * ``pages``: file_id, location, body, bucket (a range of file ids)
 * ``postings``: a row for each term and bucket, several where a bucket's pages were not inverted together: ``n`` pages, the
   largest frequency and the least length in it (what a score in it can't exceed follows from these), the occurrences, and the
-  entries: file_id, location, dl (tokens of the page), positions. A file has the postings of a share of the pages, sorted by term
-  and bucket; none are shuffled, and a lookup reads a term's place in each file
+  entries: file_id, location, dl (tokens of the page), positions. A file has the postings of a share of the pages, in portions
+  (``inverted.PORTION``) sorted by term and bucket; none are shuffled or sorted by Spark, and a lookup reads a term's place in each portion
 * ``terms`` and ``endings``: the dictionary with page counts, sorted by term, and by the term read backwards
 
 A commit adds a segment of the changed pages, a list of the files whose older pages no longer count (``gone``), and the
@@ -140,7 +140,7 @@ class TextIndex:
         own.repartitionByRange("file_id", "location").sortWithinPartitions("file_id", "location").write.parquet(f"{self.path}/{name}/pages")
         # from what was written: texts may have come from files that are dear to read
         paged = self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages").withColumn("tokens", self.tokenizer(F.col("body")))
-        postings_of(paged).sortWithinPartitions("term", "bucket").write.parquet(f"{self.path}/{name}/postings")
+        postings_of(paged).write.options(**inverted.WRITTEN).parquet(f"{self.path}/{name}/postings")
         postings = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
         terms = postings.groupBy("term").agg(F.sum("n").alias("df"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/terms")

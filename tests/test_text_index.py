@@ -198,3 +198,26 @@ def test_following_documents(spark, tmp_path):
     (root / "a.txt").write_text("gamma")
     assert happen(2, ("a.txt", "modified"), ("sub", "removed")) == ["a.txt"]
     assert found("alpha") == [] and found("gamma") == ["a.txt"] and index.totals() == (1, 1)
+
+
+def test_portions_of_any_batches(spark, tmp_path, monkeypatch):
+    """A portion takes rows of several batches and is handed back sorted, in parts; Spark sorts nothing, so that a task needs no more memory than for a portion."""
+    monkeypatch.setattr(inverted, "PORTION", 20)
+    monkeypatch.setattr(inverted, "HANDED", 3)
+    sizes = [3, 0, 5, 12, 1, 25, 2, 2, 30, 30]
+    rows = [{"file_id": i, "location": 1, "bucket": i - i % 4, "tokens": [f"w{(i * k) % 7}" for k in range(n)]} for i, n in enumerate(sizes)]
+    schema = inverted.pa.schema([("file_id", "int64"), ("location", "int64"), ("bucket", "int64"), ("tokens", inverted.pa.list_(inverted.pa.string()))])
+    batches = [inverted.pa.RecordBatch.from_pylist(rows[a:b], schema) for a, b in ((0, 1), (1, 4), (4, 4), (4, 8), (8, 10))]
+    assert [b.column("file_id").to_pylist() for b in inverted.portions(batches, "tokens")] == [[0, 1, 2, 3], [4], [5], [6, 7], [8], [9]]
+    made = [b for p in inverted.portions(batches, "tokens") for b in inverted.pages([p])]
+    assert max(b.num_rows for b in made) <= 3
+    got = sorted((r["term"], e["file_id"], p) for b in inverted.pages(batches) for r in b.to_pylist() for e in r["entries"] for p in e["positions"])
+    assert got == sorted((t, r["file_id"], i) for r in rows for i, t in enumerate(r["tokens"]))
+    for portion in inverted.portions(batches, "tokens"):
+        keys = [(r["term"], r["bucket"]) for b in inverted.pages([portion]) for r in b.to_pylist()]
+        assert keys == sorted(keys)
+    plans = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *c, f=frame.sortWithinPartitions: (plans.append(self.columns), f(self, *c))[1])
+    TextIndex.create(pages(spark, 4, range(50)), str(tmp_path / "ix"))
+    assert plans and all("entries" not in columns for columns in plans)
