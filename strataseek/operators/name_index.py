@@ -1,7 +1,7 @@
 """An index of the trigrams of file names, so that a search reads the names that can match, and not all.
 
-A name's folded letters in threes (with the name's rows in blocks of ``BLOCK`` ids) are written where the names are read, each
-file sorted by trigram, a row for each trigram and block with the rows of the block that have it; a block whose names are not
+A name's folded letters in threes (with the name's rows in blocks of ``BLOCK`` ids) are written where the names are read, in
+portions (``inverted.PORTION``) sorted by trigram, a row for each trigram and block with the rows of the block that have it; a block whose names are not
 read together comes in pieces. A query is read into a condition of trigrams: a term must
 have all of its own, a group all terms, one of the groups must hold. Pieces of blocks are intersected each by itself; the rows that
 are left are read from the table of files, which is sorted by block, and the query's own condition decides. A group without a
@@ -70,7 +70,7 @@ class NameIndex:
         long = F.char_length(name) >= 3
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
         each = files.sparkSession.read.parquet(f"{path}/files").where(long).select(F.col("file_ord").cast("long").alias("file_ord"), F.col("block").cast("long").alias("block"), grams.alias("grams"))
-        each.mapInArrow(inverted.names, GRAMS).sortWithinPartitions("gram", "block").write.parquet(f"{path}/grams")
+        each.mapInArrow(inverted.names, GRAMS).write.options(**inverted.WRITTEN).parquet(f"{path}/grams")
 
     def _rows(self, asked: list[list[str]]) -> DataFrame:
         """``block, rows``: the rows of each piece of a block that have all trigrams of one of the lists."""
