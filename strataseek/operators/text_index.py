@@ -2,8 +2,8 @@
 
 A segment is a folder of Parquet tables, never changed once written:
 
-* ``pages``: file_id, location, body, bucket (a range of file ids)
-* ``postings``: a row for each term and bucket, several where a bucket's pages were not inverted together: ``n`` pages, the
+* ``pages``: file_id, location, body, bucket (a range of ``BUCKET`` file ids)
+* ``postings``: a row for each term and bucket (of ``State.bucket`` file ids, which follows the number of pages), several where a bucket's pages were not inverted together: ``n`` pages, the
   largest frequency and the least length in it (what a score in it can't exceed follows from these), the occurrences, and the
   entries: file_id, location, dl (tokens of the page), positions. A file has the postings of a share of the pages, in portions
   (``inverted.PORTION``) sorted by term and bucket; none are shuffled or sorted by Spark, and a lookup reads a term's place in each portion
@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from math import log
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ from strataseek.plans.text_query import TextQuery
 from strataseek.sources import pages as page_sources
 from strataseek.sources.versions import Versions
 
-#: File ids that share a bucket: the unit that a search for the best pages skips or reads.
+#: File ids that share a bucket of pages, and a bucket of postings at least: the unit that a search for the best pages skips or reads.
 BUCKET = 256
+#: Buckets of postings that an index keeps as it grows, and the file ids of one at most: larger buckets mean fewer rows to write and to count.
+SKIPPED, WIDEST = 64, 4096
 #: Terms of a pattern that go into the filter as literals; more are joined. Deleted files and matched terms that may be sent to every task.
 LITERALS, SENT = 1000, 1_000_000
 #: Buckets that the first rounds of a search for the best pages read.
@@ -50,7 +53,7 @@ POSTINGS = f"term string, bucket bigint, n bigint, most int, shortest bigint, oc
 
 @dataclass
 class State:
-    """Version, the tokenizer's name, segments {id: {seq, pages, tokens}}, deletions {id: {seq, files}}, losses {id: {segment: [pages, tokens]}}."""
+    """Version, the tokenizer's name, file ids of a bucket of postings, segments {id: {seq, pages, tokens}}, deletions {id: {seq, files}}, losses {id: {segment: [pages, tokens]}}."""
 
     version: int = 0
     seq: int = 0
@@ -58,6 +61,7 @@ class State:
     gone: dict = field(default_factory=dict)
     lost: dict = field(default_factory=dict)
     tokenizer: str = ""
+    bucket: int = BUCKET
 
 
 def postings_of(paged: DataFrame) -> DataFrame:
@@ -65,6 +69,14 @@ def postings_of(paged: DataFrame) -> DataFrame:
     return paged.select(*(F.col(c).cast("long").alias(c) for c in ("file_id", "location", "bucket")), "tokens").mapInArrow(inverted.pages, POSTINGS)
 
 
+def bucket_of(pages: int) -> int:
+    """File ids of a bucket of postings, for so many pages."""
+    size = BUCKET
+    while 2 * size <= WIDEST and pages >= 2 * size * SKIPPED:
+        size *= 2
+    return size
+
+
 def pattern_bounds(pattern: str) -> tuple[str, str]:
     """The letters that every term of a leaf's pattern begins and ends with."""
     body = pattern.removeprefix("^").removesuffix("$")
@@ -133,21 +145,28 @@ class TextIndex:
 
     # writing
 
-    def _write_segment(self, pages: DataFrame, seq: int) -> tuple[str, dict]:
-        """A new segment of pages (file_id, location, body); blank ones are left out."""
+    def _write_segment(self, pages: DataFrame, state: State, alone: bool) -> tuple[str, dict]:
+        """A new segment of pages (file_id, location, body); blank ones are left out. If it will be alone, ``state`` gets the buckets that suit it."""
         name = f"segment-{uuid.uuid4().hex}"
         own = pages.where(F.trim("body") != "").select("file_id", "location", "body", F.expr(f"file_id - pmod(file_id, {BUCKET})").alias("bucket"))
         own.repartitionByRange("file_id", "location").sortWithinPartitions("file_id", "location").write.parquet(f"{self.path}/{name}/pages")
         # from what was written: texts may have come from files that are dear to read
-        paged = self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages").withColumn("tokens", self.tokenizer(F.col("body")))
+        written = self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages")
+        n = written.count()
+        if alone:
+            state.bucket = bucket_of(n)
+        paged = written.withColumns({"bucket": F.expr(f"file_id - pmod(file_id, {state.bucket})"), "tokens": self.tokenizer(F.col("body"))})
         postings_of(paged).write.options(**inverted.WRITTEN).parquet(f"{self.path}/{name}/postings")
         postings = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
-        terms = postings.groupBy("term").agg(F.sum("n").alias("df"))
+        # counted once: dealing out by ranges looks at all rows a time before
+        counted = postings.groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences")).persist(StorageLevel.MEMORY_AND_DISK)
+        terms = counted.select("term", "df")
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/terms")
-        ending = self.spark.read.parquet(f"{self.path}/{name}/terms").select(F.reverse("term").alias("ending"), "term")
+        ending = terms.select(F.reverse("term").alias("ending"), "term")
         ending.repartitionByRange("ending").sortWithinPartitions("ending").write.parquet(f"{self.path}/{name}/endings")
-        total = postings.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
-        return name, {"seq": seq, "pages": self.spark.read.schema(own.schema).parquet(f"{self.path}/{name}/pages").count(), "tokens": total}
+        total = counted.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
+        counted.unpersist()
+        return name, {"seq": state.seq, "pages": n, "tokens": total}
 
     def upsert(self, changed: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Put the pages of changed files in the place of their old ones, and leave gone files out.
@@ -161,7 +180,7 @@ class TextIndex:
         if state.segments and stale:
             self._delete(reduce(DataFrame.unionByName, stale).where("file_id IS NOT NULL").distinct(), state)
         if changed is not None:
-            name, facts = self._write_segment(changed, state.seq)
+            name, facts = self._write_segment(changed, state, not state.segments)
             if facts["pages"]:
                 state.segments[name] = facts
         if (state.segments, state.gone) != (self.state.segments, self.state.gone):
@@ -198,7 +217,7 @@ class TextIndex:
             return False
         state = self._next()
         # inverting the pages that count costs less than to take the postings apart and group them again
-        name, facts = self._write_segment(self.pages(chosen), state.seq)
+        name, facts = self._write_segment(self.pages(chosen), state, len(chosen) == len(by_size))
         for s in chosen:
             del state.segments[s]
         if facts["pages"]:

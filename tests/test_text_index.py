@@ -221,3 +221,25 @@ def test_portions_of_any_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *c, f=frame.sortWithinPartitions: (plans.append(self.columns), f(self, *c))[1])
     TextIndex.create(pages(spark, 4, range(50)), str(tmp_path / "ix"))
     assert plans and all("entries" not in columns for columns in plans)
+
+
+def test_buckets_follow_the_pages(spark, tmp_path, monkeypatch):
+    """Buckets of postings widen with the pages of an index that is written whole, so that rows don't grow with every few files; upserts keep them, pages keep theirs."""
+    assert [text_index.bucket_of(n) for n in (0, 5_000, 33_000, 262_144, 10**9)] == [256, 256, 512, 4096, 4096]
+    monkeypatch.setattr(text_index, "SKIPPED", 1)
+    current = pages(spark, 2, range(600))
+    index = TextIndex.create(current, str(tmp_path / "ix"))
+    assert index.state.bucket == 512 and {r[0] for r in index._table("postings", list(index.state.segments), "bucket bigint").select("bucket").distinct().collect()} == {0, 512}
+    assert {r[0] for r in index.pages().select("bucket").distinct().collect()} == {0, 256, 512}
+    changed = pages(spark, 3, range(500, 900))
+    index.upsert(changed)
+    index = TextIndex(spark, index.path)
+    assert index.state.bucket == 512
+    current = spark.createDataFrame(current.where("file_id < 500").collect() + changed.collect(), PAGES)
+    same(index, current)
+    want = [tuple(r) for r in fulltext.top(fulltext.rank(current, "alpha beta"), 20).select("file_id", "location", F.round("score", 9)).collect()]
+    for compacted in (False, True):
+        if compacted:
+            assert index.compact(whole=True) and index.state.bucket == 1024
+        assert [tuple(r) for r in index.top("alpha beta", 20).select("file_id", "location", F.round("score", 9)).collect()] == want
+    assert text_index.State(**{"version": 1}).bucket == text_index.BUCKET  # an index of before
