@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strataseek.llm.common import Memo, map_batches, texts
+from strataseek.llm.common import Memo, map_batches, remembered, texts
 
 
 #: Words that a worker process remembers, where a caller names no number.
@@ -133,10 +132,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str, memo: int = MEMO) -> ByteBPE:
-    """One codec a worker process; tasks that follow reuse its memo."""
-    return ByteBPE(path, pattern, memo)
+    """One codec a worker process; tasks that follow reuse its memo, until another operator's come."""
+    return remembered((ByteBPE, path, pattern, memo), lambda: ByteBPE(path, pattern, memo))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -147,7 +145,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
         return lambda batch: [[codec.encode(t) for t in texts(batch, text_col)]]
 
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), make, [("ids", T.ArrayType(T.IntegerType()))], keep)
+    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), make, [("ids", T.ArrayType(T.IntegerType()))], keep, remembers=True)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -158,7 +156,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: l
         return lambda batch: [[codec.decode(ids or []) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]]
 
     keep = [c for c in df.columns if c != ids_col] if keep is None else keep
-    return map_batches(df.select(*dict.fromkeys([*keep, ids_col])), make, [("decoded", T.BinaryType())], keep)
+    return map_batches(df.select(*dict.fromkeys([*keep, ids_col])), make, [("decoded", T.BinaryType())], keep, remembers=True)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] = ("doc_id",), with_ids: bool = False, memo: int = MEMO) -> DataFrame:
@@ -184,4 +182,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", k
 
         return fn
 
-    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), make, fields, keep)
+    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), make, fields, keep, remembers=True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,7 @@ def map_batches(
     keep: Iterable[str],
     rows: int = 1 << 30,
     most: int = 1 << 60,
+    remembers: bool = False,
 ) -> DataFrame:
     """Append columns computed from whole Arrow batches.
 
@@ -98,6 +99,7 @@ def map_batches(
     Arrow array per entry of ``fields``). ``keep`` names the input columns that
     stay; an input column whose name is also in ``fields`` gives way to the new one.
     Batches of more than ``rows`` rows or ``most`` bytes of texts are handed over in slices.
+    What the worker remembers of another operator (``remembered``) goes first, unless this one ``remembers`` too.
     """
     names = {n for n, _ in fields}
     kept = [c for c in keep if c not in names]
@@ -105,6 +107,8 @@ def map_batches(
     arrow = [(n, to_arrow_type(t)) for n, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         fn = make()
         for batch in (p for b in batches for p in (portions(b, rows, most) if most < 1 << 60 else (b.slice(at, rows) for at in range(0, b.num_rows, rows)))):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
@@ -140,6 +144,23 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+_remembered: dict = {}
+
+
+def remembered(key: Hashable, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks: one thing at a time, as the worker serves other operators too."""
+    if key not in _remembered:
+        forget()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    """Let go of what is remembered, and give memory that lies idle back to the system."""
+    _remembered.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Memo(dict):
     """A function's results, forgotten all at once when there are ``limit`` of them."""
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strataseek.llm.common import portions, texts, written
+from strataseek.llm.common import forget, portions, texts, written
 
 SIMILARITY = 0.8
 #: Words of a seed, at most; words from which on an item goes through the embedding; words of a segment.
@@ -272,6 +272,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def found_by(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in (p for b in batches for p in portions(b, HELD, HELD_BYTES)):
                 ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
                 found = index.search(texts(batch, text_col))
@@ -290,6 +291,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text
 
     def clean(documents: DataFrame, index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in (p for b in batches for p in portions(b, HELD, HELD_BYTES)):
                 found = index.search(texts(batch, text_col))
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))

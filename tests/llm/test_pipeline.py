@@ -3,10 +3,13 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from strataseek.llm import bpe, decontaminate, pii, quality_rules, queries
+from strataseek.llm import bpe, common, decontaminate, pii, quality_rules, queries
 from tests.llm.test_joins import brute_components
 from tests.llm.test_row_operators import brute_base
 
@@ -45,3 +48,21 @@ def test_near_duplicates(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {d for d, (_, c) in found.items() if d == c}
+
+
+def test_workers_hold_little(spark, sf):
+    """Stages get Arrow batches of few rows, and a worker lets go of the tokeniser's memos before another operator's work."""
+    documents = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        counted = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "doc_id", pa.array([b.num_rows])) for b in batches), docs.schema))
+        assert max(r["doc_id"] for r in counted(spark, documents, sf).collect()) == corpus_pipeline.BATCH
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    codec = bpe.load(queries.BYTE_BPE, public_tokenizers.PATTERN)
+    assert bpe.load(queries.BYTE_BPE, public_tokenizers.PATTERN) is codec
+    assert bpe.encode(documents, queries.BYTE_BPE, public_tokenizers.PATTERN).count() == 5000
+    held = common.map_batches(documents, lambda: lambda batch: [[len(common._remembered)] * batch.num_rows], [("held", T.LongType())], [])
+    assert held.groupBy("held").count().collect() == [(0, 5000)]
+    common.forget()
+    assert bpe.load(queries.BYTE_BPE, public_tokenizers.PATTERN) is not codec
