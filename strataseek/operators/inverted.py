@@ -14,18 +14,20 @@ import pyarrow.compute as pc
 
 #: Terms that are inverted at once, which bounds a task's memory; a row of more comes by itself. Rows that are handed back at once.
 PORTION, HANDED = 4_000_000, 50_000
+#: Trigrams of names that are inverted at once: a name has many, and its index gains nothing from more.
+NAMED = 1_000_000
 #: How to write what comes of portions: pages of so few rows that a lookup reads a term's place in each portion.
 WRITTEN = {"parquet.page.row.count.limit": "2000"}
 
 
-def portions(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in batches of up to ``PORTION`` elements of the column ``lists``: large batches cut, small ones put together."""
-    held, n = [], 0
+def portions(batches: Iterator[pa.RecordBatch], lists: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of up to ``PORTION`` elements (``most``, if that is less) of the column ``lists``: large batches cut, small ones put together."""
+    held, n, most = [], 0, min(most or PORTION, PORTION)
     for batch in batches:
         ends, at = np.cumsum(_sizes(batch.column(lists))), 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            upto = int(np.searchsorted(ends, PORTION - n + before, side="right"))
+            upto = int(np.searchsorted(ends, most - n + before, side="right"))
             if upto <= at:
                 if held:
                     yield _joined(held)
@@ -111,7 +113,7 @@ def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (file_ord, block, grams), grams different in each row: gram, block, piece, rows (sorted). A row's grams are of one piece, named by its least row."""
-    for batch in portions(batches, "grams"):
+    for batch in portions(batches, "grams", NAMED):
         batch = batch.take(pc.sort_indices(batch, [("file_ord", "ascending")]))
         words, gram, row, _ = _by_term(batch.column("grams"))
         if not len(gram):

@@ -119,3 +119,15 @@ def test_snapshots_with_gaps(spark):
     known = spark.createDataFrame([("a", None, "x"), ("b", 1, None), ("c", 1, "x")], schema)
     disk = spark.createDataFrame([("a", None, "x"), ("b", 1, None), ("c", None, "x"), ("d", None, None)], schema)
     assert sorted(r["path"] for r in incremental.to_index(disk, known).collect()) == ["c", "d"]
+
+
+def test_names_in_small_portions(monkeypatch):
+    """Trigrams of names are inverted a smaller portion at a time than the words of pages, with the same rows in the index."""
+    monkeypatch.setattr(inverted, "NAMED", 10)
+    rows = [{"file_ord": i, "block": i - i % 4, "grams": [f"g{(i + k) % 9}" for k in range(4)]} for i in range(20)]
+    schema = inverted.pa.schema([("file_ord", "int64"), ("block", "int64"), ("grams", inverted.pa.list_(inverted.pa.string()))])
+    sizes = []
+    monkeypatch.setattr(inverted, "_by_term", lambda lists, f=inverted._by_term: (sizes.append(len(lists.flatten())), f(lists))[1])
+    made = [r for b in inverted.names([inverted.pa.RecordBatch.from_pylist(rows, schema)]) for r in b.to_pylist()]
+    assert sizes == [8] * 10
+    assert sorted((r["gram"], r["block"], i) for r in made for i in r["rows"]) == sorted((g, r["block"], r["file_ord"]) for r in rows for g in r["grams"])
