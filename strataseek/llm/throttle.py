@@ -41,13 +41,16 @@ NEVER, ALWAYS = -(1 << 63), (1 << 63) - 1
 LATE, ADMITTED, THROTTLED = "late", "admitted", "throttled"
 #: Settings of the stream: the store that the operator needs, changes uploaded rather than whole stores, no disk set aside for each of its many small stores.
 #: An executor's stores share one bounded memory, and those of earlier starts, which a look after them closes, don't pile up beside it.
+#: A start opens a store for each shuffle partition: each has small write buffers, and none four threads of its own to sum up checkpoint files.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
 
 _LISTS = "clients array<bigint>, us array<bigint>, ids array<bigint>"

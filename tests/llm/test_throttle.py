@@ -104,3 +104,12 @@ def test_credit_map():
                 end = bucket.settle(1, t)[1]
             k = max(i for i, x in enumerate(low) if x <= start)
             assert base[k] + slope[k] * start == end
+
+
+def test_small_stores(spark):
+    """No state store brings threads of its own: an executor opens one for each shuffle partition, at each start."""
+    threads = lambda: {t.getId() for t in spark._jvm.java.lang.Thread.getAllStackTraces().keySet() if t.getName().startswith("ChecksumCheckpointFileManager")}
+    day, before = datetime(2024, 3, 31), threads()
+    rows = [(i, day + timedelta(hours=i), day + timedelta(hours=i), i % 3, None, 1.0, None) for i in range(60)]
+    assert run(spark.createDataFrame(rows, SCHEMA), batches=2) == ordered(plain(rows, 2))
+    assert threads() <= before
