@@ -86,9 +86,19 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
 
 
+def _listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with lists of tokens, where each row's came as one text with spaces between them."""
+    at = batch.schema.get_field_index("tokens")
+    if not pa.types.is_string(batch.schema.field(at).type):
+        return batch
+    texts = pc.ascii_trim(batch.column(at), " ")
+    lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.string()), texts), " ")
+    return batch.set_column(at, "tokens", lists)
+
+
 def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of pages (file_id, location, bucket, tokens): term, bucket, n, most, shortest, occurrences, entries by file and page."""
-    for batch in portions(batches, "tokens"):
+    """Postings of pages (file_id, location, bucket, tokens: a list, or a text with spaces between them): term, bucket, n, most, shortest, occurrences, entries by file and page."""
+    for batch in portions(map(_listed, batches), "tokens"):
         batch = batch.take(pc.sort_indices(batch, [("file_id", "ascending"), ("location", "ascending")], null_placement="at_start"))
         words, term, page, place = _by_term(batch.column("tokens"))
         if not len(term):

@@ -155,7 +155,7 @@ class TextIndex:
         n = written.count()
         if alone:
             state.bucket = bucket_of(n)
-        paged = written.withColumns({"bucket": F.expr(f"file_id - pmod(file_id, {state.bucket})"), "tokens": self.tokenizer(F.col("body"))})
+        paged = written.withColumns({"bucket": F.expr(f"file_id - pmod(file_id, {state.bucket})"), "tokens": getattr(self.tokenizer, "joined", self.tokenizer)(F.col("body"))})
         postings_of(paged).write.options(**inverted.WRITTEN).parquet(f"{self.path}/{name}/postings")
         postings = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
         # counted once: dealing out by ranges looks at all rows a time before

@@ -243,3 +243,18 @@ def test_buckets_follow_the_pages(spark, tmp_path, monkeypatch):
             assert index.compact(whole=True) and index.state.bucket == 1024
         assert [tuple(r) for r in index.top("alpha beta", 20).select("file_id", "location", F.round("score", 9)).collect()] == want
     assert text_index.State(**{"version": 1}).bucket == text_index.BUCKET  # an index of before
+
+
+def test_joined_words(spark, tmp_path, monkeypatch):
+    """An index hands pages to Python as one text each, which gives the postings that lists of words give."""
+    texts = ["The cat, the CAT", "  ", "", None, "文档 and 全文搜索x9", "文", "ΣΑΣ été_ß\tİ\n end ", "-- !", "one"]
+    table = spark.createDataFrame(list(enumerate(texts)), "file_id bigint, body string").withColumns({"location": F.lit(1).cast("long"), "bucket": F.lit(0).cast("long")})
+    made = [
+        [r for b in inverted.pages(iter(table.withColumn("tokens", how(F.col("body"))).coalesce(1).toArrow().to_batches())) for r in b.to_pylist()]
+        for how in (text_index.tokens.words, text_index.tokens.joined)
+    ]
+    assert made[0] == made[1] and {"文档", "搜索", "x9"} <= {r["term"] for r in made[1]}
+    kinds, real = [], text_index.postings_of
+    monkeypatch.setattr(text_index, "postings_of", lambda paged: (kinds.append(paged.schema["tokens"].dataType.typeName()), real(paged))[1])
+    index = text_index.TextIndex.create(table.drop("bucket"), str(tmp_path / "joined"))
+    assert kinds == ["string"] and [r["file_id"] for r in index.rank("搜索").collect()] == [4]
