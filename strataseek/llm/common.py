@@ -53,6 +53,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting for shuffle files to go when the execution that made them ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_clean(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``; what was shuffled to make the table is deleted at once, so that steps one after the other need the disk of the largest, not of all."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def drop_written() -> None:
     """Delete the scratch tables of this process; results that still read them become unreadable. What can't be deleted stays listed."""
     left = []

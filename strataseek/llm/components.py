@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.common import written
+from strataseek.llm.common import written_clean
 
 
 def _hung(pairs: DataFrame) -> DataFrame:
@@ -33,11 +33,11 @@ def _settled(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links(u, v)`` that has another; the root is the component's smallest node."""
     edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = written(edges.distinct(), "links")
+    edges = written_clean(edges.distinct(), "links")
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hung(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         down = _hung(large)  # every v is below its u
         small = down.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(down.select("u", F.col("low").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "links")
+        edges = written_clean(small.where("u <> v").distinct(), "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
 
-from strataseek.llm import components, decontaminate, ngram_join, queries, sharding, url_rules
+from strataseek.llm import common, components, decontaminate, ngram_join, queries, sharding, url_rules
 from strataseek.llm.common import portions
 from tests.conftest import rows_of
 
@@ -339,6 +340,44 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert kept == Counter({(7, "a"): 1, (None, "b"): 1, (3, "c"): 1, (3, "d"): 1, (None, ""): 2})
 
 
+@pytest.fixture
+def large_tables(spark):
+    """Tables count as too large for Spark to send them by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("copies, how", [(1, "LeftAnti"), (9, "LeftSemi")])
+def test_texts_stay_where_they_are_read(spark, monkeypatch, large_tables, copies, how):
+    """The rows that stay and those that go, together too many to be sent: the fewer are, and no text is shuffled."""
+    monkeypatch.setattr(ngram_join, "SMALL", 40)
+    rng = random.Random(21)
+    bases = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(120 if copies == 1 else 12)]
+    rows = list(enumerate(bases)) + [(1000 + i, t + " end") for i, t in enumerate(bases[:8])]
+    rows += [(2000 + i, t) for i, t in enumerate(bases * (copies - 1))] + [(5000, ""), (5001, None), (5002, bases[0]), (5002, bases[0])]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and how in plan
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(len(bases)), 5000, 5001]
+
+
+def test_shuffles_go_with_their_step(spark, large_tables):
+    """Shuffle files of the agreement keys don't stay until the driver collects its garbage."""
+    frame = spark.createDataFrame(near_copies(5, 12, 6), "doc_id long, text string")
+    table = ngram_join.incidence(frame, "doc_id", "text")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks
+    shuffles = lambda: {x for x in re.findall(r"shuffle_\w+", blocks().toString())}
+    before, setting = shuffles(), spark.conf.get(common.CLEANUP)
+    assert ngram_join.agreeing(table).count() > 0
+    assert spark.conf.get(common.CLEANUP) == setting
+    until = time.time() + 10
+    while len(left := shuffles() - before) > 2 and time.time() < until:  # files go soon after the step; those of the count above stay
+        time.sleep(0.1)
+    assert len({x.split("_")[1] for x in left}) <= 1
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(900, i) for i in range(1000, 1100)]
